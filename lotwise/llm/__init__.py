@@ -1,0 +1,8 @@
+"""Corpus operators for training data. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
