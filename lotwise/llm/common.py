@@ -121,16 +121,14 @@ def word_hashes(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     return mix64(raw + (ends - begins).astype(np.uint64) * _MIX2), begins
 
 
-def text_words(column, chunk_bytes: int = 1 << 20):
-    """Yields (row, word hashes) for every row of an Arrow string column, empty for null.
-
-    Texts are hashed together in chunks of about ``chunk_bytes``; a longer one is cut at white
-    space, so memory stays in proportion to the chunk (or to the longest word)."""
+def text_buffers(column, chunk_bytes: int):
+    """Yields (first row, UTF-8 bytes, offsets) for runs of rows of an Arrow string column, null as
+    empty, of about ``chunk_bytes`` or one row."""
     import pyarrow as pa
 
-    column = column.cast(pa.large_string()).fill_null("")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -141,17 +139,25 @@ def text_words(column, chunk_bytes: int = 1 << 20):
         start = offsets[row]
         last = int(np.searchsorted(offsets, start + chunk_bytes, side="right")) - 1
         last = min(max(last, row + 1), rows)
-        stop = offsets[last]
-        if stop - start > 2 * chunk_bytes:  # one long text
-            yield row, np.concatenate(list(_long_text(data[start:stop], chunk_bytes)))
-        else:
-            hashes, begins = word_hashes(data[start:stop], offsets[row:last] - start)
-            cuts = np.searchsorted(begins, offsets[row : last + 1] - start)
-            for k in range(row, last):
-                yield k, hashes[cuts[k - row] : cuts[k - row + 1]]
+        yield row, data[start : offsets[last]], offsets[row : last + 1] - start
         row = last
 
 
+def text_words(column, chunk_bytes: int = 1 << 20):
+    """Yields (row, word hashes) for every row of an Arrow string column, empty for null.
+
+    Texts are hashed together in chunks of about ``chunk_bytes``; a longer one is cut at white
+    space, so memory stays in proportion to the chunk (or to the longest word)."""
+    for row, data, offsets in text_buffers(column, chunk_bytes):
+        if len(data) > 2 * chunk_bytes:  # one long text
+            yield row, np.concatenate(list(_long_text(data, chunk_bytes)))
+            continue
+        hashes, begins = word_hashes(data, offsets[:-1])
+        cuts = np.searchsorted(begins, offsets)
+        for k in range(len(offsets) - 1):
+            yield row + k, hashes[cuts[k] : cuts[k + 1]]
+
+
 def _long_text(data: np.ndarray, chunk_bytes: int):
     at, zero = 0, np.zeros(1, dtype=np.int64)
     while at < len(data):

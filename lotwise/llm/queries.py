@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from . import exact_dedup as exact
-from . import minhash, mixing
+from . import langid, minhash, mixing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_language": op3_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
