@@ -1,12 +1,53 @@
-"""Corpus pipeline: language ID, exact dedup, near dedup, mixing, tokens."""
+"""Corpus pipeline: from documents to the tokens of a deduplicated, weighted mix.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; the driver
+of the pipeline writes its result as Parquet and reads it again as the next stage's docs.
+
+1. language: documents whose language can't be told (no letters) go.
+2. exact: of equal texts the row with the largest doc_id stays.
+3. near: of near-duplicate components the least doc_id stays.
+4. mix: sources are brought to their target weights; rows repeat where a source is short.
+5. tokens: byte-level BPE ids, with the digests of the ids and of what they decode to.
+
+Stages keep rows whose doc_id is null (nothing names them as copies) and hold no state of their own.
+"""
 
 from __future__ import annotations
 
-from lotwise.llm import exact_dedup, mixing
+from pyspark.sql import DataFrame, SparkSession
+
+from lotwise.llm import bpe, exact_dedup, langid, minhash, mixing
+from lotwise.llm.common import stored
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.drop_unidentified(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.drop_copies(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(docs)
+
+
+STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("tokens", tokens)]
 
-STAGES = []
+#: Language identification and tokens have no SQL form; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
