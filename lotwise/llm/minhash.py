@@ -1,19 +1,24 @@
 """Near-duplicate components by a signature-coordinate inverted join over MinHash signatures.
 
-1. Every text becomes its set of 2-word shingle hashes and a signature of COORDS MinHash coordinates.
-   Texts with equal sets form one class; the class's least doc_id stands for it from here on.
+1. Every text becomes its set of 2-word shingle hashes and a signature of COORDS MinHash coordinates,
+   with one further bit of each coordinate packed into a 64-bit sketch. Texts with equal sets form
+   one class; the class's least doc_id stands for it from here on.
 2. Each representative is posted under every (coordinate, value) key, and the keys are counted.
    Two sets with Jaccard similarity at the threshold agree in at least MATCHES coordinates (but for
    a chance of about 3e-7), so ordering keys by rarity, they share one of the first
    COORDS - MATCHES + 1. Only this prefix stays posted: frequent keys are skipped, and a
    representative whose rare keys are all its own drops out.
-3. Each key links its members to its least member, its hub. Collisions of such pairs are counted
-   over the whole signatures; at MATCHES or more the link is confirmed on the full sets.
+3. Each key links its members to its least member, its hub. Pairs whose sketches differ in more than
+   APART bits go (at the threshold a pair does so with a chance of about 2e-8). For the others
+   collisions are counted over the whole signatures, and at MATCHES or more the link is confirmed on
+   the full sets.
 4. Two documents sharing a key share its hub. Where a hub's members still lie in several components,
-   the ones outside the largest are compared with all others, in blocks: an inverted index inside a
-   block counts common shingles, so nothing is emitted but confirmed links. Blocks hold a bounded
-   number of shingles, whatever the size of the hub's group, and blocks of incompatible set sizes
-   never meet.
+   pairs across components are compared by sketch and confirmed like those of step 3. Groups above
+   SMALL_GROUP members are compared in blocks instead: the members outside the largest component
+   with all others, by sketch first, which only names the documents that have a partner; then an
+   inverted index over the sets of these counts common shingles. Nothing is emitted but confirmed
+   links, at most one for each document and component. Blocks hold a bounded number of shingles,
+   whatever the size of the group, and blocks of incompatible set sizes never meet.
 5. Components of all confirmed links, carried back to every document of each class.
 
 Sets hold 64-bit hashes of the shingles. Results for odd rows: null, empty and all-space texts have
@@ -28,13 +33,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, mix64, stored, text_words
+from .common import broadcast_if_small, discard, mix64, stored, text_words
 from .components import connected
 
 COORDS, MATCHES = 64, 34
 PREFIX = COORDS - MATCHES + 1
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
+#: Sketches of similar sets differ in at most so many of their 64 bits.
+APART = 22
+#: Groups of step 4 above so many members are compared in blocks.
+SMALL_GROUP = 48
+#: Up to this many ids are broadcast to pick their texts.
+BROADCAST_IDS = 1_000_000
 #: A block of step 4 holds about this many documents and shingles at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 250_000
 
@@ -43,7 +54,7 @@ _MULTIPLY = (_rng.integers(0, 1 << 32, COORDS, dtype=np.uint32) | np.uint32(1))[
 _ADD = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint32)[:, None]
 _COORD = np.arange(COORDS, dtype=np.uint64)
 
-SIGNATURES = "doc_id long, n long, set_key binary, sig array<long>"
+SIGNATURES = "doc_id long, n long, set_key binary, bits long, sig array<long>"
 SETS = "doc_id long, n long, sig array<long>, shingles array<long>"
 
 
@@ -73,6 +84,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((mix64(shingles[at]) & ~np.uint64(COORDS - 1)) | _COORD).view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> int:
+    """One bit of every coordinate's value, packed."""
+    return int(np.bitwise_or.reduce(((sig >> 20) & 1) << _COORD.astype(np.int64))) if len(sig) else 0
+
+
 def _lists(values: list[np.ndarray]):
     import pyarrow as pa
 
@@ -92,7 +108,7 @@ def _signed(batches):
             n.append(len(s))
             keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(sigs)], ["doc_id", "n", "set_key", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sigs], pa.int64()), _lists(sigs)], ["doc_id", "n", "set_key", "bits", "sig"])
 
 
 def _shingled(batches):
@@ -104,52 +120,80 @@ def _shingled(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(sigs), _lists([s.view(np.int64) for s in sets])], ["doc_id", "n", "sig", "shingles"])
 
 
+def close(n1, n2, bits1, bits2):
+    """Whether set sizes and sketches allow the similarity."""
+    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * SIMILARITY
+    return sizes & (F.bit_count(F.col(bits1).bitwiseXOR(F.col(bits2))) <= APART)
+
+
 def postings(signed: DataFrame) -> DataFrame:
-    """(key, doc, n, hub, members): prefix postings of the class representatives, with each key's
-    least member; keys of one member are left out."""
-    classes = signed.where(F.col("n") > 0).groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    posted = stored(classes.where(F.col("doc").isNotNull()).select("doc", "n", F.explode("sig").alias("key")), "posted")
+    """(hub, doc, n, bits, near): who meets which hub under a key of both prefixes, once each, and
+    whether the two can be similar."""
+    first = [F.first(c).alias(c) for c in ("n", "bits", "sig")]
+    classes = signed.where(F.col("n") > 0).groupBy("set_key").agg(F.min("doc_id").alias("doc"), *first)
+    posted = stored(classes.where(F.col("doc").isNotNull()).select("doc", "n", "bits", F.explode("sig").alias("key")), "posted")
     counts = stored(posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1), "counts")
-    shared = posted.join(counts, "key").groupBy("doc").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("members", "key"))).alias("keys"))
+    shared = posted.join(counts, "key").groupBy("doc").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.sort_array(F.collect_list(F.struct("members", "key"))).alias("keys"))
     slots = F.lit(PREFIX - COORDS) + F.size("keys")
-    prefix = shared.where(slots > 0).select("doc", "n", F.explode(F.slice("keys", F.lit(1), slots)).alias("k")).select(F.col("k.key").alias("key"), "doc", "n")
+    prefix = shared.where(slots > 0).select("doc", "n", "bits", F.explode(F.slice("keys", F.lit(1), slots)).alias("k")).select(F.col("k.key").alias("key"), "doc", "n", "bits")
     prefix = stored(prefix, "prefix")
-    hubs = stored(prefix.groupBy("key").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select("key", "hub"), "hubs")
-    out = stored(prefix.join(hubs, "key").groupBy("hub", "doc").agg(F.first("n").alias("n")), "members")
-    discard(posted, counts, prefix, hubs)
+    discard(posted, counts)
+    hubs = prefix.groupBy("key").agg(F.min(F.struct("doc", "n", "bits")).alias("h"), F.count(F.lit(1)).alias("m"))
+    hubs = stored(hubs.where(F.col("m") > 1).select("key", F.col("h.doc").alias("hub"), F.col("h.n").alias("n_hub"), F.col("h.bits").alias("bits_hub")), "hubs")
+    met = prefix.join(hubs, "key").select("hub", "doc", "n", "bits", close("n", "n_hub", "bits", "bits_hub").alias("near")).distinct()
+    out = stored(met, "members")
+    discard(prefix, hubs)
     return out
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Signatures and full sets of the documents ``ids``."""
+    ids = broadcast_if_small(stored(ids.select("doc_id").distinct(), "ids"), BROADCAST_IDS)
+    return stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_shingled, SETS), "sets")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose signatures collide often enough and whose full sets are similar."""
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     side = lambda x: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "shingles")))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILARITY
     collisions = F.size(F.array_intersect("sig_a", "sig_b"))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return both.where(sizes).where(collisions >= MATCHES).where(common * (100 + SIMILARITY) >= (F.col("n_a") + F.col("n_b")) * SIMILARITY).select("a", "b")
-
-
-def blocks(members: DataFrame) -> DataFrame:
-    """(unit, doc, component, n, side) rows: each hub group whose members lie in several components,
-    cut into units of bounded size so that every pair from two components, not both outside of
-    which is the group's largest one, meets in a unit.
-
-    Groups up to a block are one unit. Larger ones are cut by set size (bands of ratio 1.25, only
-    equal and neighbouring bands can link) and by hash within a band."""
-    parts = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("words"))
-    groups = parts.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("docs"), F.sum("words").alias("words"), F.max(F.struct("c", "component")).alias("most"))
-    groups = groups.where(F.col("parts") > 1).select("hub", "docs", "words", F.col("most.component").alias("major"))
-    groups = stored(groups, "groups")
-    rows = members.join(groups, "hub").withColumn("minor", F.col("component") != F.col("major"))
-    fits = (F.col("docs") <= BLOCK_DOCS) & (F.col("words") <= BLOCK_SHINGLES)
-    small = rows.where(fits).select(F.struct(F.col("hub"), *(F.lit(0).alias(c) for c in ("b1", "s1", "m1", "b2", "s2", "m2"))).alias("unit"), "doc", "component", "n", F.lit(0).alias("side"))
-
-    large = rows.where(~fits).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.2500001)))).cast("int")).withColumn("minor", F.col("minor").cast("int"))
+    links = stored(both.where(collisions >= MATCHES).where(common * (100 + SIMILARITY) >= (F.col("n_a") + F.col("n_b")) * SIMILARITY).select("a", "b"), "links")
+    discard(sets, pairs)
+    return links
+
+
+def split_groups(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of hub groups that lie in several components: of small groups, and of large ones
+    with a column minor, whether outside the group's largest component."""
+    parts = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("c"))
+    groups = parts.groupBy("hub").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("docs"), F.max(F.struct("c", "component")).alias("most"))
+    groups = stored(groups.where(F.col("parts") > 1).select("hub", "docs", F.col("most.component").alias("major")), "groups")
+    rows = members.join(groups, "hub")
+    small = rows.where(F.col("docs") <= SMALL_GROUP).drop("docs", "major")
+    large = rows.where(F.col("docs") > SMALL_GROUP).select("hub", "doc", "component", "n", "bits", (F.col("component") != F.col("major")).cast("int").alias("minor"))
+    return small, stored(large, "large")
+
+
+def small_pairs(small: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components of a small group that can be similar."""
+    x = small.select("hub", *(F.col(c).alias(f"{c}_a") for c in ("doc", "component", "n", "bits")))
+    y = small.select("hub", *(F.col(c).alias(f"{c}_b") for c in ("doc", "component", "n", "bits")))
+    across = (F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b")) & close("n_a", "n_b", "bits_a", "bits_b")
+    return x.join(y, "hub").where(across).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
+
+def blocks(large: DataFrame) -> DataFrame:
+    """(unit, doc, component, n, bits, side): large groups cut into units of bounded size so that every
+    pair that is not inside the largest component meets in a unit. Groups are cut by set size (bands
+    of ratio 1.25, only equal and neighbouring bands can link), by being minor, and by hash."""
+    large = large.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.2500001)))).cast("int"))
     cells = large.groupBy("hub", "band", "minor").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     cells = cells.select("hub", "band", "minor", F.greatest(F.ceil(F.col("c") / BLOCK_DOCS), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int").alias("cuts"))
     cells = stored(cells, "cells")
-    own = stored(large.join(cells, ["hub", "band", "minor"]).withColumn("cut", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).select("hub", "doc", "component", "n", "band", "minor", "cut"), "own")
+    own = stored(large.join(cells, ["hub", "band", "minor"]).withColumn("cut", F.pmod(F.xxhash64("doc"), F.col("cuts")).cast("int")).select("hub", "doc", "component", "n", "bits", "band", "minor", "cut"), "own")
     # the cells that a cell meets: same or next band, one of both outside the largest component
     meets = stored(
         cells.select("hub", "band", "minor", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band2"))
@@ -161,9 +205,33 @@ def blocks(members: DataFrame) -> DataFrame:
     here, there = F.struct("band", "cut", "minor"), F.struct(F.col("band2").alias("band"), F.col("cut2").alias("cut"), F.col("minor2").alias("minor"))
     first, second = F.least(here, there), F.greatest(here, there)
     unit = F.struct("hub", *(x[c].alias(f"{short}{k}") for k, x in ((1, first), (2, second)) for c, short in (("band", "b"), ("cut", "s"), ("minor", "m"))))
-    big = met.select(unit.alias("unit"), "doc", "component", "n", F.when(here == there, 0).when(here < there, 1).otherwise(2).alias("side"))
+    big = met.select(unit.alias("unit"), "doc", "component", "n", "bits", F.when(here == there, 0).when(here < there, 1).otherwise(2).alias("side"))
     name = F.concat_ws(":", *(F.col(f"unit.{c}").cast("string") for c in ("hub", "b1", "s1", "m1", "b2", "s2", "m2")))
-    return stored(small.unionByName(big).withColumn("unit", name), "blocks")
+    return stored(big.withColumn("unit", name), "blocks")
+
+
+def _asking(comp: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Rows of a unit to compare with the others: those of side 1 with side 2, or where the unit
+    meets itself, those outside its largest component with all."""
+    if (side > 0).any():
+        return np.flatnonzero(side == 1), True
+    parts, sizes = np.unique(comp, return_counts=True)
+    return np.flatnonzero(comp != parts[sizes.argmax()]), False
+
+
+def _partnered(group):
+    """The documents of a unit that have a possible partner in another component, by sketch."""
+    n, comp, side, bits = (group[c].to_numpy() for c in ("n", "component", "side", "bits"))
+    asking, two_sided = _asking(comp, side)
+    with_partner = np.zeros(len(n), dtype=bool)
+    for i in asking:
+        ok = (np.bitwise_count((bits ^ bits[i]).view(np.uint64)) <= APART) & (comp != comp[i]) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * SIMILARITY)
+        if two_sided:
+            ok &= side == 2
+        if ok.any():
+            with_partner |= ok
+            with_partner[i] = True
+    return group.loc[with_partner, ["unit", "doc", "component", "n", "side"]]
 
 
 def _linked(group):
@@ -171,16 +239,13 @@ def _linked(group):
     and component."""
     import pandas as pd
 
-    n, comp, side = group["n"].to_numpy(), group["component"].to_numpy(), group["side"].to_numpy()
-    doc = group["doc"].to_numpy()
+    n, comp, side, doc = (group[c].to_numpy() for c in ("n", "component", "side", "doc"))
     flat = np.concatenate(group["shingles"].to_list())
     owner = np.repeat(np.arange(len(n)), n)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     found_a, found_b = [], []
-    two_sided = bool((side > 0).any())
-    parts, sizes = np.unique(comp, return_counts=True)
-    asking = np.flatnonzero(side == 1) if two_sided else np.flatnonzero(comp != parts[sizes.argmax()])
+    asking, two_sided = _asking(comp, side)
     for i in asking:
         s = group["shingles"].iat[i]
         lo, hi = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
@@ -196,19 +261,25 @@ def _linked(group):
     return pd.DataFrame({"a": np.array(found_a, dtype=np.int64), "b": np.array(found_b, dtype=np.int64)})
 
 
+def large_links(docs: DataFrame, large: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) inside large groups."""
+    units = blocks(large)
+    partnered = stored(units.groupBy("unit").applyInPandas(_partnered, "unit string, doc long, component long, n long, side int"), "partnered")
+    sets = sets_of(docs, partnered.select(F.col("doc").alias("doc_id")))
+    cut = partnered.join(sets.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
+    return stored(cut.groupBy("unit").applyInPandas(_linked, "a long, b long"), "large_links")
+
+
 def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, component) of the class representatives that link with any other."""
     members = postings(signed)
-    involved = members.select("doc").distinct()
-    texts = docs.select("doc_id", "text").join(involved.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_shingled, SETS), "sets")
-    first = stored(confirmed(members.where(F.col("doc") != F.col("hub")).select(F.col("doc").alias("a"), F.col("hub").alias("b")), sets), "links")
+    first = confirmed(docs, members.where("near and doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
     roots = stored(connected(first), "roots")
-    placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("hub", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    units = blocks(stored(placed, "placed"))
-    cut = units.join(sets.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
-    second = stored(cut.groupBy("unit").applyInPandas(_linked, "a long, b long"), "links2")
-    return stored(connected(first.unionByName(second)), "components")
+    placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("hub", "doc", "n", "bits", F.coalesce("component", "doc").alias("component"))
+    placed = stored(placed, "placed")
+    small, large = split_groups(placed)
+    links = first.unionByName(confirmed(docs, small_pairs(small))).unionByName(large_links(docs, large))
+    return stored(connected(links), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
