@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from . import exact_dedup as exact
-from . import langid, minhash, mixing
+from . import langid, minhash, mixing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.through_archives(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -34,6 +39,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_language": op3_language,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_minhash": op7_minhash,
@@ -42,6 +48,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_warc": warc.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "op8_mixing": mixing.oracle(),
     "op9_exact_dedup": """
