@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe
 from . import exact_dedup as exact
-from . import langid, minhash, mixing, warc
+from . import langid, minhash, mixing, pii, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_language": op3_language,
+    "op4_personal_data": op4_personal_data,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
