@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import ann, bpe
 from . import exact_dedup as exact
 from . import langid, minhash, mixing, pii, warc
 
@@ -26,6 +26,10 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_language": op3_language,
     "op4_personal_data": op4_personal_data,
+    "op5_nearest": op5_nearest,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
