@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe
+from . import ann, bpe, chat
 from . import exact_dedup as exact
-from . import langid, minhash, mixing, pii, warc
+from . import langid, minhash, mixing, pii, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -46,8 +50,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_toxic_severity": op2_toxic_severity,
     "op3_language": op3_language,
     "op4_personal_data": op4_personal_data,
     "op5_nearest": op5_nearest,
@@ -55,9 +64,11 @@ QUERIES = {
     "op7_minhash": op7_minhash,
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_chat": op10_chat,
 }
 
 ORACLE = {
+    "op10_chat": chat.ORACLE,
     "op1_warc": warc.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "op8_mixing": mixing.oracle(),
