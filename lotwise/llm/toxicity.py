@@ -5,7 +5,7 @@ thresholds. x marks the presence of words (runs of letters, A-Z lower-cased). Th
 is its expected grade, its likeliest grade and whether the chance of a grade above 0 reaches CUT.
 
 The model is fitted on a bounded sample of labelled rows, about SAMPLE_DOCS drawn by hash (fewer rows:
-all), on the FEATURES words that differ most between grade 0 and the rest. All else covers every
+all), on the up to FEATURES words that differ most between grade 0 and the rest. All else covers every
 document and whole texts.
 
 Results for odd rows: a null or empty text has no words and gets what the thresholds alone say; if
@@ -24,9 +24,13 @@ from .common import broadcast_if_small, stored, text_buffers, word_hashes
 from .langid import _PLAIN, held_out
 
 SAMPLE_DOCS = 20_000
-FEATURES, MIN_DOCS = 2000, 5
-STEPS, RATE, SHRINK = 400, 0.1, 1e-4
-CUT = 0.5
+#: A feature is in at least MIN_DOCS sampled documents and its chi-square is at least MIN_CHI, which
+#: words that differ by chance do not reach in a vocabulary of millions.
+FEATURES, MIN_DOCS, MIN_CHI = 2000, 10, 60.0
+STEPS, RATE, SHRINK = 400, 0.1, 1e-5
+CUT = 0.3
+#: Distinct telling words at which a toxic document is of grade 2, 3.
+LEVELS = (3, 5)
 
 
 def _words_of(column):
@@ -84,8 +88,10 @@ def fit_ordinal(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, featu
     return p[:features], p[features] + np.concatenate([[0], np.cumsum(np.exp(p[features + 1 :]))])
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """The model for ``grades`` (doc_id, grade from 0) as plain arrays."""
+def fit(docs: DataFrame, grades: DataFrame, levels: tuple = LEVELS, sample_docs: int = SAMPLE_DOCS) -> dict:
+    """The model for ``grades`` (doc_id, grade from 0) as plain arrays. Labels that only tell 0 from 1
+    are graded by ``levels``: a document of grade 1 rises by one at each of these numbers of distinct
+    words that tell the grades apart."""
     grades = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     grades = stored(grades, "grades")
     share = min(1.0, sample_docs / max(grades.count(), 1))
@@ -103,10 +109,13 @@ def fit(docs: DataFrame, grades: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     expected = seen * toxic.mean()
     chi = np.where(seen >= MIN_DOCS, (hits - expected) ** 2 / np.maximum(expected * (1 - toxic.mean()), 1e-9), 0)
     best = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    best = best[chi[best] > 0]
+    best = best[chi[best] >= MIN_CHI]
     place = np.full(len(words), -1)
     place[best] = np.arange(len(best))
     used = place[code] >= 0
+    if levels and grade.max() == 1:
+        telling = np.append(hits[best] > expected[best], False)[place[code]]
+        grade = np.where(toxic, 1 + np.searchsorted(levels, np.bincount(owner, telling, len(grade)), "right"), 0)
     weights, thresholds = fit_ordinal(owner[used], place[code][used], grade, len(best))
     return {"words": words[best], "weights": weights, "thresholds": thresholds, "only": -1}
 
@@ -142,14 +151,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(_scorer(shared), "doc_id long, severity double, grade int, toxic boolean")
 
 
-def grades_of(labels: DataFrame) -> DataFrame:
-    """Ordered grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    return labels.select("doc_id", grade.alias("grade"))
-
-
 def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled documents that aren't held out and scores all: doc_id, held_out,
     severity, grade, toxic."""
-    model = fit(docs, grades_of(labels).where(~held_out(F.col("doc_id"))))
+    model = fit(docs, labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("grade")))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "grade", "toxic")
