@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lotwise.plans.oracle import ORACLE
+from lotwise.plans.queries import QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
