@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.sources.storage import broadcast_if_small, discard, new_path, stored
+
+__all__ = ["broadcast_if_small", "discard", "new_path", "stored"]
+
 #: Whitespace that separates words, as byte values: space and \x09-\x0D.
 SPACE_BYTES = (32, 9, 10, 11, 12, 13)
 #: The same as a Java character class, and its complement.
@@ -18,46 +18,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or on a local master a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lotwise-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/lotwise-{tag}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: cuts the lineage, survives
-    lost executors, and lets later joins see a plain scan (so that AQE can split skewed keys)."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``stored`` that no later plan reads."""
-    for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcasts a stored table only once its counted rows are within ``rows``; else joins stay shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)
