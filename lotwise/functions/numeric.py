@@ -17,6 +17,11 @@ def even(x: Column | str, digits: int) -> Column:
     return F.rint((F.col(x) if isinstance(x, str) else x) * scale) / scale
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of money amounts that does not depend on the order of rows."""
+    return F.sum(x.cast("decimal(28,6)")).cast("double")
+
+
 def money(x: Column) -> Column:
     """Rounded to cents."""
     return even(x, 2)

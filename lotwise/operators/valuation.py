@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.numeric import money, ratio
+from lotwise.functions.numeric import exact_sum, money, ratio
 
 LOT = ["portfolio_id", "symbol", "shares", "purchase_price", "purchase_date"]
 
@@ -53,7 +53,7 @@ def summarize(valued: DataFrame) -> DataFrame:
 
 def allocate(valued: DataFrame, by_symbol: bool = False) -> DataFrame:
     """Share of each lot, or symbol, in its portfolio's value, in percent."""
-    rows = valued.groupBy("portfolio_id", "symbol").agg(F.sum("current_value").alias("current_value")) if by_symbol else valued
+    rows = valued.groupBy("portfolio_id", "symbol").agg(exact_sum(F.col("current_value")).alias("current_value")) if by_symbol else valued
     whole = valued.groupBy("portfolio_id").agg(F.sum("current_value").alias("whole"))
     return rows.join(whole, "portfolio_id").withColumn("allocation_percent", money(ratio(F.col("current_value"), F.col("whole")) * 100)).drop("whole")
 

@@ -89,10 +89,11 @@ BODIES = {
     "asset_allocation": """SELECT portfolio_id, symbol, purchase_date, shares, round_even(current_value, 2) AS current_value,
   round_even(current_value / nullif(sum(current_value) OVER (PARTITION BY portfolio_id), 0) * 100, 2) AS allocation_percent FROM valued""",
     "asset_allocation_by_symbol": """SELECT portfolio_id, symbol, round_even(v, 2) AS current_value, round_even(v / nullif(sum(v) OVER (PARTITION BY portfolio_id), 0) * 100, 2) AS allocation_percent
-  FROM (SELECT portfolio_id, symbol, sum(current_value) AS v FROM valued GROUP BY 1, 2)""",
+  FROM (SELECT portfolio_id, symbol, CAST(sum(CAST(current_value AS DECIMAL(28,6))) AS DOUBLE) AS v FROM valued GROUP BY 1, 2)""",
     "concentration": """SELECT portfolio_id, symbol, purchase_date, shares, round_even(p, 4) AS percent, CASE WHEN p > 30 THEN 'high' WHEN p > 20 THEN 'medium' ELSE 'low' END AS band
   FROM (SELECT v.*, current_value / nullif(total_current_value, 0) * 100 AS p FROM valued v JOIN summary USING (portfolio_id))""",
-    "invested_vs_current": "SELECT portfolio_id, symbol, round_even(sum(shares * purchase_price), 2) AS invested, round_even(sum(current_value), 2) AS current FROM valued GROUP BY 1, 2",
+    "invested_vs_current": """SELECT portfolio_id, symbol, round_even(CAST(sum(CAST(shares * purchase_price AS DECIMAL(28,6))) AS DOUBLE), 2) AS invested,
+  round_even(CAST(sum(CAST(current_value AS DECIMAL(28,6))) AS DOUBLE), 2) AS current FROM valued GROUP BY 1, 2""",
     "gain_loss_class": "SELECT portfolio_id, CASE WHEN round_even(gain_loss_dollars, 4) > 0 THEN 'gain' ELSE 'loss' END AS class, count(*) AS lots FROM valued GROUP BY 1, 2",
     "best_performers": f"SELECT portfolio_id, symbol, shares, {CENTS}, best AS rank FROM ranked WHERE best <= 5",
     "worst_performers": f"SELECT portfolio_id, symbol, shares, {CENTS}, worst AS rank FROM ranked WHERE worst <= 5",

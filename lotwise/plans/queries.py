@@ -162,8 +162,8 @@ def concentration(spark, d):
 
 @query
 def invested_vs_current(spark, d):
-    cost = F.sum(F.col("shares") * F.col("purchase_price"))
-    return valued(spark, d).groupBy("portfolio_id", "symbol").agg(fx.even(cost, 2).alias("invested"), fx.even(F.sum("current_value"), 2).alias("current"))
+    cost = fx.exact_sum(F.col("shares") * F.col("purchase_price"))
+    return valued(spark, d).groupBy("portfolio_id", "symbol").agg(fx.even(cost, 2).alias("invested"), fx.even(fx.exact_sum(F.col("current_value")), 2).alias("current"))
 
 
 @query
