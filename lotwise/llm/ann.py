@@ -35,7 +35,7 @@ DIMS = 8
 #: Chance with which a neighbour at the distance of the k-th found is met before the search stops.
 SURE = 0.98
 SAMPLE_ROWS, MAX_CELLS = 20_000, 1024
-CELL_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 2048, 64
+CELL_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 16_384, 256
 #: Queries that meet a block in one task.
 QUERY_ROWS = 1024
 BROADCAST_BLOCKS = 200_000
