@@ -42,12 +42,34 @@ def _words_of(column):
             yield row + k, np.unique(hashes[cuts[k] : cuts[k + 1]])
 
 
-def _featured(batches):
+def _counted(batches):
+    """(word, docs, hits): documents with a word, and those of a grade above 0, batch by batch."""
     import pyarrow as pa
 
     for batch in batches:
-        words = [w.view(np.int64) for _, w in _words_of(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(words, pa.list_(pa.int64()))], ["grade", "words"])
+        toxic = np.array(batch.column("grade").to_pylist()) > 0
+        found = list(_words_of(batch.column("text")))
+        flat = np.concatenate([w for _, w in found]) if found else np.empty(0, np.uint64)
+        owner = np.repeat(np.array([row for row, _ in found], dtype=np.int64), [len(w) for _, w in found])
+        words, code, docs = np.unique(flat, return_inverse=True, return_counts=True)
+        hits = np.bincount(code, toxic[owner], len(words)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(hits)], ["word", "docs", "hits"])
+
+
+def _featured(known: np.ndarray):
+    """(grade, features): the places in ``known``, sorted hashes, of the words of each text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            features = [np.empty(0, np.int64)] * batch.num_rows
+            for row, words in _words_of(batch.column("text")):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                features[row] = at[known[at] == words]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(features, pa.list_(pa.int64()))], ["grade", "features"])
+
+    return run
 
 
 def sigmoid(x):
@@ -97,27 +119,30 @@ def fit(docs: DataFrame, grades: DataFrame, levels: tuple = LEVELS, sample_docs:
     share = min(1.0, sample_docs / max(grades.count(), 1))
     drawn = grades.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) < share * (1 << 30))
     drawn = broadcast_if_small(stored(drawn, "drawn"), 2 * sample_docs)
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("grade", "text").mapInArrow(_featured, "grade int, words array<long>").toPandas()
-    grade = rows["grade"].to_numpy(dtype=np.int64)
-    if len(grade) == 0 or len(np.unique(grade)) < 2:
-        return {"words": np.empty(0, np.int64), "weights": np.empty(0), "thresholds": np.empty(0), "only": int(grade[0]) if len(grade) else 0}
-    sizes = rows["words"].map(len).to_numpy()
-    flat, owner = np.concatenate(rows["words"].to_list()), np.repeat(np.arange(len(grade)), sizes)
-    words, code = np.unique(flat, return_inverse=True)
-    toxic = grade > 0
-    seen, hits = np.bincount(code), np.bincount(code, toxic[owner])
-    expected = seen * toxic.mean()
-    chi = np.where(seen >= MIN_DOCS, (hits - expected) ** 2 / np.maximum(expected * (1 - toxic.mean()), 1e-9), 0)
-    best = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    best = best[chi[best] >= MIN_CHI]
-    place = np.full(len(words), -1)
-    place[best] = np.arange(len(best))
-    used = place[code] >= 0
+    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("grade", "text")
+    held = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    constant = {"words": np.empty(0, np.uint64), "weights": np.empty(0), "thresholds": np.empty(0), "only": max(held, key=held.get, default=0)}
+    if len(held) < 2:
+        return constant
+    share = sum(n for g, n in held.items() if g > 0) / sum(held.values())
+    words = rows.mapInArrow(_counted, "word long, docs long, hits long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
+    expected = F.col("docs") * share
+    chi = F.try_divide((F.col("hits") - expected) * (F.col("hits") - expected), expected * (1 - share))
+    words = words.where(F.col("docs") >= MIN_DOCS).select("word", chi.alias("chi"), (F.col("hits") > expected).alias("telling"))
+    best = words.where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "word").limit(FEATURES).toPandas()
+    known = best["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(known)
+    known, telling = known[order], best["telling"].to_numpy(dtype=bool)[order]
+    if not len(known):
+        return constant
+    sample = rows.mapInArrow(_featured(known), "grade int, features array<long>").toPandas()
+    grade = sample["grade"].to_numpy(dtype=np.int64)
+    sizes = sample["features"].map(len).to_numpy()
+    feature, owner = np.concatenate(sample["features"].to_list()).astype(np.int64), np.repeat(np.arange(len(grade)), sizes)
     if levels and grade.max() == 1:
-        telling = np.append(hits[best] > expected[best], False)[place[code]]
-        grade = np.where(toxic, 1 + np.searchsorted(levels, np.bincount(owner, telling, len(grade)), "right"), 0)
-    weights, thresholds = fit_ordinal(owner[used], place[code][used], grade, len(best))
-    return {"words": words[best], "weights": weights, "thresholds": thresholds, "only": -1}
+        grade = np.where(grade > 0, 1 + np.searchsorted(levels, np.bincount(owner, telling[feature], len(grade)), "right"), 0)
+    weights, thresholds = fit_ordinal(owner, feature, grade, len(known))
+    return {"words": known, "weights": weights, "thresholds": thresholds, "only": -1}
 
 
 def _scorer(model):
@@ -125,8 +150,7 @@ def _scorer(model):
         import pyarrow as pa
 
         m = model.value
-        order = np.argsort(m["words"].view(np.uint64))
-        known, weights = m["words"].view(np.uint64)[order], m["weights"][order]
+        known, weights = m["words"], m["weights"]
         for batch in batches:
             score = np.zeros(batch.num_rows)
             for row, words in _words_of(batch.column("text")):
