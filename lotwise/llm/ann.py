@@ -251,7 +251,7 @@ class Index:
         first = stored(top(self._meet(asked.withColumn("bound", F.lit(float("inf"))), k)), "first_visit")
         kth = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
         norm = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-        bound = F.coalesce(F.greatest(norm + self.most - 2 * F.col("kth"), F.lit(0.0)), F.lit(float("inf")))
+        bound = F.when(F.col("kth").isNotNull(), F.greatest(norm + self.most - 2 * F.col("kth"), F.lit(0.0))).otherwise(float("inf"))
         known = asked.join(kth.distinct(), "query_id", "left").select("query_id", "vec", "cell", bound.alias("bound"))
         onward = known.mapInPandas(_router(self.low, self.high, self.cells), "query_id long, vec array<double>, bound double, cell int")
         second = self._meet(onward, k)
