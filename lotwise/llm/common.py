@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.sources.storage import broadcast_if_small, discard, new_path, stored
@@ -18,6 +19,17 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Up to this many ids are broadcast to take their rows out.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``; rows without a doc_id stay. While the ids
+    are few enough to broadcast no text is shuffled."""
+    gone = broadcast_if_small(stored(gone.select("doc_id").distinct(), "gone"), BROADCAST_IDS)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -64,9 +76,16 @@ def word_hashes(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     """64-bit hashes of the words (A-Z lower-cased) of concatenated texts, and where each begins.
 
     ``data`` is the UTF-8 bytes, ``doc_starts`` the offsets at which texts begin."""
+    hashes, begins = prefix_hashes(data, doc_starts, (None,))
+    return hashes[0], begins
+
+
+def prefix_hashes(data: np.ndarray, doc_starts: np.ndarray, sizes: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """Like ``word_hashes``, for the first bytes of the words: an array for each of ``sizes``, in which
+    shorter words stand as they are (None: all words do)."""
     n = len(data)
     if n == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return [np.empty(0, np.uint64) for _ in sizes], np.empty(0, np.int64)
     solid = ~_IS_SPACE[data]
     breaks = np.zeros(n + 1, dtype=bool)
     breaks[doc_starts[doc_starts < n]] = True
@@ -77,8 +96,12 @@ def word_hashes(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, n
     powers, inverses = _power_tables(n)
     prefix = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE_VALUES[data] * powers[:n], out=prefix[1:])
-    raw = (prefix[ends] - prefix[begins]) * inverses[begins]
-    return mix64(raw + (ends - begins).astype(np.uint64) * _MIX2), begins
+
+    def hashed(stops: np.ndarray) -> np.ndarray:
+        raw = (prefix[stops] - prefix[begins]) * inverses[begins]
+        return mix64(raw + (stops - begins).astype(np.uint64) * _MIX2)
+
+    return [hashed(ends if size is None else np.minimum(ends, begins + size)) for size in sizes], begins
 
 
 def text_buffers(column, chunk_bytes: int):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, stored, without
 
 #: Digests above this share of the rows are split off; 1/SUPPORT bounds the broadcast.
 SUPPORT = 0.001
@@ -63,5 +63,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, exact_dedup(docs).where(~F.col("kept")))

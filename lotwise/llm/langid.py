@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, text_buffers, word_hashes
+from .common import _IS_SPACE, text_buffers, without, word_hashes
 
 #: Documents of each language that the models are fitted on, about.
 SAMPLE_DOCS = 1000
@@ -272,5 +272,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told, all columns."""
-    gone = identify(docs).where(F.col("lang_pred") == "und").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, identify(docs).where(F.col("lang_pred") == "und"))

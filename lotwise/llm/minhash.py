@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, discard, mix64, stored, text_words
+from .common import BROADCAST_IDS, broadcast_if_small, discard, mix64, stored, text_words, without
 from .components import connected
 
 COORDS, MATCHES = 64, 34
@@ -44,8 +44,6 @@ SIMILARITY = 80
 APART = 22
 #: Groups of step 4 above so many members are compared in blocks.
 SMALL_GROUP = 48
-#: Up to this many ids are broadcast to pick their texts.
-BROADCAST_IDS = 1_000_000
 #: A block of step 4 holds about this many documents and shingles at most.
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 250_000
 
@@ -295,8 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of every component, all columns."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_duplicates(docs).where(~F.col("kept")))
 
 
 ORACLE = r"""

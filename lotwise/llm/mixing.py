@@ -32,10 +32,14 @@ LEVELS, LEVEL_BITS, HASH_BITS = 3, 10, 60
 BROADCAST_SOURCES = 20_000
 
 
+def id_hash() -> Column:
+    """The first 60 bits of md5(doc_id)."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h) of every document; h is the first 60 bits of md5(doc_id)."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"))
+    """(doc_id, source, size, h) of every document."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash().alias("h"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -90,31 +94,38 @@ def thresholds(rows: DataFrame, kinds: DataFrame) -> DataFrame:
     return state.withColumn("taking", (F.col("left") > F.col("half")) & (F.col("times") < CAP)).drop("left", "half")
 
 
+def plan_of(rows: DataFrame) -> DataFrame:
+    """The thresholds of all sources, with names that no document column has."""
+    kinds = stored(targets(rows), "targets")
+    plan = broadcast_if_small(stored(thresholds(rows, kinds), "bars"), BROADCAST_SOURCES)
+    return plan.select(*(F.col(c).alias(f"__{c}") for c in plan.columns))
+
+
+def copies(h: Column) -> Column:
+    """How often a document with this hash is taken, beside the columns of ``plan_of``."""
+    cell = prefix(h, LEVELS)
+    once_more = (F.col("__times") < CAP) & ((cell < F.col("__bar")) | ((cell == F.col("__bar")) & F.col("__taking")))
+    return F.col("__times") + once_more.cast("long")
+
+
 def mix_sources(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
     rows = stored(sized(docs), "sized")
-    kinds = stored(targets(rows), "targets")
-    plan = broadcast_if_small(stored(thresholds(rows, kinds), "bars"), BROADCAST_SOURCES)
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "times", "bar", "taking")
-    cell = prefix(F.col("h"), LEVELS)
-    once_more = (F.col("times") < CAP) & ((cell < F.col("bar")) | ((cell == F.col("bar")) & F.col("taking")))
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "doc_id",
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("times") + once_more.cast("long"))).alias("taken"),
+    return rows.join(plan_of(rows), F.col("source").eqNullSafe(F.col("__source")), "left").select(
+        "doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * copies(F.col("h"))).alias("taken")
     )
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as many times as it is taken. Documents without
-    words cost nothing and stay once, so that no clean document goes for being empty."""
-    plan = mix_sources(docs).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1)).cast("int").alias("__times"))
-    plan = plan.withColumnRenamed("doc_id", "__id")
-    out = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id"))).where(F.col("__times") > 0)
+    words cost nothing and stay once. The thresholds are applied to the rows as they are read, so
+    no text is shuffled while they can be broadcast."""
+    plan = plan_of(stored(sized(docs), "sized"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*names)
+    rows = docs.select(*names, word_count(F.col("text")).alias("__size"), id_hash().alias("__h"))
+    times = F.when(F.col("__size") > 0, copies(F.col("__h"))).otherwise(1).cast("int")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", times).where(F.col("__copies") > 0)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
 
 
 def _level_sql(rows: str, state: str, level: int) -> str:

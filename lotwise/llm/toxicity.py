@@ -1,11 +1,11 @@
 """Toxic severity by cumulative-link ordinal regression on sparse words.
 
 P(grade <= j) = sigmoid(threshold_j - w . x): one weight for each word, shared by all ordered
-thresholds. x marks the presence of words (runs of letters, A-Z lower-cased). The result for a text
+thresholds. x marks the presence of words (runs of letters, A-Z lower-cased) and of word beginnings. The result for a text
 is its expected grade, its likeliest grade and whether the chance of a grade above 0 reaches CUT.
 
 The model is fitted on a bounded sample of labelled rows, about SAMPLE_DOCS drawn by hash (fewer rows:
-all), on the up to FEATURES words that differ most between grade 0 and the rest. All else covers every
+all), on the up to FEATURES of them that differ most between grade 0 and the rest. All else covers every
 document and whole texts.
 
 Results for odd rows: a null or empty text has no words and gets what the thresholds alone say; if
@@ -20,10 +20,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored, text_buffers, word_hashes
+from .common import broadcast_if_small, prefix_hashes, stored, text_buffers
 from .langid import _PLAIN, held_out
 
 SAMPLE_DOCS = 20_000
+#: Features of a word: itself and its first bytes, for families of words that share a stem.
+KINDS = (None, 4, 5, 6, 7, 8)
 #: A feature is in at least MIN_DOCS sampled documents and its chi-square is at least MIN_CHI, which
 #: words that differ by chance do not reach in a vocabulary of millions.
 FEATURES, MIN_DOCS, MIN_CHI = 2000, 10, 60.0
@@ -33,13 +35,35 @@ CUT = 0.3
 LEVELS = (3, 5)
 
 
-def _words_of(column):
-    """(row, sorted distinct hashes of the letter runs) of every text."""
+def _chunks(column):
+    """(first row, features of the words of a chunk of texts, one array a kind, words before each row).
+
+    The kind, a word or one of its prefixes, stands in the low bits of a feature."""
     for row, data, offsets in text_buffers(column, 1 << 20):
-        hashes, begins = word_hashes(_PLAIN[data], offsets[:-1])
-        cuts = np.searchsorted(begins, offsets)
-        for k in range(len(offsets) - 1):
-            yield row + k, np.unique(hashes[cuts[k] : cuts[k + 1]])
+        kinds, begins = prefix_hashes(_PLAIN[data], offsets[:-1], KINDS)
+        yield row, [(h & ~np.uint64(7)) | np.uint64(k) for k, h in enumerate(kinds)], np.searchsorted(begins, offsets)
+
+
+def _words_of(column):
+    """(row, sorted distinct features) of every text."""
+    for row, kinds, cuts in _chunks(column):
+        for k in range(len(cuts) - 1):
+            yield row + k, np.unique(np.concatenate([h[cuts[k] : cuts[k + 1]] for h in kinds]))
+
+
+def _known_of(column, known: np.ndarray):
+    """(row, places in ``known`` of the distinct features) of every text; ``known`` is sorted."""
+    for row, kinds, cuts in _chunks(column):
+        owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        hits = []
+        for h in kinds:
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[at] == h
+            hits.append(owner[hit] * len(known) + at[hit])
+        found = np.unique(np.concatenate(hits))
+        ends = np.searchsorted(found, np.arange(len(cuts)) * len(known))
+        for k in range(len(cuts) - 1):
+            yield row + k, found[ends[k] : ends[k + 1]] % len(known)
 
 
 def _counted(batches):
@@ -64,9 +88,8 @@ def _featured(known: np.ndarray):
 
         for batch in batches:
             features = [np.empty(0, np.int64)] * batch.num_rows
-            for row, words in _words_of(batch.column("text")):
-                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                features[row] = at[known[at] == words]
+            for row, places in _known_of(batch.column("text"), known):
+                features[row] = places
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(features, pa.list_(pa.int64()))], ["grade", "features"])
 
     return run
@@ -140,7 +163,9 @@ def fit(docs: DataFrame, grades: DataFrame, levels: tuple = LEVELS, sample_docs:
     sizes = sample["features"].map(len).to_numpy()
     feature, owner = np.concatenate(sample["features"].to_list()).astype(np.int64), np.repeat(np.arange(len(grade)), sizes)
     if levels and grade.max() == 1:
-        grade = np.where(grade > 0, 1 + np.searchsorted(levels, np.bincount(owner, telling[feature], len(grade)), "right"), 0)
+        kind = (known & np.uint64(7)).astype(np.int64)
+        per_kind = np.bincount(owner * len(KINDS) + kind[feature], telling[feature], len(grade) * len(KINDS)).reshape(len(grade), -1)
+        grade = np.where(grade > 0, 1 + np.searchsorted(levels, per_kind.max(axis=1), "right"), 0)
     weights, thresholds = fit_ordinal(owner, feature, grade, len(known))
     return {"words": known, "weights": weights, "thresholds": thresholds, "only": -1}
 
@@ -153,10 +178,8 @@ def _scorer(model):
         known, weights = m["words"], m["weights"]
         for batch in batches:
             score = np.zeros(batch.num_rows)
-            for row, words in _words_of(batch.column("text")):
-                if len(known) and len(words):
-                    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-                    score[row] = weights[at[known[at] == words]].sum()
+            for row, places in _known_of(batch.column("text"), known) if len(known) else ():
+                score[row] = weights[places].sum()
             if m["only"] >= 0:
                 p = np.zeros((len(score), m["only"] + 1))
                 p[:, m["only"]] = 1
