@@ -5,8 +5,9 @@ thresholds. x marks the presence of words (runs of letters, A-Z lower-cased) and
 is its expected grade, its likeliest grade and whether the chance of a grade above 0 reaches CUT.
 
 The model is fitted on a bounded sample of labelled rows, about SAMPLE_DOCS drawn by hash (fewer rows:
-all), on the up to FEATURES of them that differ most between grade 0 and the rest. All else covers every
-document and whole texts.
+all). Every grade has an equal part of the sample, what rare grades leave goes to the others, and rows
+weigh as many as they stand for. Features are the up to FEATURES words that tell grade 0 from the rest
+most surely: by the hypergeometric tail, with few false ones expected among those chosen. All else covers every document and whole texts.
 
 Results for odd rows: a null or empty text has no words and gets what the thresholds alone say; if
 no row is labelled, or all have one grade, every text gets that grade (0 without labels); several
@@ -26,9 +27,12 @@ from .langid import _PLAIN, held_out
 SAMPLE_DOCS = 20_000
 #: Features of a word: itself and its first bytes, for families of words that share a stem.
 KINDS = (None, 4, 5, 6, 7, 8)
-#: A feature is in at least MIN_DOCS sampled documents and its chi-square is at least MIN_CHI, which
-#: words that differ by chance do not reach in a vocabulary of millions.
-FEATURES, MIN_DOCS, MIN_CHI = 2000, 10, 60.0
+#: Of the chosen features, at most FALSE_SHARE and at most FALSE_WORDS are expected to differ by chance.
+#: Their smoothed odds ratio is at least ODDS: with many labels, words that hardly tell anything are
+#: significant too.
+FEATURES, FALSE_SHARE, FALSE_WORDS, ODDS = 2000, 0.1, 3, 3.0
+#: Logarithms of chances are counted in steps of 1/BINS, down to -DEEPEST.
+BINS, DEEPEST = 20, 500
 STEPS, RATE, SHRINK = 400, 0.1, 1e-5
 CUT = 0.3
 #: Distinct telling words at which a toxic document is of grade 2, 3.
@@ -106,11 +110,82 @@ def chances(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return np.maximum(np.diff(below, axis=1), 1e-12)
 
 
-def fit_ordinal(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
+def quotas(held: dict, total: int) -> dict:
+    """How many rows of each grade to draw: equal parts of ``total``, of which rare grades leave the
+    rest to the others."""
+    out, left = {}, total
+    for k, grade in enumerate(sorted(held, key=lambda g: (held[g], g))):
+        out[grade] = min(held[grade], left / (len(held) - k))
+        left -= out[grade]
+    return out
+
+
+def log_factorial(n: np.ndarray) -> np.ndarray:
+    m = np.maximum(n, 1.0)
+    return np.where(n < 1, 0.0, m * np.log(m) - m + 0.5 * np.log(2 * np.pi * m) + 1 / (12 * m) - 1 / (360 * m**3))
+
+
+def log_tail(docs: np.ndarray, hits: np.ndarray, rows: int, positive: int) -> np.ndarray:
+    """A bound of the logarithm of the chance that a word in ``docs`` of ``rows`` documents is in
+    ``hits`` or more of the ``positive`` ones: the chance of just ``hits``, and the rest of the tail as
+    a geometric series. 0 where hits are not above what is expected."""
+    rows, positive = np.float64(rows), np.float64(positive)
+    choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+    point = choose(positive, hits) + choose(rows - positive, docs - hits) - choose(rows, docs)
+    step = (positive - hits) * (docs - hits) / ((hits + 1) * (rows - positive - docs + hits + 1))
+    return np.where(hits * rows <= docs * positive, 0.0, np.minimum(0.0, point - np.log1p(-np.minimum(step, 1 - 1e-9))))
+
+
+def _judged(rows: int, positive: int):
+    """(word, least, chance, odds, telling) of words: logarithms of the two-sided chance of a difference
+    like theirs and of the largest that their number of documents allows, smoothed odds ratio."""
+
+    def both(docs, hits):
+        return np.minimum(log_tail(docs, hits, rows, positive), log_tail(docs, docs - hits, rows, rows - positive)) + np.log(2)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            docs, hits = (batch.column(c).to_numpy().astype(np.float64) for c in ("docs", "hits"))
+            least = np.minimum(both(docs, np.minimum(docs, positive)), both(docs, np.maximum(0, docs - (rows - positive))))
+            odds = (hits + 0.5) * (rows - positive - docs + hits + 0.5) / ((positive - hits + 0.5) * (docs - hits + 0.5))
+            out = [batch.column("word"), least, both(docs, hits), np.maximum(odds, 1 / odds), hits * rows > docs * positive]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["word", "least", "chance", "odds", "telling"])
+
+    return run
+
+
+def telling_words(words: DataFrame, rows: int, positive: int) -> DataFrame:
+    """(word, telling, chance) of the features, at most FEATURES, out of (word, docs, hits). Words whose
+    chance is below a level t are chosen, the largest t at which the false ones, t times the words
+    that are in documents enough to get there, are within FALSE_SHARE of the chosen
+    and FALSE_WORDS."""
+    judged = words.mapInArrow(_judged(rows, positive), "word long, least double, chance double, odds double, telling boolean")
+    judged = stored(judged.where(F.col("least") < float(np.log(FALSE_SHARE))), "words")
+    different = judged.where((F.col("odds") >= ODDS) & (F.col("chance") < 0))
+    bin_of = lambda c: F.least(F.lit(DEEPEST * BINS), F.floor(-F.col(c) * BINS).cast("int"))
+
+    def reaching(words, c):
+        counts = np.zeros(DEEPEST * BINS + 1)
+        for r in words.groupBy(bin_of(c).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["b"]] = r["n"]
+        return counts[::-1].cumsum()[::-1]
+
+    can, do = reaching(judged, "least"), reaching(different, "chance")
+    level = np.exp(-np.arange(len(do)) / BINS)
+    good = np.flatnonzero((do > 0) & (level * can <= np.minimum(FALSE_SHARE * do, FALSE_WORDS)))
+    chosen = different.where(bin_of("chance") >= int(good[0])) if len(good) else different.limit(0)
+    return chosen.orderBy("chance", "word").limit(FEATURES)
+
+
+def fit_ordinal(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, features: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam on the mean negative log-likelihood. Row ``owner[k]`` has feature
-    ``feature[k]``. Thresholds are a first one and positive steps, so they stay in order."""
+    ``feature[k]``; rows weigh ``weight``, or the same. Thresholds are a first one and positive steps,
+    so they stay in order."""
     grades = int(grade.max()) + 1
-    share = np.cumsum(np.bincount(grade, minlength=grades))[:-1] / len(grade)
+    weight = np.ones(len(grade)) if weight is None else weight * (len(grade) / weight.sum())
+    share = np.cumsum(np.bincount(grade, weight, grades))[:-1] / len(grade)
     start = np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))
     p = np.concatenate([np.zeros(features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v, rows = np.zeros_like(p), np.zeros_like(p), np.arange(len(grade))
@@ -123,6 +198,7 @@ def fit_ordinal(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, featu
         likely = np.maximum(padded[rows, grade + 1] - padded[rows, grade], 1e-9)
         slope = padded * (1 - padded)
         up, down = slope[rows, grade + 1] / likely, slope[rows, grade] / likely
+        up, down = up * weight, down * weight
         by_score = (up - down) / len(grade)
         by_threshold = np.bincount(grade + 1, -up, grades + 1)[1:grades] + np.bincount(grade, down, grades + 1)[1:grades]
         by_threshold /= len(grade)
@@ -139,20 +215,18 @@ def fit(docs: DataFrame, grades: DataFrame, levels: tuple = LEVELS, sample_docs:
     words that tell the grades apart."""
     grades = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     grades = stored(grades, "grades")
-    share = min(1.0, sample_docs / max(grades.count(), 1))
-    drawn = grades.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) < share * (1 << 30))
+    labelled = {r["grade"]: r["n"] for r in grades.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {g: n / labelled[g] for g, n in quotas(labelled, sample_docs).items()}
+    bars = F.coalesce(*(F.when(F.col("grade") == g, share * (1 << 30)) for g, share in shares.items()), F.lit(0.0))
+    drawn = grades.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) < bars)
     drawn = broadcast_if_small(stored(drawn, "drawn"), 2 * sample_docs)
     rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("grade", "text")
     held = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     constant = {"words": np.empty(0, np.uint64), "weights": np.empty(0), "thresholds": np.empty(0), "only": max(held, key=held.get, default=0)}
     if len(held) < 2:
         return constant
-    share = sum(n for g, n in held.items() if g > 0) / sum(held.values())
     words = rows.mapInArrow(_counted, "word long, docs long, hits long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
-    expected = F.col("docs") * share
-    chi = F.try_divide((F.col("hits") - expected) * (F.col("hits") - expected), expected * (1 - share))
-    words = words.where(F.col("docs") >= MIN_DOCS).select("word", chi.alias("chi"), (F.col("hits") > expected).alias("telling"))
-    best = words.where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "word").limit(FEATURES).toPandas()
+    best = telling_words(words, sum(held.values()), sum(n for g, n in held.items() if g > 0)).toPandas()
     known = best["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(known)
     known, telling = known[order], best["telling"].to_numpy(dtype=bool)[order]
@@ -160,13 +234,14 @@ def fit(docs: DataFrame, grades: DataFrame, levels: tuple = LEVELS, sample_docs:
         return constant
     sample = rows.mapInArrow(_featured(known), "grade int, features array<long>").toPandas()
     grade = sample["grade"].to_numpy(dtype=np.int64)
+    weight = 1 / np.array([shares.get(g, 1.0) for g in range(int(grade.max()) + 1)])[grade]
     sizes = sample["features"].map(len).to_numpy()
     feature, owner = np.concatenate(sample["features"].to_list()).astype(np.int64), np.repeat(np.arange(len(grade)), sizes)
     if levels and grade.max() == 1:
         kind = (known & np.uint64(7)).astype(np.int64)
         per_kind = np.bincount(owner * len(KINDS) + kind[feature], telling[feature], len(grade) * len(KINDS)).reshape(len(grade), -1)
         grade = np.where(grade > 0, 1 + np.searchsorted(levels, per_kind.max(axis=1), "right"), 0)
-    weights, thresholds = fit_ordinal(owner, feature, grade, len(known))
+    weights, thresholds = fit_ordinal(owner, feature, grade, len(known), weight)
     return {"words": known, "weights": weights, "thresholds": thresholds, "only": -1}
 
 

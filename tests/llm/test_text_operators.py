@@ -243,6 +243,19 @@ def test_toxicity(spark):
     assert {(r.severity, r.grade, r.toxic) for r in none} == {(0.0, 0, False)}
 
 
+def test_toxicity_with_rare_or_few_labels(spark):
+    rng = random.Random(11)
+    text = lambda bad: " ".join([rng.choice(WORDS) for _ in range(30)] + (rng.sample(["vile", "scum", "awful"], 2) if bad else []))
+    rare = [(k, text(k % 100 == 0), "en", "s") for k in range(3000)]
+    grades = spark.createDataFrame([(k, int(k % 100 == 0)) for k in range(3000)], "doc_id long, grade int")
+    got = {r.doc_id: r.toxic for r in toxicity.score(frame(spark, rare), toxicity.fit(frame(spark, rare), grades, sample_docs=200)).collect()}
+    assert [k for k in got if got[k]] == [k for k in got if k % 100 == 0]
+    few = [(k, text(k % 7 == 0), "en", "s") for k in range(200)]
+    labels = spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(56)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.severities(frame(spark, few), labels).collect()}
+    assert sum(got[k] == (k % 7 == 0) for k in got) >= 195
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_dedup(none).count() == 0
