@@ -4,11 +4,14 @@ Base. Emails, IP addresses, card numbers and phone numbers are found by pattern,
 overlap inside each kind; matches that fail their check (parts, digits, Luhn) are dropped. Offsets are
 code points: the texts between matches and the matches are measured in order.
 
-Bootstrapping. A word with a digit is an instance, the one or two words before it its lexical pattern.
-Instances inside base spans are seeds with score 1. Over the graph of patterns and instances Spark
-repeats: a pattern scores the mean of its instances, an instance not a seed one minus the product of
-the misses of its patterns. Patterns with a score of at least ACCEPT, over enough seeds and distinct
-instances, extract all their other instances as spans of kind ``id``. Base spans are never changed.
+Bootstrapping. Every base span is an instance and a seed with score 1, whatever its form. Words outside
+base spans that could be identifiers are the other instances: those with a digit, a sign between
+letters, or two capitals. The two words before an instance, or the one there is, are its lexical
+pattern. Over the graph of patterns and instances Spark repeats: a pattern scores the mean of its
+instances, an instance not a seed one minus the product of the misses of its patterns. Patterns with a
+score of at least ACCEPT, over enough seeds and distinct instances, extract all their other instances
+as spans of kind ``id``, and the candidate words that follow these without any other word between;
+spans one blank apart are one. Base spans are never changed. Plain words are not candidates.
 
 DataFrame functions only. Every text is scanned once, whole; only spans and contexts are stored.
 A context is looked for in the CONTEXT_CHARS characters before a word.
@@ -35,15 +38,17 @@ PATTERNS = {
 }
 IP_PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_CHECK = rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"
-#: A word with a digit.
-INSTANCE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: A word with a digit, a sign between letters, or two capitals.
+INSTANCE = r"(?<!\S)(?:[^\s0-9]*+[0-9]|\S*?\p{L}[-_.@/:]++\p{L}|\S*?\p{Lu}\S*?\p{Lu})\S*+"
 CONTEXT_CHARS = 80
 ROUNDS = 3
 #: What an accepted pattern has at least.
 ACCEPT, MIN_SEEDS, MIN_INSTANCES = 0.8, 3, 5
 BLOCK = 256
 
-PLACED = "array<struct<start:bigint,end:bigint,text:string,before:string>>"
+PLACED = "array<struct<start:bigint,end:bigint,text:string,before:string,head:string,head_at:bigint>>"
+MARKS = "array<struct<start:bigint,kind:int,end:bigint,instance:bigint,patterns:array<string>>>"
+SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def let(value: Column, use) -> Column:
@@ -51,30 +56,42 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def last(text: Column) -> Column:
+    return F.substring(text, -CONTEXT_CHARS, CONTEXT_CHARS)
+
+
 def placed(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text, before) of the matches, null without any.
+    """Array of (start, end, text, before, head, head_at) of the matches, null without any: ``before``
+    is the text before a match, ``head`` and ``head_at`` are ``before`` and ``start`` of the first of
+    the matches that follow each other up to this one with only white space between.
 
     Positions are running sums over gaps and matches, taken in blocks so that the arrays that are
     built up stay short."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("width"), m.alias("text"), F.substring(g, -CONTEXT_CHARS, CONTEXT_CHARS).alias("before")))
+    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("width"), m.alias("text"), last(g).alias("before"), F.regexp_like(g, F.lit(r"^\s*$")).alias("next")))
     parts = F.filter(parts, lambda p: p["text"].isNotNull())
 
-    def one(at: Column, p: Column) -> Column:
-        start = at + p["gap"]
-        return F.struct(start.alias("start"), (start + p["width"]).alias("end"), p["text"].alias("text"), p["before"].alias("before"))
+    def one(acc: Column, p: Column, before: Column) -> Column:
+        start, goes_on = acc["at"] + p["gap"], p["next"] & acc["head"].isNotNull()
+        head, head_at = F.when(goes_on, acc["head"]).otherwise(before), F.when(goes_on, acc["head_at"]).otherwise(start)
+        return F.struct(start.alias("start"), (start + p["width"]).alias("end"), p["text"].alias("text"), before.alias("before"), head.alias("head"), head_at.alias("head_at"))
+
+    def state(at: Column, tail: Column, head: Column, head_at: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), tail.alias("tail"), head.alias("head"), head_at.alias("head_at"), out.alias("out"))
+
+    def inside(block: Column, acc: Column) -> Column:
+        def step(acc: Column, p: Column) -> Column:
+            match = lambda m: state(m["end"], last(F.concat(m["before"], m["text"])), m["head"], m["head_at"], F.concat(acc["out"], F.array(m)))
+            return let(last(F.concat(acc["tail"], p["before"])), lambda before: let(one(acc, p, before), match))
 
-    def inside(block: Column, at: Column) -> Column:
-        zero = F.struct(at.alias("at"), F.lit(None).cast(PLACED).alias("out"))
-        step = lambda acc, p: F.struct((acc["at"] + p["gap"] + p["width"]).alias("at"), F.concat(F.coalesce(acc["out"], F.array().cast(PLACED)), F.array(one(acc["at"], p))).alias("out"))
-        return F.aggregate(block, zero, step)
+        return F.aggregate(block, state(acc["at"], acc["tail"], acc["head"], acc["head_at"], F.array().cast(PLACED)), step)
 
     def blocks(z: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, BLOCK))
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{PLACED}>").alias("out"))
+        zero = state(F.lit(0).cast("long"), F.lit(""), F.lit(None).cast("string"), F.lit(0).cast("long"), F.array().cast(f"array<{PLACED}>"))
 
         def step(acc, block):
-            return let(inside(block, acc["at"]), lambda done: F.struct(done["at"].alias("at"), F.concat(acc["out"], F.array(done["out"])).alias("out")))
+            return let(inside(block, acc), lambda done: state(done["at"], done["tail"], done["head"], done["head_at"], F.concat(acc["out"], F.array(done["out"]))))
 
         return F.flatten(F.aggregate(cut, zero, step)["out"])
 
@@ -107,33 +124,40 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans, ordered by start, then kind: array of (start, kind, end)."""
+def contexts(before: Column) -> Column:
+    """The patterns of what follows ``before``: its last two words, or the one there is."""
+    return F.filter(F.array(F.lower(F.regexp_replace(F.regexp_extract(before, r"((?:\S+\s+)?\S+)\s+$", 1), r"\s+", " "))), lambda p: p != "")
+
+
+def base_marks(text: Column) -> Column:
+    """All base spans, ordered by start, then kind, as instances: array of (start, kind, end, instance,
+    patterns)."""
     def of(k: int, kind: str) -> Column:
         kept = F.filter(placed(text, PATTERNS[kind]), lambda m: holds(kind, m["text"]))
-        as_spans = F.transform(kept, lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end")))
-        return F.coalesce(as_spans, F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
+        mark = lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), F.xxhash64(F.lower(m["text"])).alias("instance"), contexts(m["before"]).alias("patterns"))
+        return F.coalesce(F.transform(kept, mark), F.array().cast(MARKS))
 
-    spans = [of(k, kind) for k, kind in enumerate(KINDS)]
-    return F.array_sort(F.concat(*spans))
+    return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
 
 def instances(text: Column) -> Column:
-    """Words with a digit, their edges trimmed of other signs, with the pattern before them."""
+    """Candidate words, their edges trimmed of other signs, with the patterns before them and before
+    the first of the candidates that they follow."""
 
     def one(m: Column) -> Column:
         lead = F.length(m["text"]) - F.length(F.regexp_replace(m["text"], r"^[^\p{L}0-9+]+", ""))
         core = F.regexp_replace(F.regexp_replace(m["text"], r"^[^\p{L}0-9+]+", ""), r"[^\p{L}0-9]+$", "")
-        pattern = F.lower(F.regexp_replace(F.regexp_extract(m["before"], r"((?:\S+\s+)?\S+)\s+$", 1), r"\s+", " "))
-        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("instance"), pattern.alias("pattern"))
+        first = F.when(m["head_at"] < m["start"], contexts(m["head"])).otherwise(F.array().cast("array<string>"))
+        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("instance"), contexts(m["before"]).alias("patterns"), first.alias("first"), m["head_at"].alias("head_at"))
 
-    return F.filter(F.transform(placed(text, INSTANCE), one), lambda m: m["pattern"] != "")
+    return F.transform(placed(text, INSTANCE), one)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, doc_id, base, seen): a row number, the base spans and the instances of every document."""
+    """(row, doc_id, marks, seen): a row number, the base spans and the candidate words of every
+    document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), base_spans(text).alias("base"), instances(text).alias("seen"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), base_marks(text).alias("marks"), instances(text).alias("seen"))
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "scan")
 
 
@@ -165,14 +189,29 @@ def named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
+def joined(spans: Column) -> Column:
+    """Ordered spans, those one blank apart as one."""
+    firsts = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["end"] + 1 != s["start"]))
+    lasts = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] != s["end"] + 1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["start"].alias("start"), a["kind"].alias("kind"), b["end"].alias("end")))
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, n_found, base_sha256, spans."""
     rows = scan(docs, id_col, text_col)
-    each = rows.select("row", "base", F.explode("seen").alias("m")).select("row", "m.*", F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))).cast("int").alias("seed"))
-    edges = stored(each.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
+    base = F.transform("marks", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
+    rows = rows.select("row", "doc_id", "marks", "seen", base.alias("base"))
+    seeds = rows.select(F.explode("marks").alias("m")).select("m.instance", F.explode("m.patterns").alias("pattern"), F.lit(1).alias("seed"))
+    words = rows.select("row", "base", F.explode("seen").alias("m")).where(~F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))))
+    # what follows a base span is not led by the words before that
+    led = ~F.exists("base", lambda b: (b["end"] > F.col("m.head_at")) & (b["start"] < F.col("m.start")))
+    words = words.select("row", "m.start", "m.end", "m.instance", "m.patterns", F.when(led, F.concat("m.patterns", "m.first")).otherwise(F.col("m.patterns")).alias("all"))
+    others = words.select("instance", F.explode("patterns").alias("pattern"), F.lit(0).alias("seed"))
+    edges = stored(seeds.unionByName(others).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
     good = stored(accepted(score_graph(edges)), "accepted")
-    new = each.where("seed = 0").join(good, "pattern").groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("new"))
-    everything = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))))
+    found = words.select("row", "start", "end", F.explode("all").alias("pattern")).join(good, "pattern")
+    new = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("new")).select("row", joined(F.col("new")).alias("new"))
+    everything = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast(SPANS))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return rows.join(new, "row", "left").select(
         "doc_id",

@@ -179,6 +179,24 @@ def test_contexts_find_more_personal_data(spark):
     assert rows[30].spans == f"id:{at}:{at + 8}"
 
 
+def found_ids(spark, texts):
+    """The found spans of each text, as what they cover."""
+    rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    spans = [[s.split(":") for s in r.spans.split(",") if s.startswith("id:")] for r in rows]
+    assert [r.n_found for r in rows] == [len(s) for s in spans]
+    return [[t[int(a) : int(b)] for _, a, b in s] for t, s in zip(texts, spans)]
+
+
+def test_contexts_of_every_kind_of_base_span(spark):
+    phones = [f"you can phone home {p} today" for p in (f"+1 (521) 555-{k}" for k in range(1000, 1008))]
+    cards = [f"charge spaced card {c} today" for c in ("4111 1111 1111 1111", "5555 5555 5555 4444", "4012 8888 8888 1881", "5105 1051 0510 5100", "4222 2222 2222 2220")]
+    mails = [f"write electronic mail {m}.smith@example.com today" for m in ("anna", "ben", "carl", "dora", "eve", "fay")]
+    telling = ["you can phone home ext-HOME now", "charge spaced card AX 77 19 now", "write electronic mail anna-at-home now", "rooms 12 and AB-C are free", "you can phone home +1 (521) 555-1000, 12 times"]
+    got = found_ids(spark, phones + cards + mails + telling)
+    assert got[: -len(telling)] == [[]] * 19
+    assert got[-len(telling) :] == [["ext-HOME"], ["AX 77 19"], ["anna-at-home"], [], []]
+
+
 def test_languages(spark):
     rng = random.Random(4)
     parts = {"de": ["sch", "ung", "keit", "ein", "der", "ß", "ü"], "es": ["ción", "mente", "ado", "los", "que", "ñ"], "ru": ["ость", "ный", "ать", "при", "ова"]}
