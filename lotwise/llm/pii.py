@@ -6,8 +6,8 @@ code points: the texts between matches and the matches are measured in order.
 
 Bootstrapping. Every base span is an instance and a seed with score 1, whatever its form. Words outside
 base spans that could be identifiers are the other instances: those with a digit, a sign between
-letters, or two capitals. The two words before an instance, or the one there is, are its lexical
-pattern. Over the graph of patterns and instances Spark repeats: a pattern scores the mean of its
+letters, or two capitals. The two words before an instance are a lexical pattern of it and the one word
+before it another; either will do. Over the graph of patterns and instances Spark repeats: a pattern scores the mean of its
 instances, an instance not a seed one minus the product of the misses of its patterns. Patterns with a
 score of at least ACCEPT, over enough seeds and distinct instances, extract all their other instances
 as spans of kind ``id``, and the candidate words that follow these without any other word between;
@@ -125,8 +125,9 @@ def holds(kind: str, match: Column) -> Column:
 
 
 def contexts(before: Column) -> Column:
-    """The patterns of what follows ``before``: its last two words, or the one there is."""
-    return F.filter(F.array(F.lower(F.regexp_replace(F.regexp_extract(before, r"((?:\S+\s+)?\S+)\s+$", 1), r"\s+", " "))), lambda p: p != "")
+    """The patterns of what follows ``before``: its last two words and its last word."""
+    two = F.lower(F.regexp_replace(F.regexp_extract(before, r"((?:\S+\s+)?\S+)\s+$", 1), r"\s+", " "))
+    return let(two, lambda two: F.filter(F.array_distinct(F.array(two, F.substring_index(two, " ", -1))), lambda p: p != ""))
 
 
 def base_marks(text: Column) -> Column:

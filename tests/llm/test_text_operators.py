@@ -197,6 +197,15 @@ def test_contexts_of_every_kind_of_base_span(spark):
     assert got[-len(telling) :] == [["ext-HOME"], ["AX 77 19"], ["anna-at-home"], [], []]
 
 
+def test_contexts_of_one_word_and_in_lists(spark):
+    rng = random.Random(3)
+    seeds = [f"{rng.choice(WORDS)}{k} passport p{k}@example.com" for k in range(8)]
+    list_of = lambda n: " ".join(f"B{k}" for k in range(n))
+    got = found_ids(spark, seeds + ["id 7 passport AB12", "their passport AB13", "passport A1, B2; C3", f"passport {list_of(60)} end", "room 12"])
+    assert got[:8] == [[]] * 8
+    assert got[8:] == [["AB12"], ["AB13"], ["A1", "B2", "C3"], [list_of(60)], []]
+
+
 def test_languages(spark):
     rng = random.Random(4)
     parts = {"de": ["sch", "ung", "keit", "ein", "der", "ß", "ü"], "es": ["ción", "mente", "ado", "los", "que", "ñ"], "ru": ["ость", "ный", "ать", "при", "ова"]}
