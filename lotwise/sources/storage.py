@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,10 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/lotwise-{tag}-{uuid.uuid4().hex}"
 
 
+#: The stored tables of the innermost ``scratch`` block.
+_scratch: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: cuts the lineage, survives
     lost executors, and lets later joins see a plain scan (so that AQE can split skewed keys)."""
@@ -33,15 +40,55 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path
+    if (tables := _scratch.get()) is not None:
+        tables.append(out)
     return out
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``stored`` that no later plan reads."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = _file_system(df.sparkSession, df.stored_path)
+        system.delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes the tables stored inside the block when it ends. For work whose result is stored by the
+    block around it: ``outlive(table)`` hands a table on to that one."""
+    tables: list[DataFrame] = []
+    before = _scratch.set(tables)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        discard(*tables)
+
+
+def outlive(df: DataFrame) -> DataFrame:
+    """Takes a stored table out of the present ``scratch`` block."""
+    if (tables := _scratch.get()) is not None:
+        tables[:] = [t for t in tables if t is not df]
+    return df
+
+
+def expire(spark: SparkSession, hours: float) -> int:
+    """Deletes everything that this library left in the shared folder and did not change for so many
+    hours, and returns how much that was. For long sessions: queries are lazy, so the tables that their
+    results read can't go by themselves."""
+    folder, system = _file_system(spark, shared_folder(spark))
+    if not system.exists(folder):
+        return 0
+    before, gone = (time.time() - hours * 3600) * 1000, 0
+    for status in system.listStatus(folder):
+        if status.getPath().getName().startswith("lotwise-") and status.getModificationTime() <= before:
+            gone += bool(system.delete(status.getPath(), True))
+    return gone
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
