@@ -16,15 +16,19 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 LONG_PIECE = 1024
 #: Encoded matches that a task remembers; when full it starts afresh.
 REMEMBERED = 200_000
-CHUNK_CHARS = 1 << 20
+#: Texts of about so many characters together are encoded at once; of a longer one so many matches.
+CHUNK_CHARS, LONG_MATCHES = 1 << 19, 1 << 16
 NONE = np.int32(2**31 - 1)
 
 
@@ -58,6 +62,10 @@ class Vocabulary:
         self.pairs = pairs
         self._build(np.fromiter(pairs, dtype=np.uint64, count=len(pairs)), np.fromiter(pairs.values(), dtype=np.int32, count=len(pairs)))
 
+    def bytes_of_ids(self) -> dict:
+        """What decoding needs."""
+        return {k: getattr(self, k) for k in ("lengths", "starts", "flat")}
+
     @classmethod
     def of(cls, fields: dict) -> Vocabulary:
         """The vocabulary with these fields, as broadcast."""
@@ -188,7 +196,23 @@ def _encoder(vocab, pattern: str):
         import pyarrow as pa
         import regex
 
-        split, v, known = regex.compile(pattern).findall, Vocabulary.of(vocab.value), {}
+        split, v, known = regex.compile(pattern), Vocabulary.of(vocab.value), {}
+
+        def learn(matches: set) -> None:
+            new = [p for p in matches if p not in known]
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = list(matches)
+            for p, ids in zip(new, encode_pieces(v, [p.encode() for p in new])):
+                known[p] = ids
+
+        def long_text(text: str) -> bytes:
+            found, packed = (m.group() for m in split.finditer(text)), []
+            while part := list(itertools.islice(found, LONG_MATCHES)):
+                learn(set(part))
+                packed.append(b"".join(map(known.__getitem__, part)))
+            return b"".join(packed)
+
         for batch in batches:
             column = batch.column("text")
             packed, row = [], 0
@@ -196,15 +220,15 @@ def _encoder(vocab, pattern: str):
                 chunk, chars = [], 0
                 while row < len(column) and chars < CHUNK_CHARS:
                     text = column[row].as_py() or ""
+                    if len(text) > CHUNK_CHARS:
+                        if not chunk:
+                            packed.append(long_text(text))
+                            row += 1
+                        break
                     chars += len(text)
-                    chunk.append(split(text))
+                    chunk.append(split.findall(text))
                     row += 1
-                new = list({p for pieces in chunk for p in pieces if p not in known})
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list({p for pieces in chunk for p in pieces})
-                for p, ids in zip(new, encode_pieces(v, [p.encode() for p in new])):
-                    known[p] = ids
+                learn({p for pieces in chunk for p in pieces})
                 packed += [b"".join(map(known.__getitem__, pieces)) for pieces in chunk]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -241,7 +265,10 @@ class Tokenizer:
     def __init__(self, spark, path: str | None = None, pattern: str | None = None):
         default_path, default_pattern = default_vocabulary() if path is None or pattern is None else (path, pattern)
         self.pattern = pattern or default_pattern
-        self.vocab = spark.sparkContext.broadcast(vars(Vocabulary(path or default_path)))
+        small_batches(spark)
+        vocabulary = Vocabulary(path or default_path)
+        self.vocab = spark.sparkContext.broadcast(vars(vocabulary))
+        self.bytes_of_ids = spark.sparkContext.broadcast(vocabulary.bytes_of_ids())
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, n_tokens, ids) of every document; ids are packed integers."""
@@ -251,7 +278,7 @@ class Tokenizer:
     def decode(self, tokens: DataFrame) -> DataFrame:
         """``tokens`` with the bytes that the ids stand for."""
         tokens = tokens.select("doc_id", "n_tokens", "ids")
-        return tokens.mapInArrow(_decoder(self.vocab), "doc_id long, n_tokens long, ids binary, decoded binary")
+        return tokens.mapInArrow(_decoder(self.bytes_of_ids), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -6,19 +6,20 @@ of all rows so far (two independent 64-bit hashes, summed). A conversation whose
 prefix hash of a longer one is dropped by an anti-join; of equal conversations the one with the least
 conv_id stays. What remains is rendered with a template.
 
-Long conversations are handled in parts of PART_TURNS turn numbers: prefix sums run inside parts and
-over part totals, and each part is rendered as a row, so no task holds more than a part. A
-conversation of less turns has the single part 0. DataFrame functions only.
+Long conversations are handled in parts of PART_TURNS turn numbers, part = floor(turn / PART_TURNS):
+prefix sums run inside parts and over part totals, and each part is rendered as a row of its own, so no
+task holds more than a part. A conversation whose turns are 0 to PART_TURNS - 1 is one row, part 0.
+DataFrame functions only.
 
 Results for odd rows: rows of a conversation with equal turn, role and text are one; rows that share
-a turn number stand in order of role and text; a null turn counts as -1, a null role renders as
-``unknown``, a null text as empty; null is a conv_id of its own; an empty table gives an empty
-result; columns other than the four named are not read.
+a turn number stand in order of role and text, nulls first; a null turn stands just before turn 0 and
+is in part 0 with it; a null role renders as ``unknown``, a null text as empty; null is a conv_id of
+its own; an empty table gives an empty result; columns other than the four named are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, stored
@@ -27,23 +28,33 @@ PART_TURNS = 1024
 BROADCAST_CONVERSATIONS = 1_000_000
 #: Template of a turn, with {role} and {text}.
 TEMPLATE = "<|{role}|>\n{text}<|end|>\n"
+#: The place of a turn: null as 0, but before the turn 0 that has a number.
+PLACE = ["turn", "numbered"]
+
+
+def placed(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, numbered, role, text, part) of every row."""
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(0).cast("long"))
+    rows = turns.select("conv_id", turn.alias("turn"), F.col("turn").isNotNull().alias("numbered"), "role", "text")
+    return rows.withColumn("part", part_of(F.col("turn")))
+
+
+def part_of(turn: Column) -> Column:
+    """floor(turn / PART_TURNS), exactly for any long."""
+    return F.floor((turn - F.pmod(turn, F.lit(PART_TURNS))) / PART_TURNS).cast("long") if PART_TURNS > 1 else turn
 
 
 def hashed(turns: DataFrame) -> DataFrame:
-    """(conv_id, part, turn, a, b, rows): hash sums of the rows at each turn number."""
+    """(conv_id, part, turn, numbered, a, b, rows): hash sums of the rows at each place."""
     role, text = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("role", "text"))
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    rows = turns.select("conv_id", turn.alias("turn"), F.xxhash64(turn, role, text).alias("a"), F.xxhash64(F.lit("second"), turn, text, role).alias("b")).distinct()
+    key = ["conv_id", "part", *PLACE]
+    rows = placed(turns).select(*key, F.xxhash64(*PLACE, role, text).alias("a"), F.xxhash64(F.lit("second"), *PLACE, text, role).alias("b")).distinct()
     total = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
-    return rows.groupBy("conv_id", "turn").agg(total("a"), total("b"), F.count(F.lit(1)).alias("rows")).withColumn("part", part_of(F.col("turn")))
-
-
-def part_of(turn):
-    return F.floor(turn / PART_TURNS).cast("long")
+    return rows.groupBy(key).agg(total("a"), total("b"), F.count(F.lit(1)).alias("rows"))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, a, b, rows, last): rolling sums up to each turn; last on the last turn."""
+    """(conv_id, turn, numbered, a, b, rows, last): rolling sums up to each place; last on the last one."""
     rows = stored(hashed(turns), "turns")
     sums = ["a", "b", "rows"]
     parts = rows.groupBy("conv_id", "part").agg(*(F.sum(c).alias(f"{c}_part") for c in sums))
@@ -51,18 +62,18 @@ def prefixes(turns: DataFrame) -> DataFrame:
     behind = Window.partitionBy("conv_id")
     parts = parts.select("conv_id", "part", *(F.coalesce(F.sum(f"{c}_part").over(before), F.lit(0)).alias(f"{c}_before") for c in sums), F.max("part").over(behind).alias("last_part"))
     parts = stored(parts.withColumnRenamed("conv_id", "conv").withColumnRenamed("part", "p"), "parts")
-    inside = Window.partitionBy("conv_id", "part").orderBy("turn")
+    inside = Window.partitionBy("conv_id", "part").orderBy(*PLACE)
     rolled = rows.join(parts, F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("part") == F.col("p")))
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     last = (F.col("part") == F.col("last_part")) & F.lead("turn").over(inside).isNull()
-    return rolled.select("conv_id", "turn", *((F.col(f"{c}_before") + F.sum(c).over(so_far)).alias(c) for c in sums), last.alias("last"))
+    return rolled.select("conv_id", *PLACE, *((F.col(f"{c}_before") + F.sum(c).over(so_far)).alias(c) for c in sums), last.alias("last"))
 
 
 def collapsed(turns: DataFrame) -> DataFrame:
     """conv_id of the conversations that are no prefix of a longer one and the first of their equals,
     as (conv_id, kept)."""
     rows = stored(prefixes(turns), "prefixes")
-    key = ["turn", "a", "b", "rows"]
+    key = [*PLACE, "a", "b", "rows"]
     whole = rows.where("last").groupBy(key).agg(F.min("conv_id").alias("conv_id"))
     kept = stored(whole.join(rows.where("not last").select(key).distinct(), key, "left_anti").select("conv_id"), "kept")
     all_ids = rows.where("last").select("conv_id")
@@ -76,22 +87,20 @@ def render(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
     middle, _, tail = rest.partition("{text}")
     gone = stored(collapsed(turns).where(~F.col("kept")).select(F.col("conv_id").alias("gone")), "gone")
     gone = broadcast_if_small(gone, BROADCAST_CONVERSATIONS)
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    rows = turns.select("conv_id", turn.alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(gone, F.col("conv_id").eqNullSafe(F.col("gone")), "left_anti").withColumn("part", part_of(F.col("turn")))
-    said = F.array_sort(F.collect_set(F.struct("turn", "role", "text")))
-    each = rows.groupBy("conv_id", "part").agg(said.alias("said"))
-    line = lambda t: F.concat(F.lit(head), t["role"], F.lit(middle), t["text"], F.lit(tail))
-    return each.select("conv_id", F.greatest("part", F.lit(0)).alias("part"), F.size("said").cast("long").alias("n_turns"), F.array_join(F.transform("said", line), "").alias("text"))
-
-
-ORACLE = """
-WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, role, text FROM conversations),
-p AS (SELECT conv_id, turn, list({'t': turn, 'r': role, 'x': text} ORDER BY turn, role, text) OVER (PARTITION BY conv_id ORDER BY turn RANGE UNBOUNDED PRECEDING) AS said,
-  max(turn) OVER (PARTITION BY conv_id) AS last FROM t),
-d AS (SELECT DISTINCT conv_id, turn, last, md5(CAST(list_sort(said) AS VARCHAR)) AS h FROM p),
-k AS (SELECT min(conv_id) AS conv_id FROM d WHERE turn = last AND h NOT IN (SELECT h FROM d WHERE turn < last) GROUP BY h)
-SELECT conv_id, CAST(0 AS BIGINT) AS part, count(*) AS n_turns,
-  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, role, text) AS text
-FROM t JOIN k USING (conv_id) GROUP BY conv_id
+    rows = placed(turns).join(gone, F.col("conv_id").eqNullSafe(F.col("gone")), "left_anti")
+    each = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct(*PLACE, "role", "text"))).alias("said"))
+    line = lambda t: F.concat(F.lit(head), F.coalesce(t["role"], F.lit("unknown")), F.lit(middle), F.coalesce(t["text"], F.lit("")), F.lit(tail))
+    return each.select("conv_id", "part", F.size("said").cast("long").alias("n_turns"), F.array_join(F.transform("said", line), "").alias("text"))
+
+
+ORACLE = f"""
+WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, turn IS NOT NULL AS numbered, role, text FROM conversations),
+o AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn, numbered) AS place FROM t),
+p AS (SELECT conv_id, place, list({{'t': turn, 'n': numbered, 'r': role, 'x': text}} ORDER BY turn, numbered, role, text) OVER (PARTITION BY conv_id ORDER BY place RANGE UNBOUNDED PRECEDING) AS said,
+  max(place) OVER (PARTITION BY conv_id) AS last FROM o),
+d AS (SELECT DISTINCT conv_id, place, last, md5(CAST(list_sort(said) AS VARCHAR)) AS h FROM p),
+k AS (SELECT min(conv_id) AS conv_id FROM d WHERE place = last AND h NOT IN (SELECT h FROM d WHERE place < last) GROUP BY h)
+SELECT t.conv_id, CAST(floor(turn / {PART_TURNS}.0) AS BIGINT) AS part, count(*) AS n_turns,
+  string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, numbered, role NULLS FIRST, text NULLS FIRST) AS text
+FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY t.conv_id, part
 """

@@ -1,14 +1,14 @@
-"""What the corpus operators share: stored intermediates, checked broadcasts, word kernels."""
+"""What the corpus operators share: stored intermediates, checked broadcasts, row keys, word kernels."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.sources.storage import broadcast_if_small, discard, new_path, stored
+from lotwise.sources.storage import broadcast_if_small, discard, new_path, outlive, scratch, stored
 
-__all__ = ["broadcast_if_small", "discard", "new_path", "stored"]
+__all__ = ["broadcast_if_small", "discard", "new_path", "outlive", "scratch", "stored"]
 
 #: Whitespace that separates words, as byte values: space and \x09-\x0D.
 SPACE_BYTES = (32, 9, 10, 11, 12, 13)
@@ -18,16 +18,51 @@ WORD_REGEX = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-
-#: Up to this many ids are broadcast to take their rows out.
+#: Up to this many keys are broadcast to take their rows out.
 BROADCAST_IDS = 1_000_000
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone``; rows without a doc_id stay. While the ids
-    are few enough to broadcast no text is shuffled."""
-    gone = broadcast_if_small(stored(gone.select("doc_id").distinct(), "gone"), BROADCAST_IDS)
-    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+KEY = ["key1", "key2"]
+#: Bytes of an Arrow batch of texts. Spark's own default holds 64 MB in the JVM and again in each worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session, unless they are bounded more tightly."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """KEY, two 64-bit hashes of a row's doc_id and text, never null: rows have the same only if they
+    have the same doc_id and text. Decisions on rows are carried by it."""
+    return [F.xxhash64(F.lit(k), doc_id.isNull(), doc_id, text.isNull(), text).alias(name) for k, name in enumerate(KEY)]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key1, key2) of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", "text", *row_key(F.col("doc_id"), F.col("text")))
+
+
+def without(docs: DataFrame, gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows whose KEY is in ``gone``; of those that share a KEY in ``again`` only one
+    stays, the least by its columns. While the keys are few enough to broadcast no text is shuffled.
+    Columns of ``docs`` may have any names."""
+    gone = broadcast_if_small(stored(gone.select(KEY).distinct(), "gone"), BROADCAST_IDS)
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    rows = docs.toDF(*own)
+    rows = rows.select(*own, *row_key(F.col(at["doc_id"]).cast("long"), F.col(at["text"]).cast("string"))).join(gone, KEY, "left_anti")
+    if again is not None:
+        again = stored(again.select(KEY).distinct(), "again")
+        if again.limit(1).count():
+            again = broadcast_if_small(again, BROADCAST_IDS)
+            plain = not any("map<" in kind or "variant" in kind for _, kind in docs.dtypes)
+            one = (F.min if plain else F.first)(F.struct(*own)).alias("row")
+            single = rows.join(again, KEY, "left_semi").groupBy(KEY).agg(one).select("row.*")
+            rows = rows.join(again, KEY, "left_anti").select(*own).unionByName(single)
+    return rows.select(*own).toDF(*docs.columns)
 
 
 def ascii_lower(col):
@@ -51,19 +86,24 @@ for _upper in range(65, 91):
     _BYTE_VALUES[_upper] = _BYTE_VALUES[_upper + 32]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
+#: Bytes of text that are worked on together.
+PIECE_BYTES = 1 << 19
 _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        tables = []
-        for base in (_ODD, _ODD_INVERSE):
-            t = np.full(size, base, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
+    """Powers of both bases. Those for pieces of the usual size stay; longer ones, for a single word
+    longer than that, do not."""
+    if _powers and n <= len(_powers[0]):
+        return _powers[0], _powers[1]
+    size, tables = max(n, 2 * PIECE_BYTES), []
+    for base in (_ODD, _ODD_INVERSE):
+        t = np.full(size, base, dtype=np.uint64)
+        t[0] = 1
+        tables.append(np.multiply.accumulate(t))
+    if size == 2 * PIECE_BYTES:
         _powers[:] = tables
-    return _powers[0], _powers[1]
+    return tables[0], tables[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -104,14 +144,17 @@ def prefix_hashes(data: np.ndarray, doc_starts: np.ndarray, sizes: tuple) -> tup
     return [hashed(ends if size is None else np.minimum(ends, begins + size)) for size in sizes], begins
 
 
-def text_buffers(column, chunk_bytes: int):
-    """Yields (first row, UTF-8 bytes, offsets) for runs of rows of an Arrow string column, null as
-    empty, of about ``chunk_bytes`` or one row."""
+def text_pieces(column, piece_bytes: int = PIECE_BYTES):
+    """Yields (first row, UTF-8 bytes, offsets, more) for runs of rows of an Arrow string column, null
+    as empty, of about ``piece_bytes``. A longer text comes alone, in several pieces cut at white space
+    (a word longer than that is not cut); ``more`` holds on all of these but its last."""
     import pyarrow as pa
 
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = column.fill_null("")
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
@@ -120,36 +163,40 @@ def text_buffers(column, chunk_bytes: int):
     row, rows = 0, len(column)
     while row < rows:
         start = offsets[row]
-        last = int(np.searchsorted(offsets, start + chunk_bytes, side="right")) - 1
+        last = int(np.searchsorted(offsets, start + piece_bytes, side="right")) - 1
         last = min(max(last, row + 1), rows)
-        yield row, data[start : offsets[last]], offsets[row : last + 1] - start
+        if offsets[last] - start <= 2 * piece_bytes:
+            yield row, data[start : offsets[last]], offsets[row : last + 1] - start, False
+        else:
+            text, at = data[start : offsets[last]], 0
+            while at < len(text):
+                stop = _white_space(text, at + piece_bytes, piece_bytes)
+                yield row, text[at:stop], np.array([0, stop - at]), stop < len(text)
+                at = stop
         row = last
 
 
-def text_words(column, chunk_bytes: int = 1 << 20):
-    """Yields (row, word hashes) for every row of an Arrow string column, empty for null.
+def _white_space(text: np.ndarray, at: int, step: int) -> int:
+    """Where the first white space from ``at`` on stands, or the end."""
+    while at < len(text):
+        gaps = np.flatnonzero(_IS_SPACE[text[at : at + step]])
+        if len(gaps):
+            return at + int(gaps[0])
+        at += step
+    return len(text)
 
-    Texts are hashed together in chunks of about ``chunk_bytes``; a longer one is cut at white
-    space, so memory stays in proportion to the chunk (or to the longest word)."""
-    for row, data, offsets in text_buffers(column, chunk_bytes):
-        if len(data) > 2 * chunk_bytes:  # one long text
-            yield row, np.concatenate(list(_long_text(data, chunk_bytes)))
-            continue
+
+def text_words(column, piece_bytes: int = PIECE_BYTES):
+    """Yields (row, word hashes) for every row of an Arrow string column, empty for null."""
+    held = []
+    for row, data, offsets, more in text_pieces(column, piece_bytes):
         hashes, begins = word_hashes(data, offsets[:-1])
+        if more or held:
+            held.append(hashes)
+            if not more:
+                yield row, np.concatenate(held)
+                held = []
+            continue
         cuts = np.searchsorted(begins, offsets)
         for k in range(len(offsets) - 1):
             yield row + k, hashes[cuts[k] : cuts[k + 1]]
-
-
-def _long_text(data: np.ndarray, chunk_bytes: int):
-    at, zero = 0, np.zeros(1, dtype=np.int64)
-    while at < len(data):
-        stop = min(at + chunk_bytes, len(data))
-        while stop < len(data):
-            gaps = np.flatnonzero(_IS_SPACE[data[stop : stop + chunk_bytes]])
-            if len(gaps):
-                stop += int(gaps[0])
-                break
-            stop = min(stop + chunk_bytes, len(data))
-        yield word_hashes(data[at:stop], zero)[0]
-        at = stop

@@ -6,7 +6,12 @@ pass over the words of a text, in which a change of language costs SWITCH, label
 language is the one that labels most of its letters, its score that share.
 
 The models are fitted on labelled rows: at most about SAMPLE_DOCS documents of each language, drawn by
-a hash of their ids (fewer rows: all of them). Predictions read whole texts and nothing but the text.
+a hash of their ids and texts (fewer rows: all of them), for at most LANGUAGES languages, those with
+most rows. Predictions read whole texts and nothing but the text.
+
+Scores are whole numbers, so sums are exact. A text of more than LONG_WORDS words is decoded in blocks:
+best sums from every state before a block to every state behind it make the states between blocks known,
+and then all blocks are labelled together. Labels are those of the plain pass, ties included.
 
 Results for odd rows: a text that is null or has no letters is ``und`` with score 0 and no spans; so
 is every text if no row is labelled; ties go to the language first by name; rows that repeat a
@@ -19,18 +24,22 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, text_buffers, without, word_hashes
+from .common import _IS_SPACE, KEY, keyed, row_key, small_batches, text_pieces, without, word_hashes
 
 #: Documents of each language that the models are fitted on, about.
 SAMPLE_DOCS = 1000
+#: Languages that are told apart at most; bounds the models.
+LANGUAGES = 256
 #: What a change of language costs, in nats.
 SWITCH = 14.0
+#: Scores are counted in steps of 1/STEPS nats.
+STEPS = 1024
+#: Texts with more words are decoded in blocks.
+LONG_WORDS = 1024
 #: A language uses a script if at least this share of its training words do.
 SCRIPT_SHARE = 0.01
 CELLS = 1 << 16
 SIZES = (2, 3, 4)
-#: Words decoded together.
-CHUNK_BYTES, CHUNK_WORDS = 1 << 20, 400_000
 
 # First and last code point of the letter ranges of scripts (Unicode blocks).
 SCRIPTS = {
@@ -113,15 +122,16 @@ def _grams(flat: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
 
 
 def _chunks(column):
-    """(first row, data, word begins, word lengths, words before each row) of chunks of texts."""
-    for row, data, offsets in text_buffers(column, CHUNK_BYTES):
+    """(first row, data, word hashes, word begins, word lengths, words before each row, more) of pieces of
+    texts."""
+    for row, data, offsets, more in text_pieces(column):
         hashes, begins = word_hashes(data, offsets[:-1])
         if len(begins):
             breaks = np.unique(np.concatenate([np.flatnonzero(_IS_SPACE[data]), offsets]))
             lengths = breaks[np.searchsorted(breaks, begins, "right")] - begins
         else:
             lengths = begins
-        yield row, data, hashes, begins, lengths, np.searchsorted(begins, offsets)
+        yield row, data, hashes, begins, lengths, np.searchsorted(begins, offsets), more
 
 
 def _count(batches):
@@ -133,7 +143,7 @@ def _count(batches):
         names = sorted(set(langs))
         total = np.zeros((len(names), CELLS + 1 + len(SCRIPTS)), dtype=np.int64)
         code = np.array([names.index(x) for x in langs])
-        for row, data, _, begins, lengths, cuts in _chunks(batch.column("text")):
+        for row, data, _, begins, lengths, cuts, _ in _chunks(batch.column("text")):
             if not len(begins):
                 continue
             flat, starts = _flatten(data, begins, lengths)
@@ -154,14 +164,16 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
     """The models, as plain arrays: names, table of scores (cell, language), script masks.
 
     ``labelled`` has doc_id, text and lang. Counting is a Spark aggregate; what reaches the driver
-    is bounded by CELLS for each language."""
+    is bounded by CELLS for each of at most LANGUAGES languages."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    held = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    held = {r["lang"]: r["n"] for r in most.collect()}
     names = sorted(held)
     if not names:
         return {"names": [], "table": np.zeros((CELLS + 1, 0), np.float32), "uses": np.zeros((len(SCRIPTS) + 1, 0), bool)}
     share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, sample_docs / held[k]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30)) < share * (1 << 30)
+    draw = F.pmod(row_key(F.col("doc_id"), F.col("text"))[0], F.lit(1 << 30)) < share * (1 << 30)
     counts = rows.where(draw).select("lang", "text").mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     table = np.zeros((CELLS + 1, len(names)), dtype=np.float64)
     uses = np.zeros((len(SCRIPTS) + 1, len(names)), dtype=np.float64)
@@ -177,7 +189,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
 
 
 def _word_scores(model: dict, data, hashes, begins, lengths) -> tuple[np.ndarray, np.ndarray]:
-    """Scores (word, language) relative to the best language, and letters of each word."""
+    """Scores (word, language) relative to the best language, in steps, and letters of each word."""
     kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
     flat, starts = _flatten(data, begins[first], lengths[first])
     score = np.zeros((len(kinds), len(model["names"])), dtype=np.float32)
@@ -188,35 +200,34 @@ def _word_scores(model: dict, data, hashes, begins, lengths) -> tuple[np.ndarray
     script = _scripts(flat, starts)
     score[~model["uses"][script]] -= 1000.0
     score -= score.max(axis=1, keepdims=True)
-    return score[back], letters[back]
+    return np.rint(score * STEPS).astype(np.int32)[back], letters[back]
 
 
-def viterbi(score: np.ndarray, cuts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Label of every word. Texts are the runs between ``cuts``; all take each step together, the
-    longest first, so a step is a few array operations over the texts that still have words."""
-    n, k = score.shape
-    lengths = np.diff(cuts)
-    order = np.argsort(-lengths, kind="stable")
-    begin, lengths = cuts[:-1][order], lengths[order]
-    steps = int(lengths[0]) if len(lengths) else 0
-    active = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts longer than t
-    stay = np.ones((n, k), dtype=bool)
-    came = np.zeros(n, dtype=np.int16)
-    v = np.zeros((len(lengths), k), dtype=np.float32)
-    for t in range(steps):
-        m = active[t]
+def _step(v: np.ndarray, switch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language before, whether staying is as good, best sums) after sums v (..., language)."""
+    best = v.argmax(axis=-1)
+    moved = np.take_along_axis(v, best[..., None], -1) - switch
+    return best, v >= moved, np.maximum(v, moved)
+
+
+def _forward(score, begin, lengths, v, switch):
+    """(active runs by step, stay, came) over runs of ``lengths`` (not increasing) words from ``begin`` on.
+    The first word of a run adds to the sums ``v``, which are the last word's in the end. All runs take
+    each step together: a few array operations over the runs that still have words."""
+    active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
+    stay, came = np.ones(score.shape, dtype=bool), np.zeros(len(score), dtype=np.int16)
+    for t, m in enumerate(active):
         at = begin[:m] + t
         if t:
-            best = v[:m].argmax(axis=1)
-            moved = v[np.arange(m), best] - switch
-            came[at] = best
-            stay[at] = v[:m] >= moved[:, None]
-            v[:m] = np.maximum(v[:m], moved[:, None])
+            came[at], stay[at], v[:m] = _step(v[:m], switch)
         v[:m] += score[at]
-        v[:m] -= v[:m].max(axis=1, keepdims=True)
-    label = np.zeros(n, dtype=np.int16)
-    now = v.argmax(axis=1)
-    for t in range(steps - 1, -1, -1):
+    return active, stay, came
+
+
+def _backward(active, stay, came, begin, ends) -> np.ndarray:
+    """Labels of all words of runs with the last labels ``ends``."""
+    label, now = np.zeros(len(came), dtype=np.int16), ends.copy()
+    for t in range(len(active) - 1, -1, -1):
         m = active[t]
         at = begin[:m] + t
         label[at] = now[:m]
@@ -225,21 +236,85 @@ def viterbi(score: np.ndarray, cuts: np.ndarray, switch: float = SWITCH) -> np.n
     return label
 
 
-def _labeller(model):
+def _first_labels(active, stay, came, begin, languages: int) -> np.ndarray:
+    """Label of the first word of each run (run, language) for every label of its last."""
+    now = np.tile(np.arange(languages), (len(begin), 1))
+    for t in range(len(active) - 1, 0, -1):
+        m = active[t]
+        at = begin[:m] + t
+        now[:m] = np.where(np.take_along_axis(stay[at], now[:m], 1), now[:m], came[at, None])
+    return now
+
+
+def _long_labels(score: np.ndarray, switch: int) -> np.ndarray:
+    """The labels of one long text, in about as many blocks as a block has words."""
+    n, k = score.shape
+    width = int(np.ceil(np.sqrt(n)))
+    begin = np.arange(0, n, width)
+    lengths = np.minimum(width, n - begin)
+    # best sums through every block but the last, from every language of its first word
+    through = np.tile(np.where(np.eye(k, dtype=bool), 0, -(1 << 60)), (len(begin) - 1, 1, 1))
+    for t in range(width):
+        through = (_step(through, switch)[2] if t else through) + score[begin[:-1] + t][:, None, :]
+    before = np.zeros((len(begin), k), dtype=np.int64)  # sums that the first word of each block adds to
+    stays, from_ = np.ones((len(begin), k), dtype=bool), np.zeros(len(begin), dtype=np.int64)
+    for b in range(1, len(begin)):
+        v = (before[b - 1][:, None] + through[b - 1]).max(axis=0)
+        from_[b], stays[b], before[b] = _step(v, switch)
+    active, stay, came = _forward(score, begin, lengths, before, switch)
+    first = _first_labels(active, stay, came, begin, k)
+    ends = np.zeros(len(begin), dtype=np.int64)
+    ends[-1] = before[-1].argmax()
+    for b in range(len(begin) - 1, 0, -1):
+        start = first[b, ends[b]]
+        ends[b - 1] = start if stays[b, start] else from_[b]
+    return _backward(active, stay, came, begin, ends)
+
+
+def viterbi(score: np.ndarray, cuts: np.ndarray, switch: int = int(SWITCH * STEPS)) -> np.ndarray:
+    """Label of every word, for whole-numbered scores (word, language). Texts are the runs between
+    ``cuts``: short ones are decoded together, the longest first, long ones in blocks."""
+    lengths = np.diff(cuts)
+    short = np.flatnonzero((lengths > 0) & (lengths <= LONG_WORDS))
+    order = short[np.argsort(-lengths[short], kind="stable")]
+    begin, v = cuts[:-1][order], np.zeros((len(order), score.shape[1]), dtype=np.int64)
+    active, stay, came = _forward(score, begin, lengths[order], v, switch)
+    label = _backward(active, stay, came, begin, v.argmax(axis=1))
+    for k in np.flatnonzero(lengths > LONG_WORDS):
+        label[cuts[k] : cuts[k + 1]] = _long_labels(score[cuts[k] : cuts[k + 1]], switch)
+    return label
+
+
+def _whole(chunks, model):
+    """(first row, scores, letters, words before each row) with the pieces of a long text put together."""
+    held = []
+    for row, data, hashes, begins, lengths, cuts, more in chunks:
+        if len(begins):
+            score, letters = _word_scores(model, data, hashes, begins, lengths)
+        else:
+            score, letters = np.zeros((0, len(model["names"])), np.int32), np.zeros(0, np.int64)
+        if more or held:
+            held.append((score, letters))
+            if more:
+                continue
+            score, letters = (np.concatenate(x) for x in zip(*held))
+            cuts, held = np.array([0, len(score)]), []
+        yield row, score, letters, cuts
+
+
+def _labeller(model, kept: list):
     def run(batches):
         import pyarrow as pa
         import regex
 
         m, letter = model.value, regex.compile(r"\p{L}").search
         names = m["names"]
+        kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64())]))
         for batch in batches:
             column = batch.column("text")
             rows = len(column)
             lang, sure, spans = ["und"] * rows, np.zeros(rows), [[] for _ in range(rows)]
-            for row, data, hashes, begins, lengths, cuts in _chunks(column) if names else ():
-                if not len(begins):
-                    continue
-                score, letters = _word_scores(m, data, hashes, begins, lengths)
+            for row, score, letters, cuts in _whole(_chunks(column), m) if names else ():
                 label = viterbi(score, cuts)
                 for k in range(len(cuts) - 1):
                     a, b = cuts[k], cuts[k + 1]
@@ -250,26 +325,31 @@ def _labeller(model):
                     lang[row + k], sure[row + k] = names[best], weight[best] / weight.sum()
                     turns = np.flatnonzero(np.diff(label[a:b], prepend=-1))
                     spans[row + k] = [{"lang": names[label[a + x]], "first_word": int(x), "words": int(y - x)} for x, y in zip(turns, np.append(turns[1:], b - a))]
-            kind = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("words", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(spans, kind)], ["doc_id", "lang_pred", "score", "spans"])
+            out = [*(batch.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(sure, pa.float64()), pa.array(spans, kind)]
+            yield pa.RecordBatch.from_arrays(out, [*kept, "lang_pred", "score", "spans"])
 
     return run
 
 
 def label_languages(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) of every document."""
+    """(doc_id, key1, key2, lang_pred, score, spans) of every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_labeller(shared), "doc_id long, lang_pred string, score double, spans array<struct<lang:string,first_word:long,words:long>>")
+    kept = ["doc_id", *KEY]
+    schema = "doc_id long, key1 long, key2 long, lang_pred string, score double, spans array<struct<lang:string,first_word:long,words:long>>"
+    return keyed(docs).select(*kept, "text").mapInArrow(_labeller(shared, kept), schema)
+
+
+def _fitted(docs: DataFrame) -> dict:
+    return fit(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True))))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Fits on the rows of ``docs`` that aren't held out and labels all: doc_id, held_out, lang_pred,
     score, spans."""
-    model = fit(docs.where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True))))
-    return label_languages(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+    return label_languages(docs, _fitted(docs)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, all columns."""
-    return without(docs, identify(docs).where(F.col("lang_pred") == "und"))
+    """The rows whose language can be told from their text, all columns."""
+    return without(docs, label_languages(docs, _fitted(docs)).where(F.col("lang_pred") == "und"))

@@ -1,8 +1,8 @@
 """Near-duplicate components by a signature-coordinate inverted join over MinHash signatures.
 
-1. Every text becomes its set of 2-word shingle hashes and a signature of COORDS MinHash coordinates,
-   with one further bit of each coordinate packed into a 64-bit sketch. Texts with equal sets form
-   one class; the class's least doc_id stands for it from here on.
+1. Every row gets a number, and its text becomes its set of shingle hashes and a signature of COORDS
+   MinHash coordinates, with one further bit of each coordinate packed into a 64-bit sketch. Texts with
+   equal sets form one class; the class's least row number stands for it from here on.
 2. Each representative is posted under every (coordinate, value) key, and the keys are counted.
    Two sets with Jaccard similarity at the threshold agree in at least MATCHES coordinates (but for
    a chance of about 3e-7), so ordering keys by rarity, they share one of the first
@@ -19,27 +19,33 @@
    inverted index over the sets of these counts common shingles. Nothing is emitted but confirmed
    links, at most one for each document and component. Blocks hold a bounded number of shingles,
    whatever the size of the group, and blocks of incompatible set sizes never meet.
-5. Components of all confirmed links, carried back to every document of each class.
+5. Components of all confirmed links, carried back to every row of each class.
 
-Sets hold 64-bit hashes of the shingles. Results for odd rows: null, empty and all-space texts have
-an empty set and stand alone; a one-word text is one shingle; rows that repeat a doc_id share its
-component; rows with a null doc_id are only counted, component null; an empty table gives an empty
-result; columns other than the two named are not read.
+A key whose members lie in G components within reach of each other's sketches costs G^2 sketch
+comparisons in blocks: the work that an inverted join has with frequent coordinates.
+
+Sets hold 64-bit hashes of the shingles; shingles are of ``size`` words. Results for odd rows: null,
+empty and all-space texts have an empty set and stand alone; a text of fewer words is one shingle; rows
+that repeat a doc_id are documents each, linked by their own texts; component_id is the least doc_id that
+is not null among the rows reached, null if there is none; an empty table gives an empty result;
+columns other than the two named are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, broadcast_if_small, discard, mix64, stored, text_words, without
+from .common import BROADCAST_IDS, KEY, broadcast_if_small, discard, keyed, mix64, small_batches, stored, text_words, without
 from .components import connected
 
 COORDS, MATCHES = 64, 34
 PREFIX = COORDS - MATCHES + 1
 #: Links: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 80
+#: Words of a shingle.
+SHINGLE = 2
 #: Sketches of similar sets differ in at most so many of their 64 bits.
 APART = 22
 #: Groups of step 4 above so many members are compared in blocks.
@@ -52,15 +58,19 @@ _MULTIPLY = (_rng.integers(0, 1 << 32, COORDS, dtype=np.uint32) | np.uint32(1))[
 _ADD = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint32)[:, None]
 _COORD = np.arange(COORDS, dtype=np.uint64)
 
-SIGNATURES = "doc_id long, n long, set_key binary, bits long, sig array<long>"
-SETS = "doc_id long, n long, sig array<long>, shingles array<long>"
+SIGNATURES = "doc_id long, key1 long, key2 long, n long, set_key binary, bits long, sig array<long>"
+SETS = "row long, n long, sig array<long>, shingles array<long>"
 
 
-def shingle_set(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of the 2-word shingles; the word itself if there is one only."""
-    if len(words) > 1:
-        words = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + (words[1:] ^ (words[1:] >> np.uint64(29)))
-        words = mix64(words)
+def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``size`` words; of all words if there are fewer."""
+    many = min(size, len(words))
+    if many > 1:
+        last, out = len(words) - many + 1, words[: len(words) - many + 1]
+        for k in range(1, many):
+            x = words[k : k + last]
+            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + (x ^ (x >> np.uint64(29))))
+        words = out
     return np.unique(words)
 
 
@@ -95,27 +105,57 @@ def _lists(values: list[np.ndarray]):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64, copy=False)))
 
 
-def _signed(batches):
-    import pyarrow as pa
-    import xxhash
+def _signed(size: int):
+    def run(batches):
+        import pyarrow as pa
+        import xxhash
 
-    for batch in batches:
-        n, keys, sigs = [], [], []
-        for _, words in text_words(batch.column("text")):
-            s = shingle_set(words)
-            n.append(len(s))
-            keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sigs.append(signature(s))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sigs], pa.int64()), _lists(sigs)], ["doc_id", "n", "set_key", "bits", "sig"])
+        for batch in batches:
+            n, keys, sigs = [], [], []
+            for _, words in text_words(batch.column("text")):
+                s = shingle_set(words, size)
+                n.append(len(s))
+                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                sigs.append(signature(s))
+            kept = [batch.column(c) for c in ("doc_id", *KEY)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array([sketch(s) for s in sigs], pa.int64()), _lists(sigs)], ["doc_id", *KEY, "n", "set_key", "bits", "sig"])
 
+    return run
+
+
+def _shingled(size: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [shingle_set(words, size) for _, words in text_words(batch.column("text"))]
+            sigs = [signature(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), _lists(sigs), _lists([s.view(np.int64) for s in sets])], ["row", "n", "sig", "shingles"])
+
+    return run
 
-def _shingled(batches):
-    import pyarrow as pa
 
-    for batch in batches:
-        sets = [shingle_set(words) for _, words in text_words(batch.column("text"))]
-        sigs = [signature(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _lists(sigs), _lists([s.view(np.int64) for s in sets])], ["doc_id", "n", "sig", "shingles"])
+class Corpus:
+    """Documents with their signed rows: (row, doc_id, key1, key2, n, set_key, bits, sig)."""
+
+    def __init__(self, docs: DataFrame, size: int):
+        small_batches(docs.sparkSession)
+        self.size = size
+        self.docs = keyed(docs)
+        signed = self.docs.select("doc_id", *KEY, "text").mapInArrow(_signed(size), SIGNATURES)
+        self.signed = stored(signed.withColumn("row", F.monotonically_increasing_id()), "signed")
+        #: Keys that several rows have, with the same doc_id and text.
+        self.repeated = stored(self.signed.groupBy(KEY).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1).select(KEY), "repeated")
+        self.repeats = bool(self.repeated.limit(1).count())
+
+    def sets_of(self, rows: DataFrame) -> DataFrame:
+        """Signatures and full sets of the numbered ``rows``."""
+        ids = broadcast_if_small(stored(self.signed.select("row", *KEY).join(rows.select("row").distinct(), "row"), "ids"), BROADCAST_IDS)
+        found = self.docs.select(*KEY, "text").join(ids, KEY).select("row", *KEY, "text")
+        if self.repeats:  # one text for each number
+            once = found.join(self.repeated, KEY, "left_anti").select("row", "text")
+            found = once.unionByName(found.join(self.repeated, KEY, "left_semi").groupBy("row").agg(F.first("text").alias("text")))
+        return stored(found.select("row", "text").mapInArrow(_shingled(self.size), SETS), "sets")
 
 
 def close(n1, n2, bits1, bits2):
@@ -128,8 +168,8 @@ def postings(signed: DataFrame) -> DataFrame:
     """(hub, doc, n, bits, near): who meets which hub under a key of both prefixes, once each, and
     whether the two can be similar."""
     first = [F.first(c).alias(c) for c in ("n", "bits", "sig")]
-    classes = signed.where(F.col("n") > 0).groupBy("set_key").agg(F.min("doc_id").alias("doc"), *first)
-    posted = stored(classes.where(F.col("doc").isNotNull()).select("doc", "n", "bits", F.explode("sig").alias("key")), "posted")
+    classes = signed.where(F.col("n") > 0).groupBy("set_key").agg(F.min("row").alias("doc"), *first)
+    posted = stored(classes.select("doc", "n", "bits", F.explode("sig").alias("key")), "posted")
     counts = stored(posted.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > 1), "counts")
     shared = posted.join(counts, "key").groupBy("doc").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.sort_array(F.collect_list(F.struct("members", "key"))).alias("keys"))
     slots = F.lit(PREFIX - COORDS) + F.size("keys")
@@ -144,17 +184,11 @@ def postings(signed: DataFrame) -> DataFrame:
     return out
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Signatures and full sets of the documents ``ids``."""
-    ids = broadcast_if_small(stored(ids.select("doc_id").distinct(), "ids"), BROADCAST_IDS)
-    return stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_shingled, SETS), "sets")
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(corpus: Corpus, pairs: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose signatures collide often enough and whose full sets are similar."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    side = lambda x: sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "shingles")))
+    sets = corpus.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("row")))
+    side = lambda x: sets.select(F.col("row").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "shingles")))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     collisions = F.size(F.array_intersect("sig_a", "sig_b"))
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -259,41 +293,54 @@ def _linked(group):
     return pd.DataFrame({"a": np.array(found_a, dtype=np.int64), "b": np.array(found_b, dtype=np.int64)})
 
 
-def large_links(docs: DataFrame, large: DataFrame) -> DataFrame:
+def large_links(corpus: Corpus, large: DataFrame) -> DataFrame:
     """Confirmed links (a, b) inside large groups."""
     units = blocks(large)
     partnered = stored(units.groupBy("unit").applyInPandas(_partnered, "unit string, doc long, component long, n long, side int"), "partnered")
-    sets = sets_of(docs, partnered.select(F.col("doc").alias("doc_id")))
-    cut = partnered.join(sets.select(F.col("doc_id").alias("doc"), "shingles"), "doc")
+    sets = corpus.sets_of(partnered.select(F.col("doc").alias("row")))
+    cut = partnered.join(sets.select(F.col("row").alias("doc"), "shingles"), "doc")
     return stored(cut.groupBy("unit").applyInPandas(_linked, "a long, b long"), "large_links")
 
 
-def near_links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def near_links(corpus: Corpus) -> DataFrame:
     """(node, component) of the class representatives that link with any other."""
-    members = postings(signed)
-    first = confirmed(docs, members.where("near and doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
+    members = postings(corpus.signed)
+    first = confirmed(corpus, members.where("near and doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
     roots = stored(connected(first), "roots")
     placed = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("hub", "doc", "n", "bits", F.coalesce("component", "doc").alias("component"))
     placed = stored(placed, "placed")
     small, large = split_groups(placed)
-    links = first.unionByName(confirmed(docs, small_pairs(small))).unionByName(large_links(docs, large))
+    links = first.unionByName(confirmed(corpus, small_pairs(small))).unionByName(large_links(corpus, large))
     return stored(connected(links), "components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def placed_rows(corpus: Corpus, least: Column) -> DataFrame:
+    """(doc_id, key1, key2, n, best): every row with the minimum of ``least`` over its component; null for
+    rows with an empty set."""
+    components = near_links(corpus)
+    classes = corpus.signed.where(F.col("n") > 0).groupBy("set_key").agg(F.min("row").alias("node"), F.min(least).alias("best"))
+    classes = stored(classes.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("root"), "best"), "classes")
+    roots = classes.groupBy("root").agg(F.min("best").alias("best"))
+    classes = stored(classes.drop("best").join(roots, "root").select("set_key", "best"), "placed_classes")
+    return corpus.signed.select("doc_id", *KEY, "n", "set_key").join(classes, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(docs.mapInArrow(_signed, SIGNATURES), "signed")
-    components = near_links(docs, signed)
-    classes = signed.where(F.col("n") > 0).groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    classes = stored(classes.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "classes")
-    out = signed.join(classes, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = placed_rows(Corpus(docs, size), F.col("doc_id"))
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of every component, all columns."""
-    return without(docs, near_duplicates(docs).where(~F.col("kept")))
+def drop_near_copies(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of every component, that of the least doc_id, and all rows with an empty set; all columns."""
+    corpus = Corpus(docs, size)
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *KEY)
+    rows = stored(placed_rows(corpus, least).where(F.col("best").isNotNull()), "near_rows")
+    winning = (F.col("key1") == F.col("best.key1")) & (F.col("key2") == F.col("best.key2"))
+    again = rows.where(winning).join(corpus.repeated, KEY, "left_semi") if corpus.repeats else None
+    return without(docs, rows.where(~winning), again)
 
 
 ORACLE = r"""

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a 60-bit hash of its doc_id. Per source, document sizes are summed by the top
+Every document has a 60-bit hash of its doc_id and text. Per source, document sizes are summed by the top
 hash bits; the cumulative histogram names the bucket in which the source's budget runs out, and only
 that bucket is split again by the next bits, three levels deep. The thresholds, one row per source,
 then select documents with a plain filter: nothing is sorted and no document list is gathered.
@@ -10,8 +10,9 @@ ones under the threshold once more. Targets stop at CAP times the source, so no
 CAP times its size. DataFrame functions only; reruns give the same mix.
 
 Results for odd rows: a null text has size 0 and is taken 0 words; null is a source of its own, the
-last one; rows that repeat a doc_id are selected alike; an empty table gives an empty result;
-columns other than the three named are not read. The per-source arithmetic (rank by name, capping)
+last one; rows that repeat a doc_id are selected each by its own text (those that repeat the text too are
+selected alike); an empty table gives an empty result; columns other than the three named are not read
+and may have any names. The per-source arithmetic (rank by name, capping)
 is a window over one row per source, whatever the number of documents.
 """
 
@@ -32,14 +33,15 @@ LEVELS, LEVEL_BITS, HASH_BITS = 3, 10, 60
 BROADCAST_SOURCES = 20_000
 
 
-def id_hash() -> Column:
-    """The first 60 bits of md5(doc_id)."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """The first 60 bits of md5(doc_id:text)."""
+    known = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(known.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h) of every document."""
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), id_hash().alias("h"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -121,11 +123,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     words cost nothing and stay once. The thresholds are applied to the rows as they are read, so
     no text is shuffled while they can be broadcast."""
     plan = plan_of(stored(sized(docs), "sized"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*names, word_count(F.col("text")).alias("__size"), id_hash().alias("__h"))
-    times = F.when(F.col("__size") > 0, copies(F.col("__h"))).otherwise(1).cast("int")
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__source"))).withColumn("__copies", times).where(F.col("__copies") > 0)
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    at = {name: F.col(c) for name, c in zip(docs.columns, own)}
+    rows = docs.toDF(*own).select(*own, word_count(at["text"]).alias("size"), row_hash(at["doc_id"], at["text"]).alias("h"))
+    times = F.when(F.col("size") > 0, copies(F.col("h"))).otherwise(1).cast("int")
+    rows = rows.join(plan, at["source"].eqNullSafe(F.col("__source"))).withColumn("times", times).where(F.col("times") > 0)
+    return rows.select(*own, F.explode(F.sequence(F.lit(1), F.col("times")))).select(*own).toDF(*docs.columns)
 
 
 def _level_sql(rows: str, state: str, level: int) -> str:
@@ -148,7 +151,7 @@ def oracle() -> str:
     cell = f"h // {1 << (HASH_BITS - LEVEL_BITS * LEVELS)}"
     return f"""
 WITH r AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{space}')) AS size,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY 1),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, {CAP} * source_size AS cap FROM s),
 o AS (SELECT *, coalesce(sum(cap) OVER q, 0) AS bc, coalesce(sum(w) OVER q, 0) AS bw, sum(source_size) OVER () AS total,

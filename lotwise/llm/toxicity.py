@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, prefix_hashes, stored, text_buffers
+from .common import broadcast_if_small, prefix_hashes, row_key, small_batches, stored, text_pieces
 from .langid import _PLAIN, held_out
 
 SAMPLE_DOCS = 20_000
@@ -40,34 +40,54 @@ LEVELS = (3, 5)
 
 
 def _chunks(column):
-    """(first row, features of the words of a chunk of texts, one array a kind, words before each row).
+    """(first row, features of the words of a piece of texts, one array a kind, words before each row, more).
 
     The kind, a word or one of its prefixes, stands in the low bits of a feature."""
-    for row, data, offsets in text_buffers(column, 1 << 20):
+    for row, data, offsets, more in text_pieces(column):
         kinds, begins = prefix_hashes(_PLAIN[data], offsets[:-1], KINDS)
-        yield row, [(h & ~np.uint64(7)) | np.uint64(k) for k, h in enumerate(kinds)], np.searchsorted(begins, offsets)
+        yield row, [(h & ~np.uint64(7)) | np.uint64(k) for k, h in enumerate(kinds)], np.searchsorted(begins, offsets), more
+
+
+def _merged(found):
+    """(row, distinct values) of each text, out of (row, values, more) of its pieces."""
+    held = []
+    for row, values, more in found:
+        if more or held:
+            held = [np.unique(np.concatenate([*held, values]))]
+            if more:
+                continue
+            values, held = held[0], []
+        yield row, values
 
 
 def _words_of(column):
     """(row, sorted distinct features) of every text."""
-    for row, kinds, cuts in _chunks(column):
-        for k in range(len(cuts) - 1):
-            yield row + k, np.unique(np.concatenate([h[cuts[k] : cuts[k + 1]] for h in kinds]))
+
+    def found():
+        for row, kinds, cuts, more in _chunks(column):
+            for k in range(len(cuts) - 1):
+                yield row + k, np.unique(np.concatenate([h[cuts[k] : cuts[k + 1]] for h in kinds])), more
+
+    return _merged(found())
 
 
 def _known_of(column, known: np.ndarray):
     """(row, places in ``known`` of the distinct features) of every text; ``known`` is sorted."""
-    for row, kinds, cuts in _chunks(column):
-        owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-        hits = []
-        for h in kinds:
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = known[at] == h
-            hits.append(owner[hit] * len(known) + at[hit])
-        found = np.unique(np.concatenate(hits))
-        ends = np.searchsorted(found, np.arange(len(cuts)) * len(known))
-        for k in range(len(cuts) - 1):
-            yield row + k, found[ends[k] : ends[k + 1]] % len(known)
+
+    def found():
+        for row, kinds, cuts, more in _chunks(column):
+            owner = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            hits = []
+            for h in kinds:
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = known[at] == h
+                hits.append(owner[hit] * len(known) + at[hit])
+            places = np.unique(np.concatenate(hits))
+            ends = np.searchsorted(places, np.arange(len(cuts)) * len(known))
+            for k in range(len(cuts) - 1):
+                yield row + k, places[ends[k] : ends[k + 1]] % len(known), more
+
+    return _merged(found())
 
 
 def _counted(batches):

@@ -128,6 +128,20 @@ def test_chats(spark, monkeypatch):
     assert {(r.conv_id, r.n_turns, r.text) for r in chat.render(odd).collect()} == {(None, 1, "<|unknown|>\n<|end|>\n"), (1, 2, "<|user|>\na<|end|>\n<|user|>\nb<|end|>\n")}
 
 
+def test_chats_with_null_and_many_turns_match_the_oracle(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(1, None, "system", "rules", "x"), (1, 0, "user", "a", "x"), (1, 1, None, "b", "x"), (2, 0, "user", "a", "x"), (3, None, "system", "rules", "x")]
+    rows += [(4, k, "user" if k % 2 else None, f"t{k}", "x") for k in range(-3, 2500)] + [(5, k, "user" if k % 2 else None, f"t{k}", "x") for k in range(-3, 1100)]
+    rows += [(4, None, "user", None, "x"), (5, None, "user", None, "x"), (6, 5, None, "", "x"), (6, 5, None, None, "x"), (None, 9_000_000_000, "user", "z", "x")]
+    got = chat.render(spark.createDataFrame(rows, TURNS)).collect()
+    assert [(r.part, r.n_turns) for r in got if r.conv_id == 1] == [(0, 3)]
+    assert sorted((r.part, r.n_turns) for r in got if r.conv_id == 4) == [(-1, 3), (0, 1025), (1, 1024), (2, 452)]
+    assert {r.conv_id for r in got} == {None, 1, 2, 4, 6}
+    conversations = spark.createDataFrame(rows, TURNS).toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
+    want = duckdb.connect().execute(chat.ORACLE).fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_pipeline_stages(spark):
     rng = random.Random(1)
     words = ["sch", "ung", "keit", "der", "ein", "und", "ist"]

@@ -97,7 +97,7 @@ def test_word_hashes_do_not_depend_on_chunks():
     rng = random.Random(1)
     texts = [prose(rng, 300), None, "", "Ab aB\x0bcd", "ß é\xa0x", prose(rng, 2000)]
     once = [w.tolist() for _, w in text_words(pa.array(texts))]
-    assert once == [w.tolist() for _, w in text_words(pa.array(texts), chunk_bytes=64)]
+    assert once == [w.tolist() for _, w in text_words(pa.array(texts), piece_bytes=64)]
     assert [len(w) for w in once] == [len(split(t or "")) for t in texts] and once[3][0] == once[3][1]
 
 
@@ -240,13 +240,48 @@ def best_path(score, switch):
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(0)
     lengths = [0, 1, 7, 30, 3]
-    score = rng.normal(0, 5, (sum(lengths), 3)).astype(np.float32)
+    score = np.rint(rng.normal(0, 5, (sum(lengths), 3))).astype(np.int32)
     cuts = np.cumsum([0, *lengths])
-    label = langid.viterbi(score, cuts, 4.0)
+    label = langid.viterbi(score, cuts, 4)
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             mine = score[np.arange(a, b), label[a:b]].sum() - 4.0 * (np.diff(label[a:b]) != 0).sum()
-            assert mine == pytest.approx(best_path(score[a:b].astype(float), 4.0), abs=1e-3)
+            assert mine == best_path(score[a:b].astype(float), 4.0)
+
+
+def test_long_texts_are_labelled_like_short_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    for k in (1, 2, 5):
+        lengths = [0, 1, 2, 3, 17, 400, 2]
+        score = np.rint(rng.normal(0, 4, (sum(lengths), k))).astype(np.int32)
+        score[rng.random(len(score)) < 0.3] = 0  # ties
+        cuts = np.cumsum([0, *lengths])
+        monkeypatch.setattr(langid, "LONG_WORDS", 10**9)
+        plain = langid.viterbi(score, cuts, 5)
+        monkeypatch.setattr(langid, "LONG_WORDS", 1)
+        assert (langid.viterbi(score, cuts, 5) == plain).all()
+
+
+def test_pieces_of_long_texts_give_the_same_languages(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    de, es = ["sch", "ung", "keit", "ein", "der", "ß"], ["ción", "mente", "ado", "los", "que", "ñ"]
+    import pyarrow as pa
+
+    train = frame(spark, [(k, text(de if k % 2 else es, 40), "de" if k % 2 else "es", "s") for k in range(60)])
+    model = langid.fit(train)
+
+    class Held:
+        value = model
+
+    texts = [text(de, 50), text(es, 3000) + "\n" + text(de, 4000), None, "", text(es, 10), "x" * 9000 + " " + text(de, 900)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    once = [b.to_pydict() for b in langid._labeller(Held, ["doc_id"])([batch])]
+    whole = langid.text_pieces
+    monkeypatch.setattr(langid, "text_pieces", lambda column: whole(column, 500))
+    monkeypatch.setattr(langid, "LONG_WORDS", 50)
+    assert [b.to_pydict() for b in langid._labeller(Held, ["doc_id"])([batch])] == once
+    assert [s["lang"] for s in once[0]["spans"][1]] == ["es", "de"]
 
 
 def test_toxicity(spark):
