@@ -3,13 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; the driver
 of the pipeline writes its result as Parquet and reads it again as the next stage's docs.
 
-1. language: documents whose language can't be told (no letters) go.
-2. exact: of equal texts the row with the largest doc_id stays.
-3. near: of near-duplicate components the least doc_id stays.
+1. language: rows whose language can't be told (no text, no letters, or no labelled row at all) go.
+2. exact: of equal texts (A-Z lower-cased) one row stays, that of the largest doc_id.
+3. near: of near-duplicate components one row stays, that of the least doc_id. Links are those of
+   op7_minhash, 2-word shingles at 0.8.
 4. mix: sources are brought to their target weights; rows repeat where a source is short.
 5. tokens: byte-level BPE ids, with the digests of the ids and of what they decode to.
 
-Stages keep rows whose doc_id is null (nothing names them as copies) and hold no state of their own.
+Results for odd rows. Stages decide on rows, by doc_id and text together, so rows that repeat a doc_id
+are documents each and none goes along with another. A null doc_id is the least in exact and the last
+in near. Of rows repeated as a whole exact leaves one; so does near, but for rows without words, which
+it leaves alone. mix takes repeated rows alike. Empty tables pass through all stages. Columns may have
+any names; all but the last stage return those they got, in their order.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lotwise.llm import bpe, exact_dedup, langid, minhash, mixing
-from lotwise.llm.common import stored
+from lotwise.llm.common import outlive, scratch, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch():  # what a stage stores on its way goes when its result is stored
+            docs = outlive(stored(stage(spark, docs, sf_dir), name))
     return STAGES[-1][1](spark, docs, sf_dir)
