@@ -21,16 +21,17 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Up to this many keys are broadcast to take their rows out.
 BROADCAST_IDS = 1_000_000
 KEY = ["key1", "key2"]
-#: Bytes of an Arrow batch of texts. Spark's own default holds 64 MB in the JVM and again in each worker.
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch of texts, and rows that Parquet's reader decodes together. Spark's own defaults,
+#: 64 MB and 4096 rows, hold tens of megabytes of texts for each task, in the JVM and again in each worker.
+BATCH_BYTES, READER_ROWS = 1 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session, unless they are bounded more tightly."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name).rstrip("b")
-    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
+    """Bounds the batches of the session, unless they are bounded more tightly."""
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        now = spark.conf.get(name).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def row_key(doc_id: Column, text: Column) -> list[Column]:
