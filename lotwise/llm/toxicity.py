@@ -1,16 +1,25 @@
 """Toxic severity by cumulative-link ordinal regression on sparse words.
 
 P(grade <= j) = sigmoid(threshold_j - w . x): one weight for each word, shared by all ordered
-thresholds. x marks the presence of words (runs of letters, A-Z lower-cased) and of word beginnings. The result for a text
-is its expected grade, its likeliest grade and whether the chance of a grade above 0 reaches CUT.
+thresholds. x marks the presence of words (runs of letters, A-Z lower-cased) and of word beginnings.
+The result for a text is its expected grade, its likeliest grade and whether the chance of a grade
+above 0 reaches CUT.
 
 The model is fitted on a bounded sample of labelled rows, about SAMPLE_DOCS drawn by hash (fewer rows:
 all). Every grade has an equal part of the sample, what rare grades leave goes to the others, and rows
 weigh as many as they stand for. Features are the up to FEATURES words that tell grade 0 from the rest
-most surely: by the hypergeometric tail, with few false ones expected among those chosen. All else covers every document and whole texts.
+most surely: by the hypergeometric tail, with few false ones expected among those chosen. Where no word
+is that sure, the BEST surest ones are taken. All else covers every document and whole texts.
+
+Labels that only tell toxic from not are graded by cross-fitting: the sample is halved, words are chosen
+and a model of two grades is fitted on one half, and its scores cut the toxic rows of the other half into
+SEVERITIES equal parts. So no row's grade is read off features that were chosen on it. Such grades order
+the toxic rows by how plainly toxic they are to a model that has not seen them; they are no judgement of
+people, and only labels with grades of their own give that.
 
 Results for odd rows: a null or empty text has no words and gets what the thresholds alone say; if
-no row is labelled, or all have one grade, every text gets that grade (0 without labels); several
+no row is labelled, or all have one grade, every text gets that grade (0 without labels); if the
+labelled texts hold no words at all every text gets what the thresholds alone say; several
 labels of a document count as the highest; rows that repeat a doc_id are scored each; an empty table
 gives an empty result; other columns are not read.
 """
@@ -31,12 +40,14 @@ KINDS = (None, 4, 5, 6, 7, 8)
 #: Their smoothed odds ratio is at least ODDS: with many labels, words that hardly tell anything are
 #: significant too.
 FEATURES, FALSE_SHARE, FALSE_WORDS, ODDS = 2000, 0.1, 3, 3.0
+#: Words to take where none is that sure.
+BEST = 20
 #: Logarithms of chances are counted in steps of 1/BINS, down to -DEEPEST.
 BINS, DEEPEST = 20, 500
 STEPS, RATE, SHRINK = 400, 0.1, 1e-5
 CUT = 0.3
-#: Distinct telling words at which a toxic document is of grade 2, 3.
-LEVELS = (3, 5)
+#: Grades above 0 that labels of two grades are given.
+SEVERITIES = 3
 
 
 def _chunks(column):
@@ -91,30 +102,32 @@ def _known_of(column, known: np.ndarray):
 
 
 def _counted(batches):
-    """(word, docs, hits): documents with a word, and those of a grade above 0, batch by batch."""
+    """(half, word, docs, hits): documents with a word, and those of a grade above 0, batch by batch."""
     import pyarrow as pa
 
     for batch in batches:
-        toxic = np.array(batch.column("grade").to_pylist()) > 0
+        toxic, half = np.array(batch.column("grade").to_pylist()) > 0, batch.column("half").to_numpy(zero_copy_only=False)
         found = list(_words_of(batch.column("text")))
-        flat = np.concatenate([w for _, w in found]) if found else np.empty(0, np.uint64)
-        owner = np.repeat(np.array([row for row, _ in found], dtype=np.int64), [len(w) for _, w in found])
-        words, code, docs = np.unique(flat, return_inverse=True, return_counts=True)
-        hits = np.bincount(code, toxic[owner], len(words)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(hits)], ["word", "docs", "hits"])
+        for h in (0, 1):
+            mine = [(row, w) for row, w in found if half[row] == h]
+            flat = np.concatenate([w for _, w in mine]) if mine else np.empty(0, np.uint64)
+            owner = np.repeat(np.array([row for row, _ in mine], dtype=np.int64), [len(w) for _, w in mine])
+            words, code, docs = np.unique(flat, return_inverse=True, return_counts=True)
+            hits = np.bincount(code, toxic[owner], len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), h, np.int32)), pa.array(words.view(np.int64)), pa.array(docs.astype(np.int64)), pa.array(hits)], ["half", "word", "docs", "hits"])
 
 
 def _featured(known: np.ndarray):
-    """(grade, features): the places in ``known``, sorted hashes, of the words of each text."""
+    """(grade, half, features): the places in ``known``, sorted hashes, of the words of each text."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             features = [np.empty(0, np.int64)] * batch.num_rows
-            for row, places in _known_of(batch.column("text"), known):
+            for row, places in _known_of(batch.column("text"), known) if len(known) else ():
                 features[row] = places
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.array(features, pa.list_(pa.int64()))], ["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("half"), pa.array(features, pa.list_(pa.int64()))], ["grade", "half", "features"])
 
     return run
 
@@ -180,9 +193,9 @@ def telling_words(words: DataFrame, rows: int, positive: int) -> DataFrame:
     """(word, telling, chance) of the features, at most FEATURES, out of (word, docs, hits). Words whose
     chance is below a level t are chosen, the largest t at which the false ones, t times the words
     that are in documents enough to get there, are within FALSE_SHARE of the chosen
-    and FALSE_WORDS."""
-    judged = words.mapInArrow(_judged(rows, positive), "word long, least double, chance double, odds double, telling boolean")
-    judged = stored(judged.where(F.col("least") < float(np.log(FALSE_SHARE))), "words")
+    and FALSE_WORDS; the BEST surest words if there is no such t."""
+    everything = words.mapInArrow(_judged(rows, positive), "word long, least double, chance double, odds double, telling boolean")
+    judged = stored(everything.where(F.col("least") < float(np.log(FALSE_SHARE))), "words")
     different = judged.where((F.col("odds") >= ODDS) & (F.col("chance") < 0))
     bin_of = lambda c: F.least(F.lit(DEEPEST * BINS), F.floor(-F.col(c) * BINS).cast("int"))
 
@@ -195,74 +208,114 @@ def telling_words(words: DataFrame, rows: int, positive: int) -> DataFrame:
     can, do = reaching(judged, "least"), reaching(different, "chance")
     level = np.exp(-np.arange(len(do)) / BINS)
     good = np.flatnonzero((do > 0) & (level * can <= np.minimum(FALSE_SHARE * do, FALSE_WORDS)))
-    chosen = different.where(bin_of("chance") >= int(good[0])) if len(good) else different.limit(0)
-    return chosen.orderBy("chance", "word").limit(FEATURES)
+    if len(good):
+        return different.where(bin_of("chance") >= int(good[0])).orderBy("chance", "word").limit(FEATURES)
+    return everything.orderBy("chance", F.desc("odds"), "word").limit(BEST)
+
+
+def ordinal_loss(p, owner, feature, grade, features: int, weight) -> tuple[float, np.ndarray]:
+    """(loss, gradient) at ``p``: weights, first threshold, logarithms of the steps to the others. The loss
+    is the mean negative log-likelihood, rows weighing ``weight``, with a small penalty on the weights."""
+    rows, grades = np.arange(len(grade)), int(grade.max()) + 1
+    w, steps = p[:features], np.exp(p[features + 1 :])
+    thresholds = p[features] + np.concatenate([[0], np.cumsum(steps)])
+    score = np.bincount(owner, w[feature], len(grade))
+    cdf = sigmoid(thresholds[None, :] - score[:, None])
+    padded = np.concatenate([np.zeros((len(grade), 1)), cdf, np.ones((len(grade), 1))], axis=1)
+    likely = np.maximum(padded[rows, grade + 1] - padded[rows, grade], 1e-9)
+    slope = padded * (1 - padded)
+    up, down = weight * slope[rows, grade + 1] / likely, weight * slope[rows, grade] / likely
+    by_score = (up - down) / len(grade)
+    by_threshold = np.bincount(grade + 1, -up, grades + 1)[1:grades] + np.bincount(grade, down, grades + 1)[1:grades]
+    tail = np.cumsum((by_threshold / len(grade))[::-1])[::-1]
+    gradient = np.concatenate([np.bincount(feature, by_score[owner], features) + SHRINK * w, tail[:1], tail[1:] * steps])
+    return -float(weight @ np.log(likely)) / len(grade) + SHRINK / 2 * float(w @ w), gradient
 
 
 def fit_ordinal(owner: np.ndarray, feature: np.ndarray, grade: np.ndarray, features: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by Adam on the mean negative log-likelihood. Row ``owner[k]`` has feature
-    ``feature[k]``; rows weigh ``weight``, or the same. Thresholds are a first one and positive steps,
-    so they stay in order."""
+    """(weights, thresholds) by Adam on ``ordinal_loss``. Row ``owner[k]`` has feature ``feature[k]``; rows
+    weigh ``weight``, or the same. Thresholds are a first one and positive steps, so they stay in order."""
     grades = int(grade.max()) + 1
     weight = np.ones(len(grade)) if weight is None else weight * (len(grade) / weight.sum())
     share = np.cumsum(np.bincount(grade, weight, grades))[:-1] / len(grade)
     start = np.log(np.clip(share, 1e-4, 1 - 1e-4) / np.clip(1 - share, 1e-4, 1))
     p = np.concatenate([np.zeros(features), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    m, v, rows = np.zeros_like(p), np.zeros_like(p), np.arange(len(grade))
+    m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, STEPS + 1):
-        w, steps = p[:features], np.exp(p[features + 1 :])
-        thresholds = p[features] + np.concatenate([[0], np.cumsum(steps)])
-        score = np.bincount(owner, w[feature], len(grade))
-        cdf = sigmoid(thresholds[None, :] - score[:, None])
-        padded = np.concatenate([np.zeros((len(grade), 1)), cdf, np.ones((len(grade), 1))], axis=1)
-        likely = np.maximum(padded[rows, grade + 1] - padded[rows, grade], 1e-9)
-        slope = padded * (1 - padded)
-        up, down = slope[rows, grade + 1] / likely, slope[rows, grade] / likely
-        up, down = up * weight, down * weight
-        by_score = (up - down) / len(grade)
-        by_threshold = np.bincount(grade + 1, -up, grades + 1)[1:grades] + np.bincount(grade, down, grades + 1)[1:grades]
-        by_threshold /= len(grade)
-        tail = np.cumsum(by_threshold[::-1])[::-1]
-        g = np.concatenate([np.bincount(feature, by_score[owner], features) + SHRINK * w, tail[:1], tail[1:] * steps])
+        g = ordinal_loss(p, owner, feature, grade, features, weight)[1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return p[:features], p[features] + np.concatenate([[0], np.cumsum(np.exp(p[features + 1 :]))])
 
 
-def fit(docs: DataFrame, grades: DataFrame, levels: tuple = LEVELS, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """The model for ``grades`` (doc_id, grade from 0) as plain arrays. Labels that only tell 0 from 1
-    are graded by ``levels``: a document of grade 1 rises by one at each of these numbers of distinct
-    words that tell the grades apart."""
+def cross_graded(owner, feature, grade, half, own: list[np.ndarray], weight, severities: int = SEVERITIES) -> np.ndarray:
+    """Grades 0 to ``severities`` for rows of grade 0 and 1. ``own[h]`` marks the features chosen on half h;
+    the rows of a half are scored by the model of the other one, and the toxic ones are cut into equal
+    parts (by weight) at their scores; equal scores stay together."""
+    score = np.zeros(len(grade))
+    for h in (0, 1):
+        use, known = half == h, own[h]
+        if len(set(grade[use].tolist())) < 2 or not known.any():
+            continue
+        place, mine = np.cumsum(known) - 1, known[feature]
+        here = mine & use[owner]
+        row = np.cumsum(use) - 1
+        w, _ = fit_ordinal(row[owner[here]], place[feature[here]], grade[use], int(known.sum()), weight[use])
+        there = mine & ~use[owner]
+        score += np.bincount(owner[there], w[place[feature[there]]], len(grade))
+    toxic = np.flatnonzero(grade > 0)
+    order = toxic[np.argsort(score[toxic], kind="stable")]
+    below = np.cumsum(weight[order]) / weight[order].sum()
+    cuts = [score[order[min(np.searchsorted(below, k / severities), len(order) - 1)]] for k in range(1, severities)]
+    out = np.zeros(len(grade), dtype=np.int64)
+    out[toxic] = 1 + np.searchsorted(cuts, score[toxic], "left")
+    return np.searchsorted(np.unique(out), out) if (out == 0).any() else out
+
+
+def fit(docs: DataFrame, grades: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
+    """The model for ``grades`` (doc_id, grade from 0) as plain arrays."""
+    small_batches(docs.sparkSession)
     grades = grades.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     grades = stored(grades, "grades")
     labelled = {r["grade"]: r["n"] for r in grades.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
     shares = {g: n / labelled[g] for g, n in quotas(labelled, sample_docs).items()}
-    bars = F.coalesce(*(F.when(F.col("grade") == g, share * (1 << 30)) for g, share in shares.items()), F.lit(0.0))
-    drawn = grades.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) < bars)
+    bar = lambda shares: F.coalesce(*(F.when(F.col("grade") == g, share * (1 << 30)) for g, share in shares.items()), F.lit(0.0))
+    drawn = grades.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 30)) < bar(shares))
     drawn = broadcast_if_small(stored(drawn, "drawn"), 2 * sample_docs)
-    rows = docs.select("doc_id", "text").join(drawn, "doc_id").select("grade", "text")
+    rows = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text"))[0].alias("key")).join(drawn, "doc_id")
     held = {r["grade"]: r["n"] for r in rows.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}
-    constant = {"words": np.empty(0, np.uint64), "weights": np.empty(0), "thresholds": np.empty(0), "only": max(held, key=held.get, default=0)}
     if len(held) < 2:
-        return constant
-    words = rows.mapInArrow(_counted, "word long, docs long, hits long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
-    best = telling_words(words, sum(held.values()), sum(n for g, n in held.items() if g > 0)).toPandas()
-    known = best["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known, telling = known[order], best["telling"].to_numpy(dtype=bool)[order]
-    if not len(known):
-        return constant
-    sample = rows.mapInArrow(_featured(known), "grade int, features array<long>").toPandas()
+        return {"words": np.empty(0, np.uint64), "weights": np.empty(0), "thresholds": np.empty(0), "only": max(held, key=held.get, default=0)}
+    if sum(held.values()) > 2 * sample_docs:  # ids that very many rows repeat: draw again, by rows
+        again = {g: n / held[g] for g, n in quotas(held, sample_docs).items()}
+        rows = rows.where(F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(1 << 30)) < bar(again))
+        shares = {g: share * again.get(g, 1.0) for g, share in shares.items()}
+    rows = stored(rows.select("grade", F.pmod(F.shiftright("key", 32), F.lit(2)).cast("int").alias("half"), "text"), "labelled")
+    counts = rows.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("grade") > 0, 1)).alias("positive")).collect()
+    words = rows.mapInArrow(_counted, "half int, word long, docs long, hits long").groupBy("half", "word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
+    words = stored(words, "word_counts")
+    both = words.groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("hits").alias("hits"))
+    binary = set(held) == {0, 1}
+    halves = [(r["half"], r["n"], r["positive"]) for r in counts if 0 < r["positive"] < r["n"]] if binary else []
+    chosen = {h: _features(telling_words(words.where(F.col("half") == h).drop("half"), n, positive)) for h, n, positive in halves}
+    best = _features(telling_words(both, sum(r["n"] for r in counts), sum(r["positive"] for r in counts)))
+    known = np.unique(np.concatenate([best, *chosen.values()]))
+    sample = rows.mapInArrow(_featured(known), "grade int, half int, features array<long>").toPandas()
     grade = sample["grade"].to_numpy(dtype=np.int64)
     weight = 1 / np.array([shares.get(g, 1.0) for g in range(int(grade.max()) + 1)])[grade]
-    sizes = sample["features"].map(len).to_numpy()
-    feature, owner = np.concatenate(sample["features"].to_list()).astype(np.int64), np.repeat(np.arange(len(grade)), sizes)
-    if levels and grade.max() == 1:
-        kind = (known & np.uint64(7)).astype(np.int64)
-        per_kind = np.bincount(owner * len(KINDS) + kind[feature], telling[feature], len(grade) * len(KINDS)).reshape(len(grade), -1)
-        grade = np.where(grade > 0, 1 + np.searchsorted(levels, per_kind.max(axis=1), "right"), 0)
-    weights, thresholds = fit_ordinal(owner, feature, grade, len(known), weight)
-    return {"words": known, "weights": weights, "thresholds": thresholds, "only": -1}
+    feature = np.concatenate([np.empty(0, np.int64), *sample["features"].to_list()]).astype(np.int64)
+    owner = np.repeat(np.arange(len(grade)), sample["features"].map(len).to_numpy())
+    if binary:
+        own = [np.isin(known, chosen.get(h, np.empty(0, np.uint64))) for h in (0, 1)]
+        grade = cross_graded(owner, feature, grade, sample["half"].to_numpy(), own, weight)
+    use = np.isin(known, best)
+    place, mine = np.cumsum(use) - 1, use[feature]
+    weights, thresholds = fit_ordinal(owner[mine], place[feature[mine]], grade, int(use.sum()), weight)
+    return {"words": known[use], "weights": weights, "thresholds": thresholds, "only": -1}
+
+
+def _features(words: DataFrame) -> np.ndarray:
+    return words.select("word").toPandas()["word"].to_numpy(dtype=np.int64).view(np.uint64)
 
 
 def _scorer(model):
@@ -288,6 +341,7 @@ def _scorer(model):
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, severity, grade, toxic) of every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scorer(shared), "doc_id long, severity double, grade int, toxic boolean")
