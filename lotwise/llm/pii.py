@@ -4,17 +4,21 @@ Base. Emails, IP addresses, card numbers and phone numbers are found by pattern,
 overlap inside each kind; matches that fail their check (parts, digits, Luhn) are dropped. Offsets are
 code points: the texts between matches and the matches are measured in order.
 
-Bootstrapping. Every base span is an instance and a seed with score 1, whatever its form. Words outside
+Bootstrapping. Every base span is an instance and a seed of its kind, whatever its form. Words outside
 base spans that could be identifiers are the other instances: those with a digit, a sign between
-letters, or two capitals. The two words before an instance are a lexical pattern of it and the one word
-before it another; either will do. Over the graph of patterns and instances Spark repeats: a pattern scores the mean of its
-instances, an instance not a seed one minus the product of the misses of its patterns. Patterns with a
-score of at least ACCEPT, over enough seeds and distinct instances, extract all their other instances
-as spans of kind ``id``, and the candidate words that follow these without any other word between;
-spans one blank apart are one. Base spans are never changed. Plain words are not candidates.
-
-DataFrame functions only. Every text is scanned once, whole; only spans and contexts are stored.
-A context is looked for in the CONTEXT_CHARS characters before a word.
+letters, or two capitals. Of these, long runs of letters and digits mixed are seeds too, of the kind
+secret. The lexical patterns of an instance are the word before it, the two words before it, and the
+word behind it. Over the graph of patterns and instances Spark repeats: a pattern stands for the kind
+most of its seeds have and scores the mean of its instances; an instance that is a seed counts 1 for its
+own kind and 0 for others, any other counts, for each kind, one minus the product of the misses of its
+patterns of that kind. Patterns with a score of at least ACCEPT, over enough seeds and distinct
+instances, are looked up in all texts: their score is multiplied by the share of their occurrences
+that have a candidate there and not a plain word. Those that still reach ACCEPT extract all their
+instances outside base spans as spans of kind ``id``, and the candidate words with a digit that follow
+these without any other word between; spans one blank apart are one. Base spans are never changed. Plain
+words are not candidates.
+
+DataFrame functions only. Texts are read twice, whole; only spans and hashes of contexts are stored.
 
 Results for odd rows: a null text is empty and has no spans; rows that repeat a doc_id are scanned
 each by itself; an empty table gives an empty result; columns other than the two named are not read.
@@ -22,10 +26,10 @@ each by itself; an empty table gives an empty result; columns other than the two
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import broadcast_if_small, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base patterns: the same matches, without backtracking over long runs. A
@@ -38,16 +42,23 @@ PATTERNS = {
 }
 IP_PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 IP_CHECK = rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"
-#: A word with a digit, a sign between letters, or two capitals.
-INSTANCE = r"(?<!\S)(?:[^\s0-9]*+[0-9]|\S*?\p{L}[-_.@/:]++\p{L}|\S*?\p{Lu}\S*?\p{Lu})\S*+"
-CONTEXT_CHARS = 80
+#: A word with a digit, a sign between letters, or two capitals: in a text, and by itself.
+CANDIDATE = r"(?:[^\s0-9]*+[0-9]|\S*?\p{L}[-_.@/:]++\p{L}|\S*?\p{Lu}\S*?\p{Lu})"
+INSTANCE, IS_INSTANCE = rf"(?<!\S){CANDIDATE}\S*+", f"^{CANDIDATE}"
+#: A run of letters and digits mixed, as keys and tokens are.
+SECRET = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+=-]{20,}$"
+#: Kinds of seeds: those of the base patterns, secret, and none.
+SECRET_KIND, NO_KIND = len(KINDS), -1
 ROUNDS = 3
 #: What an accepted pattern has at least.
 ACCEPT, MIN_SEEDS, MIN_INSTANCES = 0.8, 3, 5
-BLOCK = 256
+#: Up to this many patterns are broadcast.
+BROADCAST_PATTERNS = 1_000_000
+#: Items of an array that is built up, and characters in which spans and words meet.
+BLOCK, CELL = 256, 256
 
-PLACED = "array<struct<start:bigint,end:bigint,text:string,before:string,head:string,head_at:bigint>>"
-MARKS = "array<struct<start:bigint,kind:int,end:bigint,instance:bigint,patterns:array<string>>>"
+MARKS = "array<struct<start:bigint,kind:int,end:bigint,instance:bigint>>"
+SEEN = "array<struct<start:bigint,end:bigint,from:bigint,to:bigint,instance:bigint,secret:boolean,digit:boolean,place:int,before:array<bigint>,behind:bigint>>"
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -56,46 +67,28 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def last(text: Column) -> Column:
-    return F.substring(text, -CONTEXT_CHARS, CONTEXT_CHARS)
-
-
 def placed(text: Column, pattern: str) -> Column:
-    """Array of (start, end, text, before, head, head_at) of the matches, null without any: ``before``
-    is the text before a match, ``head`` and ``head_at`` are ``before`` and ``start`` of the first of
-    the matches that follow each other up to this one with only white space between.
-
-    Positions are running sums over gaps and matches, taken in blocks so that the arrays that are
-    built up stay short."""
+    """Array of (start, end, text) of the matches, null without any. Ends are running sums over gaps and
+    matches, taken in blocks so that the arrays that are built up stay short."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("width"), m.alias("text"), last(g).alias("before"), F.regexp_like(g, F.lit(r"^\s*$")).alias("next")))
+    parts = F.zip_with(gaps, found, lambda g, m: F.struct((F.length(g) + F.length(m)).cast("long").alias("step"), F.length(m).cast("long").alias("width"), m.alias("text")))
     parts = F.filter(parts, lambda p: p["text"].isNotNull())
 
-    def one(acc: Column, p: Column, before: Column) -> Column:
-        start, goes_on = acc["at"] + p["gap"], p["next"] & acc["head"].isNotNull()
-        head, head_at = F.when(goes_on, acc["head"]).otherwise(before), F.when(goes_on, acc["head_at"]).otherwise(start)
-        return F.struct(start.alias("start"), (start + p["width"]).alias("end"), p["text"].alias("text"), before.alias("before"), head.alias("head"), head_at.alias("head_at"))
-
-    def state(at: Column, tail: Column, head: Column, head_at: Column, out: Column) -> Column:
-        return F.struct(at.alias("at"), tail.alias("tail"), head.alias("head"), head_at.alias("head_at"), out.alias("out"))
-
-    def inside(block: Column, acc: Column) -> Column:
-        def step(acc: Column, p: Column) -> Column:
-            match = lambda m: state(m["end"], last(F.concat(m["before"], m["text"])), m["head"], m["head_at"], F.concat(acc["out"], F.array(m)))
-            return let(last(F.concat(acc["tail"], p["before"])), lambda before: let(one(acc, p, before), match))
+    def state(at: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), out.alias("out"))
 
-        return F.aggregate(block, state(acc["at"], acc["tail"], acc["head"], acc["head_at"], F.array().cast(PLACED)), step)
-
-    def blocks(z: Column) -> Column:
+    def ends(z: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, BLOCK))
-        zero = state(F.lit(0).cast("long"), F.lit(""), F.lit(None).cast("string"), F.lit(0).cast("long"), F.array().cast(f"array<{PLACED}>"))
+        one = lambda acc, p: let(acc["at"] + p["step"], lambda at: state(at, F.concat(acc["out"], F.array(at))))
 
-        def step(acc, block):
-            return let(inside(block, acc), lambda done: state(done["at"], done["tail"], done["head"], done["head_at"], F.concat(acc["out"], F.array(done["out"]))))
+        def block(acc: Column, part: Column) -> Column:
+            inside = F.aggregate(part, state(acc["at"], F.array().cast("array<bigint>")), one)
+            return let(inside, lambda done: state(done["at"], F.concat(acc["out"], F.array(done["out"]))))
 
-        return F.flatten(F.aggregate(cut, zero, step)["out"])
+        return F.flatten(F.aggregate(cut, state(F.lit(0).cast("long"), F.array().cast("array<array<bigint>>")), block)["out"])
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, blocks))
+    span = lambda p, end: F.struct((end - p["width"]).alias("start"), end.alias("end"), p["text"].alias("text"))
+    return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, lambda z: F.zip_with(z, ends(z), span)))
 
 
 def digits(match: Column) -> Column:
@@ -124,63 +117,119 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def contexts(before: Column) -> Column:
-    """The patterns of what follows ``before``: its last two words and its last word."""
-    two = F.lower(F.regexp_replace(F.regexp_extract(before, r"((?:\S+\s+)?\S+)\s+$", 1), r"\s+", " "))
-    return let(two, lambda two: F.filter(F.array_distinct(F.array(two, F.substring_index(two, " ", -1))), lambda p: p != ""))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def after_words(*words: Column) -> Column:
+    """The pattern of what follows these words, null if one is."""
+    return F.when(words[0].isNotNull(), F.xxhash64(F.lit(len(words)), *map(F.lower, words)))
+
+
+def before_word(word: Column) -> Column:
+    return F.when(word.isNotNull(), F.xxhash64(F.lit(-1), F.lower(word)))
 
 
 def base_marks(text: Column) -> Column:
-    """All base spans, ordered by start, then kind, as instances: array of (start, kind, end, instance,
-    patterns)."""
+    """All base spans, ordered by start, then kind, as seeds: array of (start, kind, end, instance)."""
+
     def of(k: int, kind: str) -> Column:
         kept = F.filter(placed(text, PATTERNS[kind]), lambda m: holds(kind, m["text"]))
-        mark = lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), F.xxhash64(F.lower(m["text"])).alias("instance"), contexts(m["before"]).alias("patterns"))
+        mark = lambda m: F.struct(m["start"].alias("start"), F.lit(k).alias("kind"), m["end"].alias("end"), F.xxhash64(F.lower(m["text"])).alias("instance"))
         return F.coalesce(F.transform(kept, mark), F.array().cast(MARKS))
 
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
 
-def instances(text: Column) -> Column:
-    """Candidate words, their edges trimmed of other signs, with the patterns before them and before
-    the first of the candidates that they follow."""
+def candidates(text: Column) -> Column:
+    """Candidate words: where the word stands (start, end) and where it does without other signs at its
+    ends (from, to), its place among all words, its patterns, and whether it looks like a secret."""
 
-    def one(m: Column) -> Column:
+    def one(m: Column, place: Column, words: Column) -> Column:
         lead = F.length(m["text"]) - F.length(F.regexp_replace(m["text"], r"^[^\p{L}0-9+]+", ""))
-        core = F.regexp_replace(F.regexp_replace(m["text"], r"^[^\p{L}0-9+]+", ""), r"[^\p{L}0-9]+$", "")
-        first = F.when(m["head_at"] < m["start"], contexts(m["head"])).otherwise(F.array().cast("array<string>"))
-        return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(core)).alias("end"), F.xxhash64(F.lower(core)).alias("instance"), contexts(m["before"]).alias("patterns"), first.alias("first"), m["head_at"].alias("head_at"))
-
-    return F.transform(placed(text, INSTANCE), one)
+        core = F.regexp_replace(m["text"], r"^[^\p{L}0-9+]+|(?<![^\p{L}0-9])[^\p{L}0-9]++$", "")
+        at = lambda k: F.get(words, place + k)
+        return F.struct(
+            m["start"].alias("start"),
+            m["end"].alias("end"),
+            (m["start"] + lead).alias("from"),
+            (m["start"] + lead + F.length(core)).alias("to"),
+            F.xxhash64(F.lower(core)).alias("instance"),
+            F.regexp_like(core, F.lit(SECRET)).alias("secret"),
+            F.regexp_like(core, F.lit("[0-9]")).alias("digit"),
+            place.alias("place"),
+            F.array_compact(F.array(after_words(at(-1)), after_words(at(-2), at(-1)))).alias("before"),
+            before_word(at(1)).alias("behind"),
+        )
+
+    def all_of(words: Column) -> Column:
+        places = F.filter(F.transform(words, lambda w, k: F.when(F.regexp_like(w, F.lit(IS_INSTANCE)), k)), lambda k: k.isNotNull())
+        return F.zip_with(placed(text, INSTANCE), places, lambda m, k: one(m, k, words))
+
+    return F.when(F.regexp_like(text, F.lit(INSTANCE)), let(words_of(text), all_of)).cast(SEEN)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, marks, seen): a row number, the base spans and the candidate words of every
     document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), base_marks(text).alias("marks"), instances(text).alias("seen"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), base_marks(text).alias("marks"), candidates(text).alias("seen"))
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "scan")
 
 
+def cells(start: Column, end: Column) -> Column:
+    return F.explode(F.sequence(F.floor(start / CELL), F.floor((end - 1) / CELL)))
+
+
+def met(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(row, kind, at, instance, place, before, behind): base spans with the candidate words they cover,
+    wholly or in part. Both meet in cells of the text."""
+    spans = rows.select("row", F.explode("marks").alias("m")).select("row", F.col("m.kind").alias("kind"), F.col("m.start").alias("at"), F.col("m.end").alias("stop"), F.col("m.instance").alias("found"))
+    spans = spans.select("*", cells(F.col("at"), F.col("stop")).alias("cell"))
+    words = words.select("row", "place", "start", "end", "before", "behind", cells(F.col("start"), F.col("end")).alias("cell"))
+    both = spans.join(words, ["row", "cell"]).where((F.col("at") < F.col("end")) & (F.col("stop") > F.col("start")))
+    return both.select("row", "kind", "at", F.col("found").alias("instance"), "place", "before", "behind").distinct()
+
+
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score, seeds, instances) after ``rounds`` of scoring over (pattern, instance, seed)
-    edges. A pattern with a single instance, or less than MIN_INSTANCES, can't be accepted and only
-    such patterns are left out."""
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), F.sum("seed").alias("seeds"))
-    sizes = stored(sizes.where(F.col("instances") >= MIN_INSTANCES), "patterns")
-    graph = stored(edges.join(sizes.select("pattern"), "pattern", "left_semi"), "graph")
+    """(pattern, stands, score, seeds, instances) after ``rounds`` of scoring over (pattern, instance,
+    kind) edges. Patterns of less than MIN_INSTANCES instances can't be accepted and are left out."""
+    seeds = [F.count(F.when(F.col("kind") == k, 1)).alias(f"seeds{k}") for k in range(SECRET_KIND + 1)]
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), *seeds).where(F.col("instances") >= MIN_INSTANCES)
+    most = F.greatest(*(F.struct(F.col(f"seeds{k}").alias("seeds"), F.lit(-k).alias("first"), F.lit(k).alias("kind")) for k in range(SECRET_KIND + 1)))
+    sizes = stored(sizes.select("pattern", "instances", most.alias("most")).select("pattern", "instances", F.col("most.seeds").alias("seeds"), F.col("most.kind").alias("stands")), "patterns")
+    graph = stored(edges.join(sizes.select("pattern", "stands"), "pattern"), "graph")
     scores = sizes.select("pattern", (F.col("seeds") / F.col("instances")).alias("score"))
     for k in range(1, rounds):
         scores = stored(scores, f"scores{k}")
         miss = F.sum(F.log1p(-F.least("score", F.lit(1 - 1e-9))))
-        found = stored(graph.where("seed = 0").join(scores.where("score > 0"), "pattern").groupBy("instance").agg((1 - F.exp(miss)).alias("found")), f"found{k}")
-        worth = F.when(F.col("seed") == 1, F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0.0)))
-        scores = graph.join(found, "instance", "left").groupBy("pattern").agg(F.avg(worth).alias("score"))
+        free = graph.where(F.col("kind") == NO_KIND)
+        found = stored(free.join(scores.where("score > 0"), "pattern").groupBy("instance", "stands").agg((1 - F.exp(miss)).alias("found")), f"found{k}")
+        worth = F.when(F.col("kind") == F.col("stands"), 1.0).when(F.col("kind") == NO_KIND, F.coalesce("found", F.lit(0.0))).otherwise(0.0)
+        scores = graph.join(found, ["instance", "stands"], "left").groupBy("pattern").agg(F.avg(worth).alias("score"))
     return sizes.join(stored(scores, "scores"), "pattern")
 
 
-def accepted(scored: DataFrame) -> DataFrame:
-    return scored.where((F.col("score") >= ACCEPT) & (F.col("seeds") >= MIN_SEEDS) & (F.col("instances") >= MIN_INSTANCES)).select("pattern")
+def occurrences(text: Column) -> Column:
+    """The patterns at every word of a text, candidate or not."""
+
+    def of(words: Column) -> Column:
+        at = lambda k: F.get(words, k)
+        one = lambda w, k: F.array_compact(F.array(after_words(at(k - 1)), after_words(at(k - 2), at(k - 1)), before_word(at(k + 1))))
+        return F.flatten(F.transform(words, one))
+
+    return let(words_of(text), of)
+
+
+def accepted(scored: DataFrame, words: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The patterns that extract, of ``scored`` ones, for candidate ``words`` of ``docs``."""
+    good = scored.where((F.col("score") >= ACCEPT) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", "score")
+    good = broadcast_if_small(stored(good, "likely"), BROADCAST_PATTERNS)
+    everywhere = docs.select(F.explode(occurrences(F.coalesce(F.col(text_col), F.lit("")))).alias("pattern"))
+    everywhere = everywhere.join(good, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
+    here = words.select(F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").groupBy("pattern").agg(F.count(F.lit(1)).alias("here"))
+    sure = good.join(everywhere, "pattern").join(here, "pattern")
+    return sure.where(F.col("score") * F.col("here") >= ACCEPT * F.col("all")).select("pattern")
 
 
 def named(spans: Column) -> Column:
@@ -198,26 +247,34 @@ def joined(spans: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, n_found, base_sha256, spans."""
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, n_found, flagged, base_sha256, spans."""
     rows = scan(docs, id_col, text_col)
+    words = rows.select("row", F.explode("seen").alias("m")).select("row", "m.*")
+    words = words.withColumn("patterns", F.array_compact(F.concat("before", F.array("behind"))))
+    over = stored(met(rows, words), "met")
+    free = stored(words.join(over.select("row", "place").distinct(), ["row", "place"], "left_anti"), "free")
+    seeds = over.groupBy("row", "kind", "at", "instance").agg(F.min_by("before", "place").alias("before"), F.max_by("behind", "place").alias("behind"))
+    seeds = seeds.select("instance", F.explode(F.array_compact(F.concat("before", F.array("behind")))).alias("pattern"), "kind")
+    others = free.select("instance", F.explode("patterns").alias("pattern"), F.when(F.col("secret"), SECRET_KIND).otherwise(NO_KIND).alias("kind"))
+    edges = stored(seeds.unionByName(others).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    good = stored(accepted(score_graph(edges), words, docs, text_col), "accepted")
+    # candidates that follow each other stand under the words before the first of them too
+    order = Window.partitionBy("row").orderBy("place")
+    heads = F.when(~F.col("digit") | F.coalesce(F.lag("place").over(order) + 1 != F.col("place"), F.lit(True)), F.col("before"))
+    led = free.withColumn("head", heads).withColumn("head", F.last("head", ignorenulls=True).over(order))
+    led = led.select("row", "from", "to", F.explode(F.array_distinct(F.concat("patterns", "head"))).alias("pattern"))
+    found = led.join(broadcast_if_small(good, BROADCAST_PATTERNS), "pattern", "left_semi")
+    span = F.struct(F.col("from").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("to").alias("end"))
+    new = found.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("new")).select("row", joined(F.col("new")).alias("new"))
     base = F.transform("marks", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    rows = rows.select("row", "doc_id", "marks", "seen", base.alias("base"))
-    seeds = rows.select(F.explode("marks").alias("m")).select("m.instance", F.explode("m.patterns").alias("pattern"), F.lit(1).alias("seed"))
-    words = rows.select("row", "base", F.explode("seen").alias("m")).where(~F.exists("base", lambda b: (b["start"] < F.col("m.end")) & (b["end"] > F.col("m.start"))))
-    # what follows a base span is not led by the words before that
-    led = ~F.exists("base", lambda b: (b["end"] > F.col("m.head_at")) & (b["start"] < F.col("m.start")))
-    words = words.select("row", "m.start", "m.end", "m.instance", "m.patterns", F.when(led, F.concat("m.patterns", "m.first")).otherwise(F.col("m.patterns")).alias("all"))
-    others = words.select("instance", F.explode("patterns").alias("pattern"), F.lit(0).alias("seed"))
-    edges = stored(seeds.unionByName(others).groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "edges")
-    good = stored(accepted(score_graph(edges)), "accepted")
-    found = words.select("row", "start", "end", F.explode("all").alias("pattern")).join(good, "pattern")
-    new = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("kind"), "end"))).alias("new")).select("row", joined(F.col("new")).alias("new"))
+    out = rows.select("row", "doc_id", base.alias("base")).join(stored(new, "new"), "row", "left")
     everything = F.array_sort(F.concat("base", F.coalesce("new", F.array().cast(SPANS))))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return rows.join(new, "row", "left").select(
+    return out.select(
         "doc_id",
         *(count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)),
         F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_found"),
+        (F.size(everything) > 0).alias("flagged"),
         F.sha2(named(F.col("base")), 256).alias("base_sha256"),
         named(everything).alias("spans"),
     )
