@@ -12,10 +12,11 @@ Search. A query first visits its own cell. Inside a block it takes leaves in ord
 distance and verifies their vectors with the exact measure, until the test holds: a vector nearer
 than the k-th found so far would be projected this far with a chance below 1 - SURE. What the first
 visit finds bounds the second, to every other cell that the same test does not rule out. Queries
-and blocks meet in pieces of bounded size.
+and blocks meet in pieces of bounded size: a block is sent out once for each piece of its queries, and
+pieces grow up to QUERY_ROWS while there are enough of them for all cores.
 
-Scores are summed in double precision in one order, so equal vectors tie exactly; ties go to the
-smaller id. Results for odd rows: vectors that are null, zero, or hold null or non-finite
+Matrix products only tell which rows can be among the best, with room for their rounding. Scores are
+summed in double precision in one order, so equal vectors tie exactly; ties go to the smaller id. Results for odd rows: vectors that are null, zero, or hold null or non-finite
 components take no part, nor do those whose length is not the most common one; rows that repeat an
 id are candidates each, but not for the query of their id; a null id takes no part; an empty table
 gives an empty result; other columns are not read.
@@ -36,8 +37,10 @@ DIMS = 8
 SURE = 0.98
 SAMPLE_ROWS, MAX_CELLS = 20_000, 1024
 CELL_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 16_384, 256
-#: Queries that meet a block in one task.
-QUERY_ROWS = 1024
+#: Queries that meet a block in one task, at least and at most (if there are so many), and at once in it.
+FEWEST_ROWS, QUERY_ROWS, TOGETHER = 1024, 16_384, 1024
+#: Pieces for each core.
+PIECES = 4
 BROADCAST_BLOCKS = 200_000
 
 
@@ -128,13 +131,23 @@ def search_block(ids, vectors, query_ids, queries, bound, most: float, k: int):
     _, leaves = split_tree(place, LEAF_ROWS)
     low = np.array([place[r].min(axis=0) for r in leaves])
     high = np.array([place[r].max(axis=0) for r in leaves])
+    best = np.full((len(queries), k), -np.inf)
+    best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
+    for a in range(0, len(queries), TOGETHER):
+        part = slice(a, a + TOGETHER)
+        _visit_leaves(ids, vectors, leaves, low, high, query_ids[part], queries[part], bound[part], most, best[part], best_id[part])
+    row, col = np.nonzero(best > -np.inf)
+    return row, best_id[row, col], best[row, col]
+
+
+def _visit_leaves(ids, vectors, leaves, low, high, query_ids, queries, bound, most, best, best_id) -> None:
+    """Brings the best scores and ids, a row for each query, up to date with a block's leaves."""
     far = box_distance(projected(queries, None), low, high)
     order = np.argsort(far, axis=1, kind="stable")
     far = np.take_along_axis(far, order, axis=1)
-    offset = np.einsum("ij,ij->i", queries, queries) + most
-    best = np.full((len(queries), k), -np.inf)
-    best_id = np.full((len(queries), k), np.iinfo(np.int64).max)
-    limit = bound.copy()
+    norm = np.einsum("ij,ij->i", queries, queries)
+    room = 1e-9 * np.sqrt(norm * most)  # far above the rounding of a product
+    limit, k = bound.copy(), best.shape[1]
     for step in range(len(leaves)):
         active = np.flatnonzero(far[:, step] <= STOP * limit)
         if not len(active):
@@ -142,15 +155,25 @@ def search_block(ids, vectors, query_ids, queries, bound, most: float, k: int):
         leaf_of = order[active, step]
         for leaf in np.unique(leaf_of):
             q, rows = active[leaf_of == leaf], leaves[leaf]
-            score = np.einsum("ij,kj->ik", queries[q], vectors[rows])
-            score[query_ids[q][:, None] == ids[rows][None, :]] = -np.inf
-            all_score = np.concatenate([best[q], score], axis=1)
-            all_id = np.concatenate([best_id[q], np.broadcast_to(ids[rows], score.shape)], axis=1)
-            rank = np.lexsort((all_id, -all_score), axis=1)[:, :k]
-            best[q], best_id[q] = np.take_along_axis(all_score, rank, 1), np.take_along_axis(all_id, rank, 1)
-            limit[q] = np.minimum(bound[q], np.maximum(offset[q] - 2 * best[q, -1], 0))
-    row, col = np.nonzero(best > -np.inf)
-    return row, best_id[row, col], best[row, col]
+            near = queries[q] @ vectors[rows].T
+            near[query_ids[q][:, None] == ids[rows][None, :]] = -np.inf
+            least = best[q, -1]
+            if len(rows) > k:
+                least = np.maximum(least, np.partition(near, len(rows) - k, axis=1)[:, len(rows) - k])
+            row, col = np.nonzero((near >= (least - room[q])[:, None]) & (near > -np.inf))
+            score = np.concatenate([np.empty(0), *(np.einsum("ij,ij->i", queries[q[row[i : i + 8192]]], vectors[rows[col[i : i + 8192]]]) for i in range(0, len(row), 8192))])
+            found = ids[rows[col]]
+            worst, worst_id = best[q[row], -1], best_id[q[row], -1]
+            new = (score > worst) | ((score == worst) & (found < worst_id))
+            row, score, found = row[new], score[new], found[new]
+            changed, at = np.unique(row, return_inverse=True)
+            mine = q[changed]
+            of = np.concatenate([np.repeat(np.arange(len(mine)), k), at])
+            all_score, all_id = np.concatenate([best[mine].ravel(), score]), np.concatenate([best_id[mine].ravel(), found])
+            rank = np.lexsort((all_id, -all_score, of))
+            take = rank[np.searchsorted(of[rank], np.arange(len(mine)))[:, None] + np.arange(k)]
+            best[mine], best_id[mine] = all_score[take], all_id[take]
+            limit[mine] = np.minimum(bound[mine], np.maximum(norm[mine] + most - 2 * best[mine, -1], 0))
 
 
 def _searcher(most: float, k: int):
@@ -233,7 +256,9 @@ class Index:
     def _meet(self, asked: DataFrame, k: int) -> DataFrame:
         """Best ``k`` per query and block, for queries (query_id, vec, bound, cell)."""
         asked = stored(asked.withColumn("cut", F.explode(F.sequence(F.lit(0), self.cuts - 1))), "asked")
-        pieces = asked.groupBy("cell", "cut").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("int").alias("pieces"))
+        cores = asked.sparkSession.sparkContext.defaultParallelism
+        together = min(QUERY_ROWS, max(FEWEST_ROWS, math.ceil(asked.count() / (PIECES * cores))))
+        pieces = asked.groupBy("cell", "cut").agg(F.ceil(F.count(F.lit(1)) / together).cast("int").alias("pieces"))
         pieces = broadcast_if_small(stored(pieces, "pieces"), BROADCAST_BLOCKS)
         asked = asked.join(pieces, ["cell", "cut"]).withColumn("piece", F.pmod(F.xxhash64("query_id"), F.col("pieces")).cast("int"))
         data = self.placed.withColumn("cut", F.pmod(F.xxhash64("vec_id"), self.cuts).cast("int"))
