@@ -68,6 +68,7 @@ def test_neighbours(spark, monkeypatch, cell, block, asked):
     monkeypatch.setattr(ann, "CELL_ROWS", cell)
     monkeypatch.setattr(ann, "BLOCK_ROWS", block)
     monkeypatch.setattr(ann, "QUERY_ROWS", asked)
+    monkeypatch.setattr(ann, "TOGETHER", asked + 2)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 16))
     rows = [(int(i), [float(x) for x in np.float32(centres[i % 8] + 0.4 * rng.normal(size=16))]) for i in range(400)]

@@ -206,6 +206,42 @@ def test_contexts_of_one_word_and_in_lists(spark):
     assert got[8:] == [["AB12"], ["AB13"], ["A1", "B2", "C3"], [list_of(60)], []]
 
 
+def test_secrets_are_found_by_their_contexts(spark):
+    rng = random.Random(6)
+    plain = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    held = [secret() for _ in range(12)]
+    texts = [f'{plain(30)} token = "{s}"{rng.choice(["", "###", " |"])} {plain(10)}' for s in held]
+    texts += [f"{plain(20)} token = q-77, {plain(5)}", f"{plain(20)} {secret()} {plain(5)}"]
+    texts += [f"{plain(6)} the {k}AB {plain(6)}" for k in range(20)]  # a common word before candidates
+    got = found_ids(spark, texts)
+    assert got[:12] == [[s] for s in held] and got[12] == ["q-77"] and got[13:] == [[]] * 21
+    loud = found_ids(spark, texts[:12] + [f'{plain(9)} token = "{secret()}"!! {plain(9)}'.upper()])[12]
+    assert len(loud) == 1 and len(loud[0]) == 40  # capitals alone don't go on a list
+
+
+def test_graph_scores(spark):
+    rng = random.Random(12)
+    edges = {(p, i): k for p in range(30) for i in rng.sample(range(40), rng.randrange(1, 20)) for k in [rng.choice([0, 4, -1, -1]) if i > 25 else -1 if i > 15 else i % 5]}
+    got = pii.score_graph(spark.createDataFrame([(p, i, k) for (p, i), k in edges.items()], "pattern long, instance long, kind int")).collect()
+    of = {}
+    for (p, i), k in edges.items():
+        of.setdefault(p, []).append((i, k))
+    of = {p: v for p, v in of.items() if len(v) >= pii.MIN_INSTANCES}
+    seeds = {p: [sum(k == s for _, k in v) for s in range(5)] for p, v in of.items()}
+    stands = {p: n.index(max(n)) for p, n in seeds.items()}
+    score = {p: max(n) / len(of[p]) for p, n in seeds.items()}
+    for _ in range(pii.ROUNDS - 1):
+        miss = {}
+        for p, v in of.items():
+            for i, k in v:
+                if k == -1:
+                    miss[i, stands[p]] = miss.get((i, stands[p]), 1) * (1 - min(score[p], 1 - 1e-9))
+        score = {p: sum(1 if k == stands[p] else 1 - miss[i, stands[p]] if k == -1 else 0 for i, k in v) / len(v) for p, v in of.items()}
+    assert {r.pattern: (r.stands, r.seeds, r.instances) for r in got} == {p: (stands[p], max(seeds[p]), len(v)) for p, v in of.items()}
+    assert {r.pattern: r.score for r in got} == pytest.approx(score)
+
+
 def test_languages(spark):
     rng = random.Random(4)
     parts = {"de": ["sch", "ung", "keit", "ein", "der", "ß", "ü"], "es": ["ción", "mente", "ado", "los", "que", "ñ"], "ru": ["ость", "ный", "ать", "при", "ова"]}
@@ -318,6 +354,94 @@ def test_toxicity_with_rare_or_few_labels(spark):
     assert sum(got[k] == (k % 7 == 0) for k in got) >= 195
 
 
+def test_ordinal_fit():
+    rng = np.random.default_rng(2)
+    n, features = 300, 6
+    x = rng.random((n, features)) < 0.4
+    truth = np.array([2.0, -1.5, 1.0, 0.0, 0.5, -0.5])
+    grade = np.searchsorted([0.0, 1.5], x @ truth + rng.logistic(size=n))
+    owner, feature = np.nonzero(x)
+    weight = rng.random(n) + 0.5
+    weight *= n / weight.sum()
+    args = (owner, feature, grade, features, weight)
+    p = rng.normal(size=features + 2)
+    numeric = lambda f, p: np.array([(f(p + d) - f(p - d)) / 2e-5 for d in 1e-5 * np.eye(len(p))])
+    loss = lambda p: toxicity.ordinal_loss(p, *args)[0]
+
+    def plain(p):  # the likelihood, written out row by row
+        w, t = p[:features], [-np.inf, p[features], p[features] + np.exp(p[features + 1]), np.inf]
+        chance = [1 / (1 + np.exp(-(t[g + 1] - x[i] @ w))) - 1 / (1 + np.exp(-(t[g] - x[i] @ w))) for i, g in enumerate(grade)]
+        return -(weight * np.log(chance)).mean() + toxicity.SHRINK / 2 * w @ w
+
+    with np.errstate(over="ignore"):
+        assert loss(p) == pytest.approx(plain(p))
+    assert toxicity.ordinal_loss(p, *args)[1] == pytest.approx(numeric(loss, p), abs=1e-6)
+    best = np.zeros(features + 2)
+    for _ in range(4000):  # a plain optimiser
+        best -= 0.5 * toxicity.ordinal_loss(best, *args)[1]
+    w, thresholds = toxicity.fit_ordinal(owner, feature, grade, features, weight)
+    assert loss(np.concatenate([w, thresholds[:1], np.log(np.diff(thresholds))])) <= loss(best) + 1e-4
+    assert w == pytest.approx(best[:features], abs=0.05) and (np.diff(thresholds) > 0).all()
+
+
+def test_chances_of_words_are_bounds():
+    import math
+
+    rows, positive = 60, 11
+    for docs in range(1, 30):
+        for hits in range(0, min(docs, positive) + 1):
+            exact = sum(math.comb(positive, h) * math.comb(rows - positive, docs - h) for h in range(hits, min(docs, positive) + 1)) / math.comb(rows, docs)
+            bound = np.exp(toxicity.log_tail(np.array([float(docs)]), np.array([float(hits)]), rows, positive)[0])
+            assert exact <= bound * 1.01 and (hits * rows <= docs * positive or bound <= 3 * exact)
+
+
+def test_scores_are_sums_over_words(spark):
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randrange(0, 80)).replace(" ", rng.choice([" ", "-", "1", "\n"])) for _ in range(30)] + [None, "", "Été été " + prose(rng, 500)]
+    letters = lambda t: [w for w in re.split(rb"[^a-z\x80-\xff]+", lowered(t).encode()) if w]
+    kinds = lambda t: {(k, w if size is None else w[:size]) for w in letters(t) for k, size in enumerate(toxicity.KINDS)}
+
+    def feature(kind, word):
+        h = toxicity.prefix_hashes(np.frombuffer(word, np.uint8), np.array([0]), (None,))[0][0][0]
+        return (h & ~np.uint64(7)) | np.uint64(kind)
+
+    some = sorted({x for t in texts[::3] for x in kinds(t)})[::7]
+    weights = {x: rng.gauss(0, 1) for x in some}
+    known = np.array([feature(*x) for x in some], dtype=np.uint64)
+    order = np.argsort(known)
+    model = {"words": known[order], "weights": np.array([weights[x] for x in some])[order], "thresholds": np.array([0.5, 2.0]), "only": -1}
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, [(k, t, "", "") for k, t in enumerate(texts)]), model).collect()}
+    for k, t in enumerate(texts):
+        s = sum(weights.get(x, 0) for x in kinds(t))
+        above = [1 / (1 + np.exp(c - s)) for c in (0.5, 2.0)]
+        assert got[k].severity == pytest.approx(sum(above)) and got[k].toxic == (above[0] >= toxicity.CUT)
+        assert got[k].grade == np.argmax([1 - above[0], above[0] - above[1], above[1]])
+
+
+def test_long_texts_have_the_same_words(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    column = pa.array([prose(rng, 3000), None, "", prose(rng, 5), "word " * 4000])
+    once = [w.tolist() for _, w in toxicity._words_of(column)]
+    known = np.unique(np.concatenate([np.array(w, np.uint64)[::5] for w in once]))
+    places = [p.tolist() for _, p in toxicity._known_of(column, known)]
+    whole = toxicity.text_pieces
+    monkeypatch.setattr(toxicity, "text_pieces", lambda c: whole(c, 300))
+    assert [w.tolist() for _, w in toxicity._words_of(column)] == once and len(once) == 5
+    assert [p.tolist() for _, p in toxicity._known_of(column, known)] == places
+
+
+def test_toxicity_without_telling_words(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 12), "en", "s") for k in range(40)]
+    labels = spark.createDataFrame([(k, int(k % 9 == 0)) for k in range(40)], "doc_id long, toxic int")
+    got = toxicity.severities(frame(spark, rows), labels).collect()
+    assert len(got) == 40 and len({round(r.severity, 6) for r in got}) > 1  # the surest words, however unsure
+    wordless = toxicity.severities(frame(spark, [(k, "12 3", "", "") for k in range(40)]), labels).collect()
+    assert len({r.severity for r in wordless}) == 1 and 0 < wordless[0].severity < 1
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup.exact_dedup(none).count() == 0
