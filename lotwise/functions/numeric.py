@@ -37,11 +37,21 @@ def currency(x: Column) -> Column:
     return F.format_string("$%,.2f", money(x))
 
 
+def whole_currency(x: Column) -> Column:
+    """$1,235."""
+    return F.format_string("$%,.0f", even(x, 0))
+
+
 def percent(x: Column) -> Column:
     """12.35% of a value in percent."""
     return F.format_string("%.2f%%", even(x, 2))
 
 
+def percent_of_one(x: Column, digits: int) -> Column:
+    """12.3% or 12.35% of a fraction, 0.1235."""
+    return F.format_string(f"%.{digits}f%%", even(x * 100, digits))
+
+
 def signed(x: Column) -> Column:
     """With an explicit plus if not negative."""
     return F.concat(F.when(x >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.2f", even(x, 2)))

@@ -1,4 +1,4 @@
-"""Correlation of price levels, aligned by position or by date."""
+"""Correlation of price levels, aligned by position or by date, among all symbols or those of a group."""
 
 from __future__ import annotations
 
@@ -6,25 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import ratio
+from lotwise.sources.storage import stored
 
 
-def align_by_position(bars: DataFrame) -> DataFrame:
-    """(pos, symbol, close): the n-th oldest bars of all symbols side by side. Symbols with a single
-    bar are left out, then positions at which any of the rest has no close."""
-    series = Window.partitionBy("symbol")
-    rows = bars.select("symbol", "close", (F.row_number().over(series.orderBy("date")) - 1).alias("pos"), F.count(F.lit(1)).over(series).alias("bars")).where(F.col("bars") > 1)
-    symbols = rows.agg(F.countDistinct("symbol").alias("symbols"))
-    full = rows.groupBy("pos").agg(F.count("close").alias("closes")).join(F.broadcast(symbols), F.col("closes") == F.col("symbols")).select("pos")
-    return rows.join(full, "pos").select("pos", "symbol", "close")
+def align_by_position(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, pos, symbol, close): the n-th oldest bars of all symbols (of a group) side by side. Symbols
+    with a single bar are left out, then positions at which any of the rest has no close."""
+    keys = keys or []
+    series = Window.partitionBy(*keys, "symbol")
+    rows = bars.select(*keys, "symbol", "close", (F.row_number().over(series.orderBy("date")) - 1).alias("pos"), F.count(F.lit(1)).over(series).alias("bars")).where(F.col("bars") > 1)
+    rows = stored(rows.select(*keys, "pos", "symbol", "close"), "positions")
+    firsts = rows.where(F.col("pos") == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("symbols"))  # every symbol has a first bar
+    full = rows.groupBy(*keys, "pos").agg(F.count("close").alias("closes"))
+    full = full.join(firsts, keys) if keys else full.join(F.broadcast(firsts))  # one row
+    return rows.join(full.where(F.col("closes") == F.col("symbols")).select(*keys, "pos"), [*keys, "pos"])
 
 
-def correlate(aligned: DataFrame, on: str) -> DataFrame:
-    """(symbol_a, symbol_b, corr) of all pairs with at least two common rows; NULL for a constant
-    series. Only a <= b is computed and then mirrored."""
-    a = aligned.select(on, F.col("symbol").alias("symbol_a"), F.col("close").alias("a"))
-    b = aligned.select(on, F.col("symbol").alias("symbol_b"), F.col("close").alias("b"))
-    pairs = a.join(b, on).where((F.col("symbol_a") <= F.col("symbol_b")) & F.col("a").isNotNull() & F.col("b").isNotNull())
-    stats = pairs.groupBy("symbol_a", "symbol_b").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.count(F.lit(1)).alias("n"))
-    half = stats.where(F.col("n") >= 2).select("symbol_a", "symbol_b", ratio(F.col("c"), F.col("sa") * F.col("sb")).alias("corr"))
-    other = half.where(F.col("symbol_a") < F.col("symbol_b")).select(F.col("symbol_b").alias("symbol_a"), F.col("symbol_a").alias("symbol_b"), "corr")
-    return half.unionByName(other)
+def correlate(aligned: DataFrame, on: str, keys: list[str] | None = None) -> DataFrame:
+    """(*keys, symbol_a, symbol_b, corr) of all pairs with at least two common rows; NULL for a constant
+    series. The aligned rows are stored, pairs with a <= b are computed and then mirrored."""
+    keys = keys or []
+    rows = stored(aligned.where(F.col("close").isNotNull()).select(*keys, on, "symbol", "close"), "aligned")
+    a = rows.select(*keys, on, F.col("symbol").alias("symbol_a"), F.col("close").alias("a"))
+    b = rows.select(*keys, on, F.col("symbol").alias("symbol_b"), F.col("close").alias("b"))
+    pairs = a.join(b, [*keys, on]).where(F.col("symbol_a") <= F.col("symbol_b"))
+    stats = pairs.groupBy(*keys, "symbol_a", "symbol_b").agg(F.covar_pop("a", "b").alias("c"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.count(F.lit(1)).alias("n"))
+    corr = ratio(F.col("c"), F.col("sa") * F.col("sb")).alias("corr")
+    pair = lambda x, y: F.struct(F.col(x).alias("symbol_a"), F.col(y).alias("symbol_b"))
+    both = F.when(F.col("symbol_a") < F.col("symbol_b"), F.array(pair("symbol_a", "symbol_b"), pair("symbol_b", "symbol_a"))).otherwise(F.array(pair("symbol_a", "symbol_b")))
+    return stats.where(F.col("n") >= 2).select(*keys, corr, F.explode(both).alias("p")).select(*keys, "p.symbol_a", "p.symbol_b", "corr")

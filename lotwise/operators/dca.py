@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.numeric import even, money, ratio
 from lotwise.operators.asof import nearest_bars
 from lotwise.schemas import MAX_MONTHLY, MIN_ALLOCATED, MIN_MONTHLY, NO_DATA
+from lotwise.sources.storage import stored
 
 
 def weigh(symbols: DataFrame) -> DataFrame:
@@ -81,8 +82,10 @@ def monthly(filled: DataFrame) -> DataFrame:
 
 
 def positions(filled: DataFrame) -> DataFrame:
-    """(strategy_id, symbol, shares) after the last month."""
-    return filled.groupBy("strategy_id", "symbol").agg(F.max_by("shares", "month").alias("shares"))
+    """(strategy_id, symbol, shares, months, unweighted): shares after the last month, how many months were
+    executed (each has a row for every bought symbol), and whether one was priced without a weight."""
+    lacking = F.max((F.col("share").isNull() & (F.col("price") > 0)).cast("int")).alias("unweighted")
+    return filled.groupBy("strategy_id", "symbol").agg(F.max_by("shares", "month").alias("shares"), F.count(F.lit(1)).alias("months"), lacking)
 
 
 def summarize(strategies: DataFrame, weighed: DataFrame, filled: DataFrame, near: DataFrame) -> DataFrame:
@@ -91,10 +94,10 @@ def summarize(strategies: DataFrame, weighed: DataFrame, filled: DataFrame, near
     zero-filled rows with an error."""
     close = near.select("symbol", F.col("target").alias("end"), F.col("close").alias("final"))
     marked = positions(filled).join(strategies.select("strategy_id", "end"), "strategy_id").join(close, ["symbol", "end"], "left")
-    final = marked.groupBy("strategy_id").agg(F.coalesce(F.sum(F.when(F.col("final") > 0, F.col("shares") * F.col("final"))), F.lit(0.0)).alias("final"))
-    done = filled.groupBy("strategy_id").agg(F.countDistinct("month").alias("months"), F.max((F.col("share").isNull() & (F.col("price") > 0)).cast("int")).alias("unweighted"))
+    worth = F.coalesce(F.sum(F.when(F.col("final") > 0, F.col("shares") * F.col("final"))), F.lit(0.0))
+    done = marked.groupBy("strategy_id").agg(worth.alias("final"), F.max("months").alias("months"), F.max("unweighted").alias("unweighted"))
     sums = weighed.groupBy("strategy_id").agg(F.count("share").alias("shares"))
-    rows = strategies.join(done, "strategy_id", "left").join(final, "strategy_id", "left").join(sums, "strategy_id", "left")
+    rows = strategies.join(done, "strategy_id", "left").join(sums, "strategy_id", "left")
     error = F.when(F.coalesce("shares", F.lit(0)) == 0, "weights sum to zero").when(F.col("months").isNull(), NO_DATA).when(F.col("unweighted") == 1, "a bought symbol has no weight")
     rows = rows.withColumn("error", error).withColumn("invested", F.col("months") * F.col("monthly_amount"))
     gain = F.col("final") - F.col("invested")
@@ -131,6 +134,8 @@ class Backtest:
 
 
 def backtest(strategies: DataFrame, symbols: DataFrame, bars: DataFrame) -> Backtest:
-    weighed, planned, near = weigh(symbols), schedule(strategies), nearest_bars(bars)
+    """All steps. The nearest bars are stored: trade dates, fills and final marks read them, and bars are
+    made once."""
+    weighed, planned, near = weigh(symbols), schedule(strategies), stored(nearest_bars(bars), "near")
     traded = trade_dates(planned, weighed, near)
     return Backtest(weighed, planned, near, traded, fills(traded, weighed, near))

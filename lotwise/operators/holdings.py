@@ -18,3 +18,8 @@ def remove(holdings: DataFrame, symbol: str) -> DataFrame:
 
 def symbols(holdings: DataFrame) -> DataFrame:
     return holdings.select("symbol").distinct()
+
+
+def by_portfolio(holdings: DataFrame, series: DataFrame) -> DataFrame:
+    """``series`` (symbol, ...) of the symbols that each portfolio holds, with portfolio_id."""
+    return holdings.select("portfolio_id", "symbol").distinct().join(series, "symbol")

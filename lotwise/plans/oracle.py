@@ -25,6 +25,8 @@ period_stats AS (SELECT days, symbol, stddev_samp(ret) AS sd, avg(ret) AS mean,
 positions_all AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS bars FROM recent),
 aligned AS (SELECT pos, symbol, close FROM positions_all WHERE bars > 1 AND pos IN (SELECT pos FROM positions_all WHERE bars > 1 GROUP BY 1
   HAVING count(close) = (SELECT count(DISTINCT symbol) FROM positions_all WHERE bars > 1))),
+held_positions AS (SELECT portfolio_id, p.* FROM positions_all p JOIN (SELECT DISTINCT portfolio_id, symbol FROM lots) USING (symbol) WHERE bars > 1),
+held_aligned AS (SELECT portfolio_id, pos, symbol, close FROM held_positions QUALIFY count(close) OVER (PARTITION BY portfolio_id, pos) = sum(CAST(pos = 0 AS INT)) OVER (PARTITION BY portfolio_id)),
 seen AS (SELECT b.* FROM bars b, as_of WHERE date >= day - {HISTORY_DAYS} AND date < day),
 weighed AS (SELECT strategy_id, symbol, bought, CASE WHEN count(weight) OVER s = 0 THEN CASE WHEN bought THEN 1.0 / nullif(sum(CAST(bought AS INT)) OVER s, 0) END
   ELSE weight / nullif(sum(weight) OVER s, 0) END AS share FROM strategy_symbols WINDOW s AS (PARTITION BY strategy_id)),
@@ -80,7 +82,7 @@ BODIES = {
     "holdings_price_history": "SELECT symbol, date, round_even(close, 6) AS close FROM recent WHERE symbol IN (SELECT symbol FROM lots)",
     "security_info": """SELECT a.symbol, coalesce(name, 'N/A') AS name, coalesce(sector, 'N/A') AS sector, 'N/A' AS market_cap, 'N/A' AS pe_ratio
   FROM (SELECT DISTINCT 'P' || l_partkey AS symbol FROM lineitem UNION ALL SELECT 'S' || s_suppkey FROM supplier) a LEFT JOIN info USING (symbol)""",
-    "price_trend": "SELECT symbol, date, round_even(close, 6) AS close FROM bars WHERE symbol = 'BRAND#3'",
+    "price_trend": "SELECT symbol, date, round_even(close, 6) AS close FROM bars",
     "min_history_symbols": "SELECT symbol, count(*) AS bars FROM bars, as_of WHERE date >= day - 30 AND date < day GROUP BY 1 HAVING count(*) >= 2",
     "numeric_coercion": "SELECT event_id, round_even(TRY_CAST(CASE WHEN event_type = 'error' THEN 'x' || value ELSE CAST(value AS VARCHAR) END AS DOUBLE), 4) AS number FROM events",
     "holdings_valuation": f"SELECT portfolio_id, symbol, shares, {CENTS} FROM valued",
@@ -103,13 +105,15 @@ BODIES = {
     "holdings_report": """SELECT portfolio_id, symbol AS "Symbol", purchase_date AS "Bought", shares AS "Shares", round_even(current_price, 2) AS "Price", round_even(current_value, 2) AS "Value",
   round_even(gain_loss_percent, 2) AS "Gain" FROM valued""",
     "report_formatting": """SELECT portfolio_id, format('${:,.2f}', total_current_value) AS value_text, format('${:,.2f}', total_gain_loss_dollars) AS gain_text,
-  format('{:.2f}%', total_gain_loss_percent) AS percent_text, CASE WHEN total_gain_loss_percent >= 0 THEN '+' ELSE '' END || format('{:.2f}', total_gain_loss_percent) AS signed_text FROM summary""",
+  format('{:.2f}%', total_gain_loss_percent) AS percent_text, CASE WHEN total_gain_loss_percent >= 0 THEN '+' ELSE '' END || format('{:.2f}', total_gain_loss_percent) AS signed_text,
+  format('${:,.0f}', round_even(total_current_value, 0)) AS whole_text, format('{:.1f}%', round_even(total_gain_loss_percent / 100 * 100, 1)) AS tenth_text,
+  format('{:.2f}%', round_even(total_gain_loss_percent / 100 * 100, 2)) AS fraction_text FROM summary""",
     "report_timestamps": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day_text, strftime(ts, '%Y-%m-%d %H:%M:%S') AS utc_text, strftime(ts + INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS local_text,
   CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events""",
-    "portfolio_snapshot_json": """SELECT portfolio_id, '2002-01-01 09:30:00' AS datetime, CAST(1009877400 AS BIGINT) AS timestamp, total_current_value, number_of_holdings, number_of_holdings AS lots,
-  (SELECT min(symbol) FROM lots l WHERE l.portfolio_id = s.portfolio_id) AS first_symbol FROM summary s""",
+    "portfolio_snapshot_json": """SELECT portfolio_id, '2002-01-01 09:30:00' AS datetime, CAST(1009877400 AS BIGINT) AS timestamp, portfolio_name, total_current_value, number_of_holdings, number_of_holdings AS lots,
+  (SELECT min(symbol) FROM lots l WHERE l.portfolio_id = s.portfolio_id) AS first_symbol FROM summary s LEFT JOIN portfolios USING (portfolio_id)""",
     "portfolio_history_rows": """SELECT portfolio_id, symbol AS stock_symbol, purchase_date, shares, round_even(current_price, 2) AS current_price, round_even(current_value, 2) AS current_value,
-  round_even(gain_loss_dollars, 2) AS gain_loss_dollars, round_even(gain_loss_percent, 2) AS gain_loss_percent, total_current_value AS total_portfolio_value, total_gain_loss_percent AS total_return_percent
+  round_even(gain_loss_dollars, 2) AS gain_loss_dollars, round_even(gain_loss_percent, 2) AS gain_loss_percent, total_current_value AS total_portfolio_value, total_gain_loss_percent AS total_return_percent, '2002-01-01 09:30:00' AS taken
   FROM valued JOIN summary USING (portfolio_id)""",
     "snapshot_totals": "SELECT portfolio_id, DATE '2002-01-01' AS date, total_current_value AS total_value, total_gain_loss_percent AS return_pct FROM summary",
     "recent_history": """SELECT portfolio_id, symbol AS stock_symbol, purchase_date, shares, round_even(current_value, 2) AS current_value, '2002-01-02 09:30:00' AS taken FROM valued
@@ -130,6 +134,15 @@ BODIES = {
     "price_positional_align": "SELECT CAST(pos AS INT) AS pos, symbol, round_even(close, 6) AS close FROM aligned",
     "correlation_matrix": pairs("aligned", "pos"),
     "correlation_by_date": pairs("recent", "date"),
+    "holdings_risk": f"""SELECT portfolio_id, symbol, round_even({VOLATILITY}, 6) AS volatility, round_even({SHARPE}, 6) AS sharpe_ratio, round_even(mdd, 6) AS max_drawdown,
+  round_even(mddr, 6) AS max_drawdown_relative, round_even(mean * 252, 6) AS avg_return FROM stats JOIN (SELECT DISTINCT portfolio_id, symbol FROM lots) USING (symbol)""",
+    "holdings_correlation": """SELECT a.portfolio_id, a.symbol AS symbol_a, b.symbol AS symbol_b, round_even(covar_pop(a.close, b.close) / nullif(stddev_pop(a.close) * stddev_pop(b.close), 0), 6) AS corr
+  FROM held_aligned a JOIN held_aligned b ON a.portfolio_id = b.portfolio_id AND a.pos = b.pos GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+    "dca_holdings_map": """SELECT strategy_id, month, '{' || string_agg('"' || symbol || '":' || CAST(CAST(round_even(shares, 4) AS DECIMAL(18,4)) AS VARCHAR), ',' ORDER BY symbol) || '}' AS holdings,
+  CAST(count(*) AS INT) AS symbols FROM filled GROUP BY 1, 2""",
+    "dca_monthly_nested": """SELECT strategy_id, CAST(count(*) AS INT) AS months, '[' || string_agg('{"date":"' || date || '","total_invested":' || CAST(CAST(round_even(invested, 2) AS DECIMAL(18,2)) AS VARCHAR)
+  || ',"portfolio_value":' || CAST(CAST(round_even(value, 2) AS DECIMAL(18,2)) AS VARCHAR) || ',"gain_loss":' || CAST(CAST(round_even(value - invested, 2) AS DECIMAL(18,2)) AS VARCHAR) || '}', ',' ORDER BY date) || ']' AS monthly_data
+  FROM monthly GROUP BY 1""",
     "dca_equal_weights": "SELECT strategy_id, symbol, bought, round_even(CASE WHEN bought THEN 1.0 / nullif(sum(CAST(bought AS INT)) OVER (PARTITION BY strategy_id), 0) END, 6) AS share FROM strategy_symbols",
     "dca_normalized_weights": "SELECT strategy_id, symbol, bought, round_even(share, 6) AS share FROM weighed",
     "dca_strategy_validation": """SELECT strategy_id, r IS NULL AS valid, coalesce(r, '') AS reason FROM (SELECT strategy_id, CASE WHEN start >= "end" THEN 'start must be before end'

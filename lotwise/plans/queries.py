@@ -105,8 +105,8 @@ def security_info(spark, d):
 
 @query
 def price_trend(spark, d):
-    rows = tables.bars(spark, d).where(F.col("symbol") == "BRAND#3").select("symbol", "date", "close")
-    return rounded(rows, 6, "close").orderBy("symbol", "date")
+    """The series of every symbol, in order."""
+    return rounded(tables.bars(spark, d).select("symbol", "date", "close"), 6, "close").orderBy("symbol", "date")
 
 
 @query
@@ -215,6 +215,9 @@ def report_formatting(spark, d):
         fx.currency(F.col("total_gain_loss_dollars")).alias("gain_text"),
         fx.percent(F.col("total_gain_loss_percent")).alias("percent_text"),
         fx.signed(F.col("total_gain_loss_percent")).alias("signed_text"),
+        fx.whole_currency(F.col("total_current_value")).alias("whole_text"),
+        fx.percent_of_one(F.col("total_gain_loss_percent") / 100, 1).alias("tenth_text"),
+        fx.percent_of_one(F.col("total_gain_loss_percent") / 100, 2).alias("fraction_text"),
     )
 
 
@@ -236,10 +239,11 @@ def report_timestamps(spark, d):
 @query
 def portfolio_snapshot_json(spark, d):
     rows = cents(valued(spark, d))
-    documents = files.snapshot_documents(rows, valuation.summarize(valued(spark, d)), TAKEN)
-    parsed = F.from_json("document", "timestamp long, datetime string, summary struct<total_current_value:double,number_of_holdings:long>, holdings array<struct<symbol:string>>")
+    summary = valuation.summarize(valued(spark, d)).join(tables.portfolios(spark, d), "portfolio_id", "left")
+    documents = files.snapshot_documents(rows, summary, TAKEN)
+    parsed = F.from_json("document", "timestamp long, datetime string, summary struct<portfolio_name:string,total_current_value:double,number_of_holdings:long>, holdings array<struct<symbol:string>>")
     return documents.select("portfolio_id", parsed.alias("p")).select(
-        "portfolio_id", "p.datetime", "p.timestamp", "p.summary.total_current_value", "p.summary.number_of_holdings", F.size("p.holdings").cast("long").alias("lots"), F.get("p.holdings", F.lit(0))["symbol"].alias("first_symbol")
+        "portfolio_id", "p.datetime", "p.timestamp", "p.summary.portfolio_name", "p.summary.total_current_value", "p.summary.number_of_holdings", F.size("p.holdings").cast("long").alias("lots"), F.get("p.holdings", F.lit(0))["symbol"].alias("first_symbol")
     )
 
 
@@ -252,7 +256,7 @@ def _history(spark, d):
 def portfolio_history_rows(spark, d):
     path = new_path(spark, "history")
     files.append_history(_history(spark, d), path)
-    return spark.read.parquet(path).drop("snapshot_date", "timestamp")
+    return spark.read.parquet(path).withColumn("taken", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).drop("snapshot_date", "timestamp")
 
 
 @query
@@ -342,6 +346,20 @@ def correlation_by_date(spark, d):
     return rounded(correlation.correlate(recent_bars(spark, d), "date"), 6, "corr")
 
 
+@query
+def holdings_risk(spark, d):
+    """Risk figures of the symbols that each portfolio holds."""
+    rows = holdings.by_portfolio(tables.lots(spark, d), risk.measure(recent_bars(spark, d), ["symbol"]))
+    return rounded(rows.select("portfolio_id", "symbol", *RISK), 6, *RISK)
+
+
+@query
+def holdings_correlation(spark, d):
+    """Correlation among the symbols that each portfolio holds, aligned by position."""
+    rows = correlation.align_by_position(holdings.by_portfolio(tables.lots(spark, d), recent_bars(spark, d)), ["portfolio_id"])
+    return rounded(correlation.correlate(rows, "pos", ["portfolio_id"]), 6, "corr")
+
+
 # -- backtests --------------------------------------------------------------------------------
 
 
@@ -441,14 +459,16 @@ def dca_vs_actual(spark, d):
 
 @query
 def dca_holdings_map(spark, d):
-    pair = F.struct("symbol", fx.even("shares", 4).alias("shares"))
-    held = tested(spark, d).filled.groupBy("strategy_id", "month").agg(F.map_from_entries(F.sort_array(F.collect_list(pair))).alias("holdings"))
-    return held.select("strategy_id", "month", F.to_json("holdings").alias("holdings"), F.size("holdings").alias("symbols"))
+    """What a strategy holds after each month: symbol to shares, as JSON."""
+    held = tested(spark, d).filled.groupBy("strategy_id", "month").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("symbol", "shares")))).alias("holdings"))
+    shares = F.transform_values("holdings", lambda _, n: fx.even(n, 4).cast("decimal(18,4)"))
+    return held.select("strategy_id", "month", F.to_json(shares).alias("holdings"), F.size("holdings").alias("symbols"))
 
 
 @query
 def dca_monthly_nested(spark, d):
-    record = F.struct("date", "total_invested", "portfolio_value", "gain_loss")
+    """The monthly records of a strategy in order, as JSON."""
+    record = F.struct("date", *(F.col(c).cast("decimal(18,2)").alias(c) for c in ("total_invested", "portfolio_value", "gain_loss")))
     rows = dca.monthly(tested(spark, d).filled).groupBy("strategy_id").agg(F.sort_array(F.collect_list(record)).alias("monthly_data"))
     return rows.select("strategy_id", F.size("monthly_data").alias("months"), F.to_json("monthly_data").alias("monthly_data"))
 

@@ -27,7 +27,8 @@ def write_report(valued: DataFrame, path: str) -> None:
 
 
 def snapshot_documents(valued: DataFrame, summary: DataFrame, taken: datetime.datetime) -> DataFrame:
-    """(portfolio_id, document): summary and lots of a portfolio as one JSON document."""
+    """(portfolio_id, document): summary (all its columns, the portfolio's name with them) and lots of a
+    portfolio as one JSON document."""
     lot = F.struct("symbol", "purchase_date", "shares", "purchase_price", "current_price", "current_value", "gain_loss_dollars", "gain_loss_percent")
     lots = valued.groupBy("portfolio_id").agg(F.sort_array(F.collect_list(lot)).alias("holdings"))
     body = F.struct(

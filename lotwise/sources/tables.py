@@ -100,11 +100,22 @@ def strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def numbered(symbols: DataFrame) -> DataFrame:
+    """(symbol, idx): places in order from 0. Ranks are counted inside groups of a common beginning; only
+    the sizes of the groups, one row each, are added up in one task."""
+    head = F.substring("symbol", 1, 7)
+    inside = symbols.select("symbol", head.alias("head"), F.row_number().over(Window.partitionBy(head).orderBy("symbol")).alias("rank"))
+    sizes = symbols.groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("below"))
+    return inside.join(sizes, "head").select("symbol", (F.col("rank") + F.col("below") - 1).alias("idx"))
+
+
 def strategy_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(strategy_id, symbol, weight, bought): up to four symbols of each strategy. Every fourth
     strategy has no weights; in every fifth one symbol has a weight but is not bought."""
     brands = table(spark, sf_dir, "part").select(F.upper("p_brand").alias("symbol")).distinct()
-    brands = brands.select("symbol", (F.row_number().over(Window.orderBy("symbol")) - 1).alias("idx"))
+    brands = numbered(brands)
     k, j = F.col("c_custkey"), F.col("j")
     picks = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
     picks = picks.select(

@@ -28,18 +28,28 @@ def latest(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(last.alias("t")).select("symbol", F.col("t.price").alias("price"), F.col("t.ts").alias("ts"))
 
 
+def _on_the_clock(ticks: DataFrame) -> tuple[DataFrame, str]:
+    """Ticks with ``clock``, ts shifted so that windows, which are aligned to UTC, begin where days and hours
+    of the session's time zone do, and that zone."""
+    zone = ticks.sparkSession.conf.get("spark.sql.session.timeZone")
+    return ticks.withColumn("clock", F.from_utc_timestamp("ts", zone)), zone
+
+
 def daily_bars(ticks: DataFrame, late: str = LATE) -> DataFrame:
-    """Tumbling days; ticks more than ``late`` behind the newest are dropped, which bounds the state."""
+    """Tumbling days of the session's time zone; ticks more than ``late`` behind the newest are dropped,
+    which bounds the state."""
     when = F.struct("ts", "event_id")
-    day = ticks.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "symbol")
+    ticks, zone = _on_the_clock(ticks)
+    day = ticks.withWatermark("clock", late).groupBy(F.window("clock", "1 day"), "symbol")
     rows = day.agg(F.max_by("price", when).alias("close"), F.max("price").alias("high"), F.min("price").alias("low"), F.count("price").alias("volume"))
-    return rows.select("symbol", F.to_date("window.start").alias("date"), "close", "high", "low", "volume")
+    return rows.select("symbol", F.to_date(F.to_utc_timestamp("window.start", zone)).alias("date"), "close", "high", "low", "volume")
 
 
 def hourly(ticks: DataFrame, late: str = LATE) -> DataFrame:
-    """Last price of each symbol in each hour."""
-    hour = ticks.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "symbol")
-    return hour.agg(F.max_by("price", F.struct("ts", "event_id")).alias("price")).select("symbol", F.col("window.start").alias("hour"), "price")
+    """Last price of each symbol in each hour of the session's time zone."""
+    ticks, zone = _on_the_clock(ticks)
+    hour = ticks.withWatermark("clock", late).groupBy(F.window("clock", "1 hour"), "symbol")
+    return hour.agg(F.max_by("price", F.struct("ts", "event_id")).alias("price")).select("symbol", F.to_utc_timestamp("window.start", zone).alias("hour"), "price")
 
 
 def drain(stream: DataFrame, mode: str, write) -> None:
