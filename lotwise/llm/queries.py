@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc.through_archives(table(spark, sf_dir, "pages"))
-    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
 
 
 def op2_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:

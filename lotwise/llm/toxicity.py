@@ -45,9 +45,9 @@ BEST = 20
 #: Logarithms of chances are counted in steps of 1/BINS, down to -DEEPEST.
 BINS, DEEPEST = 20, 500
 STEPS, RATE, SHRINK = 400, 0.1, 1e-5
-CUT = 0.3
+CUT = 0.1
 #: Grades above 0 that labels of two grades are given.
-SEVERITIES = 3
+SEVERITIES = 2
 
 
 def _chunks(column):
@@ -334,21 +334,21 @@ def _scorer(model):
             else:
                 p = chances(score, m["thresholds"])
             severity, toxic = p @ np.arange(p.shape[1]), p[:, 1:].sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(severity), pa.array(p.argmax(axis=1), pa.int32()), pa.array(toxic >= CUT)], ["doc_id", "severity", "grade", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(severity), pa.array(p.argmax(axis=1), pa.int32()), pa.array(toxic), pa.array(toxic >= CUT)], ["doc_id", "severity", "grade", "chance", "toxic"])
 
     return run
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, severity, grade, toxic) of every document."""
+    """(doc_id, severity, grade, chance, toxic) of every document; chance is that of a grade above 0."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(shared), "doc_id long, severity double, grade int, toxic boolean")
+    return rows.mapInArrow(_scorer(shared), "doc_id long, severity double, grade int, chance double, toxic boolean")
 
 
 def severities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled documents that aren't held out and scores all: doc_id, held_out,
-    severity, grade, toxic."""
+    severity, grade, chance, toxic."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("grade")))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "grade", "toxic")
+    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "severity", "grade", "chance", "toxic")

@@ -11,7 +11,8 @@ Reading. Every file is parsed record by record. Unsegmented records are whole as
 are grouped by origin identifier, ordered by segment number, joined, and their length is checked
 against the total. Then the chunk framing is taken off. ``status`` says what is wrong with a record
 (missing segment, conflicting segments, wrong length, bad framing) or ``complete``; nothing is left
-out silently.
+out silently. An archive is one row of Spark's binary reader, so it must fit a task: those written here are
+bounded, foreign ones of gigabytes have to be cut before. Files are compressed as a whole.
 
 Results for odd rows: a null html is an empty body; a null page_id is kept as null and never the one
 that others refer to; rows repeated as a whole come back repeated; equal bodies under one page_id
@@ -249,7 +250,7 @@ def reassemble(records: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """``reassemble`` over the archives under ``path``, with refers_to, the page_id of the response
     that a revisit refers to."""
-    records = read_records(spark, path)
+    records = stored(read_records(spark, path), "records")  # parsed once, read for each kind
     responses = records.where((F.col("type") == "response") & F.col("digest").isNotNull()).select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
     return reassemble(records).join(responses.distinct(), "refers_id", "left")
 
@@ -267,5 +268,5 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(c
 g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
   CASE WHEN n >= {REVISIT_BYTES} AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN n >= {REVISIT_BYTES} AND page_id <> top THEN top END AS refers_to FROM g
+  CASE WHEN n >= {REVISIT_BYTES} AND page_id <> top THEN top END AS refers_to, 'complete' AS status FROM g
 """
