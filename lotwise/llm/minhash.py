@@ -320,7 +320,7 @@ def placed_rows(corpus: Corpus, least: Column) -> DataFrame:
     components = near_links(corpus)
     classes = corpus.signed.where(F.col("n") > 0).groupBy("set_key").agg(F.min("row").alias("node"), F.min(least).alias("best"))
     classes = stored(classes.join(components, "node", "left").select("set_key", F.coalesce("component", "node").alias("root"), "best"), "classes")
-    roots = classes.groupBy("root").agg(F.min("best").alias("best"))
+    roots = stored(classes.groupBy("root").agg(F.min("best").alias("best")), "root_classes")  # two plain scans meet: AQE can split a large component
     classes = stored(classes.drop("best").join(roots, "root").select("set_key", "best"), "placed_classes")
     return corpus.signed.select("doc_id", *KEY, "n", "set_key").join(classes, "set_key", "left").drop("set_key")
 
