@@ -134,8 +134,8 @@ class Backtest:
 
 
 def backtest(strategies: DataFrame, symbols: DataFrame, bars: DataFrame) -> Backtest:
-    """All steps. The nearest bars are stored: trade dates, fills and final marks read them, and bars are
-    made once."""
-    weighed, planned, near = weigh(symbols), schedule(strategies), stored(nearest_bars(bars), "near")
+    """All steps. Weights and nearest bars are stored: trade dates, fills and summaries read them, and bars
+    are made once."""
+    weighed, planned, near = stored(weigh(symbols), "weighed"), schedule(strategies), stored(nearest_bars(bars), "near")
     traded = trade_dates(planned, weighed, near)
     return Backtest(weighed, planned, near, traded, fills(traded, weighed, near))
