@@ -44,8 +44,10 @@ def winners(rows: DataFrame, groups, support: float = SUPPORT) -> DataFrame:
 def classed(rows: DataFrame, *tie: str, support: float = SUPPORT) -> DataFrame:
     """``rows`` with group_size and keep, the (doc_id, *tie) of the row of their digest that stays."""
 
+    keep = F.max(F.struct("doc_id", *tie)) if tie else F.struct(F.max("doc_id").alias("doc_id"))  # a plain maximum needs no sort
+
     def groups(some: DataFrame) -> DataFrame:
-        return some.groupBy("digest").agg(F.max(F.struct("doc_id", *tie)).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        return some.groupBy("digest").agg(keep.alias("keep"), F.count(F.lit(1)).alias("group_size"))
 
     heavy = F.broadcast(stored(winners(rows, groups, support), "winners"))
     rest = rows.join(heavy, "digest", "left_anti")
