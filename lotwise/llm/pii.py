@@ -67,27 +67,28 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def running(items: Column, step) -> Column:
+    """The numbers that ``step(so far, item)`` gives at each item, from 0 on; taken in blocks, so that the
+    arrays that are built up stay short."""
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, BLOCK))
+    state = lambda at, out: F.struct(at.alias("at"), out.alias("out"))
+    one = lambda acc, x: let(step(acc["at"], x), lambda at: state(at, F.concat(acc["out"], F.array(at))))
+
+    def block(acc: Column, part: Column) -> Column:
+        inside = F.aggregate(part, state(acc["at"], F.array().cast("array<bigint>")), one)
+        return let(inside, lambda done: state(done["at"], F.concat(acc["out"], F.array(done["out"]))))
+
+    return F.flatten(F.aggregate(cut(items), state(F.lit(0).cast("long"), F.array().cast("array<array<bigint>>")), block)["out"])
+
+
 def placed(text: Column, pattern: str) -> Column:
     """Array of (start, end, text) of the matches, null without any. Ends are running sums over gaps and
-    matches, taken in blocks so that the arrays that are built up stay short."""
+    matches."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.zip_with(gaps, found, lambda g, m: F.struct((F.length(g) + F.length(m)).cast("long").alias("step"), F.length(m).cast("long").alias("width"), m.alias("text")))
     parts = F.filter(parts, lambda p: p["text"].isNotNull())
-
-    def state(at: Column, out: Column) -> Column:
-        return F.struct(at.alias("at"), out.alias("out"))
-
-    def ends(z: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, BLOCK))
-        one = lambda acc, p: let(acc["at"] + p["step"], lambda at: state(at, F.concat(acc["out"], F.array(at))))
-
-        def block(acc: Column, part: Column) -> Column:
-            inside = F.aggregate(part, state(acc["at"], F.array().cast("array<bigint>")), one)
-            return let(inside, lambda done: state(done["at"], F.concat(acc["out"], F.array(done["out"]))))
-
-        return F.flatten(F.aggregate(cut, state(F.lit(0).cast("long"), F.array().cast("array<array<bigint>>")), block)["out"])
-
     span = lambda p, end: F.struct((end - p["width"]).alias("start"), end.alias("end"), p["text"].alias("text"))
+    ends = lambda z: running(z, lambda at, p: at + p["step"])
     return F.when(F.regexp_like(text, F.lit(pattern)), let(parts, lambda z: F.zip_with(z, ends(z), span)))
 
 
@@ -169,11 +170,27 @@ def candidates(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(INSTANCE)), let(words_of(text), all_of)).cast(SEEN)
 
 
+def with_covered(marks: Column, seen: Column) -> Column:
+    """The candidate words with ``covered``, whether a base span covers any of a word. In the order of
+    span starts and word ends, a word is covered if the greatest end of the spans so far is behind its start."""
+    spans = F.transform(marks, lambda m: F.struct((m["start"] * 2).alias("key"), m["end"].alias("stop")))
+    ends = F.transform(seen, lambda w: F.struct((w["end"] * 2 - 1).alias("key"), F.lit(None).cast("long").alias("stop")))
+
+    def tops(items: Column) -> Column:
+        reach = running(items, lambda at, x: F.greatest(at, F.coalesce(x["stop"], F.lit(0).cast("long"))))
+        both = F.zip_with(items, reach, lambda x, top: F.struct(x["stop"].isNull().alias("word"), top.alias("top")))
+        return F.transform(F.filter(both, lambda x: x["word"]), lambda x: x["top"])
+
+    marked = F.zip_with(seen, let(F.array_sort(F.concat(spans, ends)), tops), lambda w, top: w.withField("covered", top > w["start"]))
+    return F.when(F.size(marks) == 0, F.transform(seen, lambda w: w.withField("covered", F.lit(False)))).otherwise(marked)
+
+
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row, doc_id, marks, seen): a row number, the base spans and the candidate words of every
     document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), base_marks(text).alias("marks"), candidates(text).alias("seen"))
+    rows = rows.select("doc_id", "marks", F.when(F.size("seen") > 0, with_covered(F.col("marks"), F.col("seen"))).alias("seen"))
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "scan")
 
 
@@ -182,8 +199,8 @@ def cells(start: Column, end: Column) -> Column:
 
 
 def met(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """(row, kind, at, instance, place, before, behind): base spans with the candidate words they cover,
-    wholly or in part. Both meet in cells of the text."""
+    """(row, kind, at, instance, place, before, behind): base spans with the covered ``words`` that they
+    cover, wholly or in part. Both meet in cells of the text."""
     spans = rows.select("row", F.explode("marks").alias("m")).select("row", F.col("m.kind").alias("kind"), F.col("m.start").alias("at"), F.col("m.end").alias("stop"), F.col("m.instance").alias("found"))
     spans = spans.select("*", cells(F.col("at"), F.col("stop")).alias("cell"))
     words = words.select("row", "place", "start", "end", "before", "behind", cells(F.col("start"), F.col("end")).alias("cell"))
@@ -251,19 +268,25 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = scan(docs, id_col, text_col)
     words = rows.select("row", F.explode("seen").alias("m")).select("row", "m.*")
     words = words.withColumn("patterns", F.array_compact(F.concat("before", F.array("behind"))))
-    over = stored(met(rows, words), "met")
-    free = stored(words.join(over.select("row", "place").distinct(), ["row", "place"], "left_anti"), "free")
+    free, over = words.where(~F.col("covered")), met(rows, words.where("covered"))
     seeds = over.groupBy("row", "kind", "at", "instance").agg(F.min_by("before", "place").alias("before"), F.max_by("behind", "place").alias("behind"))
     seeds = seeds.select("instance", F.explode(F.array_compact(F.concat("before", F.array("behind")))).alias("pattern"), "kind")
     others = free.select("instance", F.explode("patterns").alias("pattern"), F.when(F.col("secret"), SECRET_KIND).otherwise(NO_KIND).alias("kind"))
+    seeds = stored(seeds.unionByName(others.where(F.col("kind") == SECRET_KIND)).distinct(), "seeds")
+    # patterns without a seed score nothing: the graph is that of the others
+    seeded = broadcast_if_small(stored(seeds.select("pattern").distinct(), "seeded"), BROADCAST_PATTERNS)
+    others = others.where(F.col("kind") == NO_KIND).join(seeded, "pattern", "left_semi")
     edges = stored(seeds.unionByName(others).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
-    good = stored(accepted(score_graph(edges), words, docs, text_col), "accepted")
-    # candidates that follow each other stand under the words before the first of them too
+    good = broadcast_if_small(stored(accepted(score_graph(edges), words, docs, text_col), "accepted"), BROADCAST_PATTERNS)
+    # candidates that follow each other stand under the words before the first of them too; that one is
+    # extracted itself then, so only texts with an extracted word need their runs
+    hit = free.select("row", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi").select("row").distinct()
+    hit = broadcast_if_small(stored(hit, "hit"), BROADCAST_PATTERNS)
     order = Window.partitionBy("row").orderBy("place")
     heads = F.when(~F.col("digit") | F.coalesce(F.lag("place").over(order) + 1 != F.col("place"), F.lit(True)), F.col("before"))
-    led = free.withColumn("head", heads).withColumn("head", F.last("head", ignorenulls=True).over(order))
+    led = free.join(hit, "row", "left_semi").withColumn("head", heads).withColumn("head", F.last("head", ignorenulls=True).over(order))
     led = led.select("row", "from", "to", F.explode(F.array_distinct(F.concat("patterns", "head"))).alias("pattern"))
-    found = led.join(broadcast_if_small(good, BROADCAST_PATTERNS), "pattern", "left_semi")
+    found = led.join(good, "pattern", "left_semi")
     span = F.struct(F.col("from").alias("start"), F.lit(len(KINDS)).alias("kind"), F.col("to").alias("end"))
     new = found.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("new")).select("row", joined(F.col("new")).alias("new"))
     base = F.transform("marks", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
