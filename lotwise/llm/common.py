@@ -83,10 +83,16 @@ _ODD = np.uint64(0x5851F42D4C957F2D)
 _ODD_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-for _upper in range(65, 91):
-    _BYTE_VALUES[_upper] = _BYTE_VALUES[_upper + 32]
+#: Other values of the bytes, for a second hash of the same words.
+OTHER_BYTES = np.random.default_rng(20260131).integers(1, 1 << 63, 256, dtype=np.uint64)
+for _values in (_BYTE_VALUES, OTHER_BYTES):
+    _values[65:91] = _values[97:123]
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
+#: Separators of terms: every ASCII character but digits and letters.
+NOT_TERM = np.arange(256) < 128
+for _first, _last in ((48, 57), (65, 90), (97, 122)):
+    NOT_TERM[_first : _last + 1] = False
 #: Bytes of text that are worked on together.
 PIECE_BYTES = 1 << 19
 _powers: list[np.ndarray] = []
@@ -113,36 +119,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, doc_starts: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (A-Z lower-cased) of concatenated texts, and where each begins.
 
-    ``data`` is the UTF-8 bytes, ``doc_starts`` the offsets at which texts begin."""
-    hashes, begins = prefix_hashes(data, doc_starts, (None,))
-    return hashes[0], begins
+    ``data`` is the UTF-8 bytes, ``doc_starts`` the offsets at which texts begin, ``separators`` says
+    which bytes are no part of words."""
+    begins, ends = word_bounds(data, doc_starts, separators)
+    return span_hashes(data, begins, ends), begins
 
 
 def prefix_hashes(data: np.ndarray, doc_starts: np.ndarray, sizes: tuple) -> tuple[list[np.ndarray], np.ndarray]:
     """Like ``word_hashes``, for the first bytes of the words: an array for each of ``sizes``, in which
     shorter words stand as they are (None: all words do)."""
+    begins, ends = word_bounds(data, doc_starts)
+    stops = [ends if size is None else np.minimum(ends, begins + size) for size in sizes]
+    return _many_hashes(data, begins, stops, _BYTE_VALUES), begins
+
+
+def word_bounds(data: np.ndarray, doc_starts: np.ndarray, separators: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of concatenated texts begin and end."""
     n = len(data)
     if n == 0:
-        return [np.empty(0, np.uint64) for _ in sizes], np.empty(0, np.int64)
-    solid = ~_IS_SPACE[data]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    solid = ~separators[data]
     breaks = np.zeros(n + 1, dtype=bool)
     breaks[doc_starts[doc_starts < n]] = True
     before = np.r_[False, solid[:-1]]
     begins = np.flatnonzero(solid & (~before | breaks[:-1]))
     after = np.r_[solid[1:], False]
-    ends = np.flatnonzero(solid & (~after | breaks[1:])) + 1
-    powers, inverses = _power_tables(n)
-    prefix = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * powers[:n], out=prefix[1:])
+    return begins, np.flatnonzero(solid & (~after | breaks[1:])) + 1
+
 
-    def hashed(stops: np.ndarray) -> np.ndarray:
-        raw = (prefix[stops] - prefix[begins]) * inverses[begins]
-        return mix64(raw + (stops - begins).astype(np.uint64) * _MIX2)
+def span_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE_VALUES) -> np.ndarray:
+    """64-bit hashes of spans of bytes; ``values`` gives each byte its value."""
+    return _many_hashes(data, begins, [ends], values)[0]
 
-    return [hashed(ends if size is None else np.minimum(ends, begins + size)) for size in sizes], begins
+
+def _many_hashes(data: np.ndarray, begins: np.ndarray, stops: list[np.ndarray], values: np.ndarray) -> list[np.ndarray]:
+    n = len(data)
+    if n == 0:
+        return [np.empty(0, np.uint64) for _ in stops]
+    powers, inverses = _power_tables(n)
+    prefix = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(values[data] * powers[:n], out=prefix[1:])
+    return [mix64((prefix[stop] - prefix[begins]) * inverses[begins] + (stop - begins).astype(np.uint64) * _MIX2) for stop in stops]
 
 
 def text_pieces(column, piece_bytes: int = PIECE_BYTES):
@@ -187,6 +207,22 @@ def _white_space(text: np.ndarray, at: int, step: int) -> int:
     return len(text)
 
 
+def run_words(column, separators: np.ndarray, piece_bytes: int = PIECE_BYTES):
+    """Yields (first row, word hashes, cuts) for runs of rows of an Arrow string column: the words of
+    the run's k-th row are those from cuts[k] to cuts[k + 1]. A long text is a run of its own."""
+    held = []
+    for row, data, offsets, more in text_pieces(column, piece_bytes):
+        hashes, begins = word_hashes(data, offsets[:-1], separators)
+        if more or held:
+            held.append(hashes)
+            if not more:
+                hashes = np.concatenate(held)
+                held = []
+                yield row, hashes, np.array([0, len(hashes)])
+            continue
+        yield row, hashes, np.searchsorted(begins, offsets)
+
+
 def text_words(column, piece_bytes: int = PIECE_BYTES):
     """Yields (row, word hashes) for every row of an Arrow string column, empty for null."""
     held = []

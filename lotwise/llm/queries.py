@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat
+from . import ann, bpe, chat, decontam
 from . import exact_dedup as exact
 from . import langid, minhash, mixing, pii, toxicity, warc
 
@@ -54,6 +54,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxic_severity": op2_toxic_severity,
@@ -65,10 +69,12 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLE = {
     "op10_chat": chat.ORACLE,
+    "op13_decontamination": decontam.ORACLE,
     "op1_warc": warc.ORACLE,
     "op7_minhash": minhash.ORACLE,
     "op8_mixing": mixing.oracle(),
