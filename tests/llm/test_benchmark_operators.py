@@ -1,12 +1,15 @@
-"""Decontamination against brute force on odd rows."""
+"""Decontamination and lexical search against brute force on odd rows."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
-from lotwise.llm import decontam
+from lotwise.llm import decontam, lexical
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 VOCABULARY = [*"abcdefgh", "the", "né", "日本", "x1", "ÉT"]
@@ -73,8 +76,6 @@ def test_nothing_to_decontaminate(spark, corpus):
 
 
 def test_prefix_is_the_rarest_shingle():
-    import numpy as np
-
     words = np.array([5, 6, 7, 8], np.uint64)
     windows = decontam.Windows(["a"], [words])
     (grams,) = windows.vocabulary().values()
@@ -82,3 +83,68 @@ def test_prefix_is_the_rarest_shingle():
     counts = {int(g): 9 for g in grams.view(np.int64)} | {int(rare.view(np.int64)[1]): 2}
     ((length, size, tokens, cuts, rows, places),) = windows.prefixes(counts)
     assert (length, size, list(tokens), list(places)) == (4, 3, [rare[1]], [1])
+
+
+def ranked(rows, items, top=20):
+    docs = [(i, terms(t)) for i, t in rows if t is not None]
+    docs = [(i, len(w), Counter(w)) for i, w in docs if w]
+    n_all, l_all = len(docs), sum(n for _, n, _ in docs)
+    df = Counter(t for *_, c in docs for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, n, c in docs:
+            m = 75 + (25 * n * n_all) // l_all
+            score = sum(math.floor(1000 * math.log((2 * n_all + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m)) for t in terms(text) if c[t])
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        out += [(item, rank + 1, i, -score) for rank, (score, _, _, i) in enumerate(sorted(scored)[:top])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("docs,leaf,block_terms", [(2048, 16, 1 << 16), (7, 2, 20)])
+def test_lexical_search(spark, corpus, monkeypatch, docs, leaf, block_terms):
+    monkeypatch.setattr(lexical, "TREE_DOCS", docs)
+    monkeypatch.setattr(lexical, "LEAF_DOCS", leaf)
+    rows, items = corpus
+    got = lexical.search(documents(spark, rows), benchmark(spark, items), block_terms=block_terms)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=repr) == ranked(rows, items)
+
+
+def test_nothing_to_search(spark, corpus):
+    rows, items = corpus
+    assert lexical.search(documents(spark, rows[:3]), benchmark(spark, [])).count() == 0
+    assert lexical.search(documents(spark, []), benchmark(spark, items)).count() == 0
+    assert lexical.search(documents(spark, [(1, None), (2, " ")]), benchmark(spark, items)).count() == 0
+
+
+def test_trees_share_paths_and_leave_out_branches():
+    rng = np.random.default_rng(4)
+    tf = (rng.random((2000, 60)) < np.geomspace(0.95, 0.004, 60)).astype(np.int32) * rng.integers(1, 5, (2000, 60), dtype=np.int32)
+    m = rng.integers(80, 300, 2000)
+    tree = lexical.Tree(tf, m)
+    leaves = [k for k, below in enumerate(tree.children) if below is None]
+    covered = sorted(d for k in leaves for d in range(tree.first[k], tree.stop[k]))
+    assert covered == list(range(2000)) and sorted(tree.order) == covered
+    for node in range(len(tree.first)):
+        part = slice(tree.first[node], tree.stop[node])
+        assert (tree.maxima[node] == tree.tf[part].max(axis=0)).all() and tree.least_m[node] == tree.m[part].min()
+    terms_, weights = np.array([3, 40, 50, 58]), np.array([50, 3000, 4000, 6000])
+    whole = np.sort(lexical.scores(tf[:, terms_], m, weights))[::-1]
+    best, seen = lexical.Best(20), []
+
+    def enough(rows, got):
+        if rows is not None:
+            seen.extend(rows)
+            best.take(got, rows, np.zeros(len(rows), np.int64))
+        return best.least()
+
+    tree.search(terms_, weights, enough)
+    assert list(best.score) == list(whole[:20])
+    assert len(seen) < 1000
+
+
+def test_lengths_beyond_64_bits():
+    n = np.array([10**9, 3], np.int64)
+    assert list(lexical.lengths(n, 10**11, 10**15)) == [75 + 25 * 10**9 * 10**11 // 10**15, 75]
