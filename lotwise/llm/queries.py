@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, bpe, chat, decontam
 from . import exact_dedup as exact
-from . import langid, lexical, minhash, mixing, pii, toxicity, warc
+from . import langid, lexical, minhash, mixing, phrases, pii, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -73,12 +77,14 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
+    "op11_phrases": op11_phrases,
     "op12_lexical_search": op12_lexical_search,
     "op13_decontamination": op13_decontamination,
 }
 
 ORACLE = {
     "op10_chat": chat.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op12_lexical_search": lexical.ORACLE,
     "op13_decontamination": decontam.ORACLE,
     "op1_warc": warc.ORACLE,
