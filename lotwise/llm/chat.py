@@ -7,13 +7,12 @@ prefix hash of a longer one is dropped by an anti-join; of equal conversations t
 conv_id stays. What remains is rendered with a template.
 
 Long conversations are handled in parts of PART_TURNS turn numbers, part = floor(turn / PART_TURNS):
-prefix sums run inside parts and over part totals, and each part is rendered as a row of its own, so no
-task holds more than a part. A conversation whose turns are 0 to PART_TURNS - 1 is one row, part 0.
-DataFrame functions only.
+prefix sums run inside parts and over part totals, and turns are deduplicated, ordered and rendered part
+by part. A conversation is one row whatever its turn numbers are, its rendered parts joined in order; only
+that last step has all of a conversation's text in one task. DataFrame functions only.
 
 Results for odd rows: rows of a conversation with equal turn, role and text are one; rows that share
-a turn number stand in order of role and text, nulls first; a null turn stands just before turn 0 and
-is in part 0 with it; a null role renders as ``unknown``, a null text as empty; null is a conv_id of
+a turn number stand in order of role and text, nulls first; a null turn stands just before turn 0; a null role renders as ``unknown``, a null text as empty; null is a conv_id of
 its own; an empty table gives an empty result; columns other than the four named are not read.
 """
 
@@ -82,25 +81,27 @@ def collapsed(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """(conv_id, part, n_turns, text) of the maximal conversations."""
+    """(conv_id, n_turns, text) of the maximal conversations."""
     head, _, rest = template.partition("{role}")
     middle, _, tail = rest.partition("{text}")
     gone = stored(collapsed(turns).where(~F.col("kept")).select(F.col("conv_id").alias("gone")), "gone")
     gone = broadcast_if_small(gone, BROADCAST_CONVERSATIONS)
     rows = placed(turns).join(gone, F.col("conv_id").eqNullSafe(F.col("gone")), "left_anti")
-    each = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct(*PLACE, "role", "text"))).alias("said"))
+    said = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct(*PLACE, "role", "text"))).alias("said"))
     line = lambda t: F.concat(F.lit(head), F.coalesce(t["role"], F.lit("unknown")), F.lit(middle), F.coalesce(t["text"], F.lit("")), F.lit(tail))
-    return each.select("conv_id", "part", F.size("said").cast("long").alias("n_turns"), F.array_join(F.transform("said", line), "").alias("text"))
+    parts = said.select("conv_id", F.size("said").alias("turns"), F.struct("part", F.array_join(F.transform("said", line), "").alias("text")).alias("rendered"))
+    whole = parts.groupBy("conv_id").agg(F.sum("turns").alias("n_turns"), F.array_sort(F.collect_list("rendered")).alias("rendered"))
+    return whole.select("conv_id", "n_turns", F.array_join("rendered.text", "").alias("text"))
 
 
-ORACLE = f"""
+ORACLE = """
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, 0) AS turn, turn IS NOT NULL AS numbered, role, text FROM conversations),
 o AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn, numbered) AS place FROM t),
-p AS (SELECT conv_id, place, list({{'t': turn, 'n': numbered, 'r': role, 'x': text}} ORDER BY turn, numbered, role, text) OVER (PARTITION BY conv_id ORDER BY place RANGE UNBOUNDED PRECEDING) AS said,
+p AS (SELECT conv_id, place, list({'t': turn, 'n': numbered, 'r': role, 'x': text} ORDER BY turn, numbered, role, text) OVER (PARTITION BY conv_id ORDER BY place RANGE UNBOUNDED PRECEDING) AS said,
   max(place) OVER (PARTITION BY conv_id) AS last FROM o),
 d AS (SELECT DISTINCT conv_id, place, last, md5(CAST(list_sort(said) AS VARCHAR)) AS h FROM p),
 k AS (SELECT min(conv_id) AS conv_id FROM d WHERE place = last AND h NOT IN (SELECT h FROM d WHERE place < last) GROUP BY h)
-SELECT t.conv_id, CAST(floor(turn / {PART_TURNS}.0) AS BIGINT) AS part, count(*) AS n_turns,
+SELECT t.conv_id, count(*) AS n_turns,
   string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY turn, numbered, role NULLS FIRST, text NULLS FIRST) AS text
-FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY t.conv_id, part
+FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id GROUP BY t.conv_id
 """
