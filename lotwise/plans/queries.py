@@ -356,8 +356,7 @@ def holdings_risk(spark, d):
 @query
 def holdings_correlation(spark, d):
     """Correlation among the symbols that each portfolio holds, aligned by position."""
-    rows = correlation.align_by_position(holdings.by_portfolio(tables.lots(spark, d), recent_bars(spark, d)), ["portfolio_id"])
-    return rounded(correlation.correlate(rows, "pos", ["portfolio_id"]), 6, "corr")
+    return rounded(correlation.correlate_held(tables.lots(spark, d), recent_bars(spark, d)), 6, "corr")
 
 
 # -- backtests --------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import datetime
 import math
+import random
 
 import pytest
 
@@ -47,6 +48,35 @@ def test_alignment_by_position(spark):
     assert corr["A", "B"] == pytest.approx(-1) and corr["B", "A"] == corr["A", "B"] and corr["A", "A"] == pytest.approx(1)
 
 
+def by_hand(closes, symbols):
+    """Correlations among the symbols that have more than one bar, over positions at which all have a close."""
+    symbols = [s for s in symbols if len(closes.get(s, [])) > 1]
+    longest = max((len(closes[s]) for s in symbols), default=0)
+    full = [k for k in range(longest) if all(k < len(closes[s]) and closes[s][k] is not None for s in symbols)]
+    out = {}
+    for a in symbols:
+        for b in symbols:
+            x, y = ([closes[s][k] for k in full] for s in (a, b))
+            if len(full) >= 2:
+                mx, my = sum(x) / len(x), sum(y) / len(y)
+                below = math.sqrt(sum((v - mx) ** 2 for v in x) * sum((v - my) ** 2 for v in y))
+                out[a, b] = sum((v - mx) * (w - my) for v, w in zip(x, y)) / below if below else None
+    return out
+
+
+def test_correlation_within_portfolios(spark):
+    rng = random.Random(6)
+    closes = {f"S{k}": [rng.choice([None, 2.0, 3.0, 5.0, 8.0]) if k % 3 == 0 else float(rng.randrange(1, 50)) for _ in range(rng.choice([2, 63, 64, 65, 130, 200]))] for k in range(12)}
+    closes |= {"ONE": [4.0], "FLAT": [7.0] * 150, "TWO": [None, 1.0, 2.0], "GAPS": [1.0, None] * 100, "OTHER": [None, 1.0] * 100}
+    held = {k: rng.sample(sorted(closes), rng.randrange(1, 7)) + ["NOT THERE"] for k in range(40)} | {90: ["GAPS", "OTHER"], 91: ["ONE"], 92: ["S1", "ONE"]}
+    rows = [(k, s) for k, symbols in held.items() for s in symbols * 2]
+    got = correlation.correlate_held(spark.createDataFrame(rows, "portfolio_id long, symbol string"), bars(spark, **closes)).collect()
+    found = {(r.portfolio_id, r.symbol_a, r.symbol_b): r["corr"] for r in got}
+    want = {(k, *pair): c for k, symbols in held.items() for pair, c in by_hand(closes, symbols).items()}
+    assert len(got) == len(found) and found.keys() == want.keys() and len(found) > 100
+    assert all((found[k] is None) == (c is None) and (c is None or found[k] == pytest.approx(c, abs=1e-9)) for k, c in want.items())
+
+
 def test_constant_series_has_no_correlation(spark):
     rows = correlation.correlate(bars(spark, A=[1.0, 1.0, 1.0], B=[1.0, 2.0, 3.0]), "date").collect()
     assert {(r.symbol_a, r.symbol_b): r["corr"] for r in rows}["A", "B"] is None
