@@ -40,8 +40,13 @@ def totals(valued: DataFrame) -> DataFrame:
 
 
 def summarize(valued: DataFrame) -> DataFrame:
+    return summary_of(totals(valued))
+
+
+def summary_of(totals: DataFrame) -> DataFrame:
+    """What reports show of (portfolio_id, invested, current, number_of_holdings)."""
     gain = F.col("current") - F.col("invested")
-    return totals(valued).select(
+    return totals.select(
         "portfolio_id",
         money(F.col("invested")).alias("total_invested"),
         money(F.col("current")).alias("total_current_value"),

@@ -129,6 +129,9 @@ BODIES = {
     "avg_return": "SELECT symbol, round_even(mean * 252, 6) AS avg_return FROM stats",
     "risk_by_period": f"""SELECT CAST(days AS INT) AS days, symbol, round_even({VOLATILITY}, 6) AS volatility, round_even({SHARPE}, 6) AS sharpe_ratio, round_even(mdd, 6) AS max_drawdown,
   round_even(mddr, 6) AS max_drawdown_relative, round_even(mean * 252, 6) AS avg_return FROM period_stats""",
+    "risk_more_metrics": f"""SELECT symbol, round_even({VOLATILITY}, 6) AS volatility, round_even({SHARPE}, 6) AS sharpe_ratio, round_even(below * sqrt(252), 6) AS downside_volatility,
+  round_even(best, 6) AS best_day, round_even(worst, 6) AS worst_day, round_even(CAST(gains AS DOUBLE) / days, 6) AS share_of_gains FROM stats
+  JOIN (SELECT symbol, stddev_samp(CASE WHEN ret < 0 THEN ret END) AS below, max(ret) AS best, min(ret) AS worst, count(CASE WHEN ret > 0 THEN 1 END) AS gains, count(ret) AS days FROM series GROUP BY 1) USING (symbol)""",
     "risk_report": f"""SELECT symbol AS "Symbol", format('{{:.2f}}%', round_even({VOLATILITY} * 100, 2)) AS "Volatility", format('{{:.2f}}', round_even({SHARPE}, 2)) AS "Sharpe",
   format('{{:.2f}}%', round_even(mdd * 100, 2)) AS "Drawdown", format('{{:.2f}}%', round_even(mean * 252 * 100, 2)) AS "Return" FROM stats""",
     "price_positional_align": "SELECT CAST(pos AS INT) AS pos, symbol, round_even(close, 6) AS close FROM aligned",

@@ -324,6 +324,20 @@ def risk_by_period(spark, d):
     return rounded(risk.measure(rows, ["days", "symbol"]).select("days", "symbol", *RISK), 6, *RISK)
 
 
+# metrics beside the built-in ones, as a user adds them
+risk.register("downside_volatility", lambda a: risk.yearly(a["below"]), below=lambda: F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))))
+risk.register("best_day", lambda a: a["best"], best=lambda: F.max("ret"))
+risk.register("worst_day", lambda a: a["worst"], worst=lambda: F.min("ret"))
+risk.register("share_of_gains", lambda a: fx.ratio(a["gains"].cast("double"), a["days"].cast("double")), gains=lambda: F.count(F.when(F.col("ret") > 0, 1)), days=lambda: F.count("ret"))
+EXTRA = ("downside_volatility", "best_day", "worst_day", "share_of_gains")
+
+
+@query
+def risk_more_metrics(spark, d):
+    columns = ("volatility", "sharpe_ratio", *EXTRA)
+    return rounded(risk.measure(recent_bars(spark, d), ["symbol"], EXTRA).select("symbol", *columns), 6, *columns)
+
+
 @query
 def risk_report(spark, d):
     r = risk.measure(recent_bars(spark, d), ["symbol"])
@@ -477,20 +491,29 @@ def dca_monthly_nested(spark, d):
 
 @query
 def stream_latest_price(spark, d):
-    return streams.drained(streams.latest(streams.read_ticks(spark, d)), "complete", "latest").select("symbol", "price")
+    job = streams.LatestPrices(spark, new_path(spark, "latest"))
+    job.drain(streams.read_ticks(spark, d))
+    return job.table().select("symbol", "price")
 
 
 @query
 def stream_portfolio_summary(spark, d):
-    return streams.live_summary(streams.read_ticks(spark, d), tables.tick_lots(spark, d))
+    job = streams.LiveSummary(spark, new_path(spark, "live-summary")).open(tables.tick_lots(spark, d))
+    job.drain(streams.read_ticks(spark, d))
+    return job.table()
+
+
+def _bars(spark, d):
+    job = streams.Bars(spark, new_path(spark, "bars"))
+    job.drain(streams.read_ticks(spark, d))
+    return job
 
 
 @query
 def stream_daily_bars(spark, d):
-    return streams.drained(streams.daily_bars(streams.read_ticks(spark, d)), "update", "daily", ["symbol", "date"])
+    return _bars(spark, d).daily()
 
 
 @query
 def stream_hourly_snapshot(spark, d):
-    rows = streams.drained(streams.hourly(streams.read_ticks(spark, d)), "update", "hourly", ["symbol", "hour"])
-    return rows.select("symbol", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "price")
+    return _bars(spark, d).hourly().select("symbol", F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "price")

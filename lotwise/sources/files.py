@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import money
 from lotwise.schemas import HOLDINGS
+from lotwise.sources.storage import file_system
 
 
 def write_holdings(holdings: DataFrame, path: str) -> None:
@@ -60,7 +61,21 @@ def append_history(rows: DataFrame, path: str) -> None:
     rows.withColumn("snapshot_date", F.to_date("timestamp")).write.mode("append").partitionBy("snapshot_date").parquet(path)
 
 
+def snapshot_days(spark: SparkSession, path: str) -> list[datetime.date]:
+    """The days that a history has folders of, newest first; from the listing alone."""
+    folder, system = file_system(spark, path)
+    names = (s.getPath().getName().partition("=") for s in system.listStatus(folder))
+    return sorted((datetime.date.fromisoformat(day) for name, _, day in names if name == "snapshot_date" and day[:1].isdigit()), reverse=True)
+
+
 def recent_history(spark: SparkSession, path: str, since: datetime.date, n: int) -> DataFrame:
-    """The ``n`` newest rows from ``since`` on."""
+    """The ``n`` newest rows from ``since`` on. Days are walked from the newest, twice as many each time,
+    until they hold ``n`` rows (counted by the files' footers); older ones are not read."""
+    days, taken, rows, step = [d for d in snapshot_days(spark, path) if d >= since], [], 0, 1
+    while days and rows < n:
+        folders = [f"{path}/snapshot_date={d}" for d in days[:step]]
+        rows += spark.read.parquet(*folders).count()
+        taken, days, step = taken + folders, days[step:], 2 * step
     order = [F.desc("timestamp"), "portfolio_id", "stock_symbol", "purchase_date", "shares", "current_value"]
-    return spark.read.parquet(path).where(F.col("snapshot_date") >= F.lit(since)).orderBy(*order).limit(n)
+    found = spark.read.option("basePath", path).parquet(*taken) if taken else spark.read.parquet(path).limit(0)
+    return found.orderBy(*order).limit(n)

@@ -45,7 +45,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def _file_system(spark: SparkSession, folder: str):
+def file_system(spark: SparkSession, folder: str):
+    """A path and its file system, of any kind that Spark reads."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -53,7 +54,7 @@ def _file_system(spark: SparkSession, folder: str):
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of ``stored`` that no later plan reads."""
     for df in tables:
-        path, system = _file_system(df.sparkSession, df.stored_path)
+        path, system = file_system(df.sparkSession, df.stored_path)
         system.delete(path, True)
 
 
@@ -81,7 +82,7 @@ def expire(spark: SparkSession, hours: float) -> int:
     """Deletes everything that this library left in the shared folder and did not change for so many
     hours, and returns how much that was. For long sessions: queries are lazy, so the tables that their
     results read can't go by themselves."""
-    folder, system = _file_system(spark, shared_folder(spark))
+    folder, system = file_system(spark, shared_folder(spark))
     if not system.exists(folder):
         return 0
     before, gone = (time.time() - hours * 3600) * 1000, 0

@@ -3,6 +3,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lotwise.operators import asof, correlation, returns, risk
 from lotwise.schemas import BARS
@@ -30,6 +31,23 @@ def test_drawdowns_and_short_series(spark):
     assert out["X"].volatility == pytest.approx(sd * math.sqrt(252)) and out["X"].sharpe_ratio == pytest.approx(mean / sd * math.sqrt(252))
 
 
+def test_a_metric_of_ones_own(spark):
+    risk.register("second_best", lambda a: F.get(a["best"], F.lit(1)), best=lambda: F.sort_array(F.collect_list("ret"), asc=False))
+    try:
+        table = bars(spark, X=[100.0, 120.0, 60.0, 110.0], TWO=[5.0, 6.0])
+        plain, more = risk.measure(table, ["symbol"]), risk.measure(table, ["symbol"], ("second_best",))
+        assert {r.symbol: r.second_best for r in more.collect()} == {"X": pytest.approx(0.2), "TWO": None}
+        assert sorted(map(tuple, more.drop("second_best").collect())) == sorted(map(tuple, plain.collect()))
+        count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+        assert count(risk.measure(table, ["symbol"], ("second_best",))) == count(risk.measure(table, ["symbol"])) == 1
+        with pytest.raises(ValueError):
+            risk.register("volatility", lambda a: a["x"], x=lambda: F.max("ret"))
+        with pytest.raises(KeyError):
+            risk.measure(table, ["symbol"], ("no such",))
+    finally:
+        del risk.METRICS["second_best"]
+
+
 def test_missing_close_is_carried_forward(spark):
     rows = returns.with_returns(bars(spark, A=[1.0, None, 2.0, 4.0]), ["symbol"]).orderBy("date").collect()
     assert [r.ret for r in rows] == [None, 0.0, 1.0, 1.0]

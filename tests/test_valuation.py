@@ -73,3 +73,17 @@ def test_unknown_security_is_not_available(spark):
     info = spark.createDataFrame([("A", "Alpha", None, None, None)], "symbol string, name string, sector string, market_cap double, pe_ratio double")
     rows = {r.symbol: r for r in valuation.with_info(spark.createDataFrame([("A",), ("Z",)], "symbol string"), info).collect()}
     assert (rows["A"].name, rows["A"].sector, rows["Z"].name, rows["Z"].pe_ratio) == ("Alpha", "N/A", "N/A", "N/A")
+
+
+def test_recent_history_reads_the_newest_days_only(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for day in range(1, 21):
+        rows = [(p, datetime.datetime(2024, 1, day, 9 + p), "A", None, 1.0, float(day)) for p in range(3)]
+        frame = spark.createDataFrame(rows, "portfolio_id long, timestamp timestamp, stock_symbol string, purchase_date date, shares double, current_value double")
+        files.append_history(frame.coalesce(1), path)
+    out = files.recent_history(spark, path, datetime.date(2024, 1, 3), 7)
+    assert [(r.portfolio_id, r.current_value) for r in out.collect()] == [(2, 20.0), (1, 20.0), (0, 20.0), (2, 19.0), (1, 19.0), (0, 19.0), (2, 18.0)]
+    days = {f.split("snapshot_date=")[1][:10] for f in out.inputFiles()}
+    assert days == {"2024-01-20", "2024-01-19", "2024-01-18"}
+    assert files.recent_history(spark, path, datetime.date(2024, 1, 20), 50).count() == 3
+    assert files.recent_history(spark, path, datetime.date(2024, 2, 1), 50).count() == 0
