@@ -6,8 +6,9 @@ pass over the words of a text, in which a change of language costs SWITCH, label
 language is the one that labels most of its letters, its score that share.
 
 The models are fitted on labelled rows: at most about SAMPLE_DOCS documents of each language, drawn by
-a hash of their ids and texts (fewer rows: all of them), for at most LANGUAGES languages, those with
-most rows. Predictions read whole texts and nothing but the text.
+a hash of their ids and texts (fewer rows: all of them). There may be any number of languages: models are
+fitted and words are scored TABLE_LANGUAGES languages at a time, texts are taken in smaller pieces where
+there are more. A model takes 256 KB a language. Predictions read whole texts and nothing but the text.
 
 Scores are whole numbers, so sums are exact. A text of more than LONG_WORDS words is decoded in blocks:
 best sums from every state before a block to every state behind it make the states between blocks known,
@@ -24,18 +25,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _IS_SPACE, KEY, keyed, row_key, small_batches, text_pieces, without, word_hashes
+from .common import _IS_SPACE, KEY, PIECE_BYTES, broadcast_if_small, keyed, row_key, small_batches, stored, text_pieces, without, word_hashes
 
 #: Documents of each language that the models are fitted on, about.
 SAMPLE_DOCS = 1000
-#: Languages that are told apart at most; bounds the models.
-LANGUAGES = 256
+#: Languages whose models are fitted, and score words, together; those whose n-grams a task counts together.
+TABLE_LANGUAGES, COUNT_LANGUAGES = 64, 16
 #: What a change of language costs, in nats.
 SWITCH = 14.0
 #: Scores are counted in steps of 1/STEPS nats.
 STEPS = 1024
 #: Texts with more words are decoded in blocks.
 LONG_WORDS = 1024
+#: Up to this many languages are broadcast with their numbers of rows.
+BROADCAST_LANGUAGES = 100_000
 #: A language uses a script if at least this share of its training words do.
 SCRIPT_SHARE = 0.01
 CELLS = 1 << 16
@@ -121,10 +124,10 @@ def _grams(flat: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return cells
 
 
-def _chunks(column):
+def _chunks(column, languages: int = 1):
     """(first row, data, word hashes, word begins, word lengths, words before each row, more) of pieces of
-    texts."""
-    for row, data, offsets, more in text_pieces(column):
+    texts, shorter ones where words have scores for many languages."""
+    for row, data, offsets, more in text_pieces(column, max(1 << 13, PIECE_BYTES * TABLE_LANGUAGES // max(TABLE_LANGUAGES, languages))):
         hashes, begins = word_hashes(data, offsets[:-1])
         if len(begins):
             breaks = np.unique(np.concatenate([np.flatnonzero(_IS_SPACE[data]), offsets]))
@@ -137,55 +140,70 @@ def _chunks(column):
 def _count(batches):
     """(lang, cell, n) n-gram counts, and under cells below 0 words by script."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        names = sorted(set(langs))
-        total = np.zeros((len(names), CELLS + 1 + len(SCRIPTS)), dtype=np.int64)
-        code = np.array([names.index(x) for x in langs])
-        for row, data, _, begins, lengths, cuts, _ in _chunks(batch.column("text")):
-            if not len(begins):
-                continue
-            flat, starts = _flatten(data, begins, lengths)
-            of = np.repeat(code[row : row + len(cuts) - 1], np.diff(cuts))
-            script = _scripts(flat, starts)
-            np.add.at(total, (of[script >= 0], CELLS + 1 + script[script >= 0]), 1)
-            per_byte = np.repeat(of, lengths + 2)
-            for size in SIZES:
-                np.add.at(total, (per_byte, _grams(flat, starts, size)), 1)
-        total[:, CELLS] = 0
-        lang, cell = np.nonzero(total)
-        n = total[lang, cell]
-        cell = np.where(cell > CELLS, CELLS - cell, cell)
-        yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in lang], pa.string()), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["lang", "cell", "n"])
+        names = sorted(set(batch.column("lang").to_pylist()))
+        for k in range(0, len(names), COUNT_LANGUAGES):
+            some = names[k : k + COUNT_LANGUAGES]
+            rows = batch.filter(pc.is_in(batch.column("lang"), pa.array(some, pa.string()))) if len(names) > COUNT_LANGUAGES else batch
+            lang, cell, n = _counts(rows, some)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()).take(pa.array(lang)), pa.array(cell, pa.int64()), pa.array(n, pa.int64())], ["lang", "cell", "n"])
+
+
+def _counts(batch, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    total = np.zeros((len(names), CELLS + 1 + len(SCRIPTS)), dtype=np.int64)
+    number = {name: k for k, name in enumerate(names)}
+    code = np.array([number[x] for x in batch.column("lang").to_pylist()])
+    for row, data, _, begins, lengths, cuts, _ in _chunks(batch.column("text")):
+        if not len(begins):
+            continue
+        flat, starts = _flatten(data, begins, lengths)
+        of = np.repeat(code[row : row + len(cuts) - 1], np.diff(cuts))
+        script = _scripts(flat, starts)
+        np.add.at(total, (of[script >= 0], CELLS + 1 + script[script >= 0]), 1)
+        per_byte = np.repeat(of, lengths + 2)
+        for size in SIZES:
+            np.add.at(total, (per_byte, _grams(flat, starts, size)), 1)
+    total[:, CELLS] = 0
+    lang, cell = np.nonzero(total)
+    return lang, np.where(cell > CELLS, CELLS - cell, cell), total[lang, cell]
 
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict:
-    """The models, as plain arrays: names, table of scores (cell, language), script masks.
+    """The models, as plain arrays: names, tables of scores (cell, language) for TABLE_LANGUAGES languages
+    each, script masks.
 
-    ``labelled`` has doc_id, text and lang. Counting is a Spark aggregate; what reaches the driver
-    is bounded by CELLS for each of at most LANGUAGES languages."""
+    ``labelled`` has doc_id, text and lang. Counting is a Spark aggregate; what reaches the driver at
+    once is bounded by CELLS for each of TABLE_LANGUAGES languages."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    held = {r["lang"]: r["n"] for r in most.collect()}
-    names = sorted(held)
-    if not names:
-        return {"names": [], "table": np.zeros((CELLS + 1, 0), np.float32), "uses": np.zeros((len(SCRIPTS) + 1, 0), bool)}
-    share = F.element_at(F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, sample_docs / held[k]))]), F.col("lang"))
+    held = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")), "languages")
+    names = sorted(held.select("lang").toArrow().column("lang").to_pylist())
+    share = F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("rows"))
     draw = F.pmod(row_key(F.col("doc_id"), F.col("text"))[0], F.lit(1 << 30)) < share * (1 << 30)
-    counts = rows.where(draw).select("lang", "text").mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    sample = rows.join(broadcast_if_small(held, BROADCAST_LANGUAGES), "lang").where(draw).select("lang", "text")
+    counts = stored(sample.mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")), "cells") if names else None
+    parts = [_fitted_table(counts, names[k : k + TABLE_LANGUAGES]) for k in range(0, len(names), TABLE_LANGUAGES)]
+    uses = np.concatenate([np.zeros((len(SCRIPTS) + 1, 0), bool), *(u for _, u in parts)], axis=1)
+    uses[~uses.any(axis=1)] = True  # a script that no language uses narrows nothing
+    return {"names": names, "tables": [t for t, _ in parts], "uses": uses}
+
+
+def _fitted_table(counts: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Scores (cell, language) and scripts (script, language) of some languages."""
+    rows = counts.where(F.col("lang").isin(names)).toArrow()
+    lang = rows.column("lang").combine_chunks().dictionary_encode()
+    place = np.array([names.index(x) for x in lang.dictionary.to_pylist()], dtype=np.int64)
+    lang, cell, n = place[lang.indices.to_numpy()] if len(place) else np.empty(0, np.int64), rows.column("cell").to_numpy(), rows.column("n").to_numpy()
     table = np.zeros((CELLS + 1, len(names)), dtype=np.float64)
     uses = np.zeros((len(SCRIPTS) + 1, len(names)), dtype=np.float64)
-    lang, cell, n = counts["lang"].map(names.index).to_numpy(dtype=np.int64), counts["cell"].to_numpy(), counts["n"].to_numpy()
     grams = cell >= 0
     table[cell[grams], lang[grams]] = n[grams]
     uses[-1 - cell[~grams], lang[~grams]] = n[~grams]
     table = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * CELLS))
     table[CELLS] = 0
-    uses = uses >= SCRIPT_SHARE * np.maximum(uses.sum(axis=0), 1)
-    uses[~uses.any(axis=1)] = True  # a script that no language uses narrows nothing
-    return {"names": names, "table": table.astype(np.float32), "uses": uses}
+    return table.astype(np.float32), uses >= SCRIPT_SHARE * np.maximum(uses.sum(axis=0), 1)
 
 
 def _word_scores(model: dict, data, hashes, begins, lengths) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +212,10 @@ def _word_scores(model: dict, data, hashes, begins, lengths) -> tuple[np.ndarray
     flat, starts = _flatten(data, begins[first], lengths[first])
     score = np.zeros((len(kinds), len(model["names"])), dtype=np.float32)
     for size in SIZES:
-        score += np.add.reduceat(model["table"][_grams(flat, starts, size)], starts, axis=0)
+        grams, first_language = _grams(flat, starts, size), 0
+        for table in model["tables"]:
+            score[:, first_language : first_language + table.shape[1]] += np.add.reduceat(table[grams], starts, axis=0)
+            first_language += table.shape[1]
     letters = np.add.reduceat((_PLAIN[flat] != 32).astype(np.int64), starts)
     score[letters == 0] = 0
     script = _scripts(flat, starts)
@@ -215,7 +236,7 @@ def _forward(score, begin, lengths, v, switch):
     The first word of a run adds to the sums ``v``, which are the last word's in the end. All runs take
     each step together: a few array operations over the runs that still have words."""
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if len(lengths) else 0), "left")
-    stay, came = np.ones(score.shape, dtype=bool), np.zeros(len(score), dtype=np.int16)
+    stay, came = np.ones(score.shape, dtype=bool), np.zeros(len(score), dtype=np.int32)
     for t, m in enumerate(active):
         at = begin[:m] + t
         if t:
@@ -226,7 +247,7 @@ def _forward(score, begin, lengths, v, switch):
 
 def _backward(active, stay, came, begin, ends) -> np.ndarray:
     """Labels of all words of runs with the last labels ``ends``."""
-    label, now = np.zeros(len(came), dtype=np.int16), ends.copy()
+    label, now = np.zeros(len(came), dtype=np.int32), ends.copy()
     for t in range(len(active) - 1, -1, -1):
         m = active[t]
         at = begin[:m] + t
@@ -314,7 +335,7 @@ def _labeller(model, kept: list):
             column = batch.column("text")
             rows = len(column)
             lang, sure, spans = ["und"] * rows, np.zeros(rows), [[] for _ in range(rows)]
-            for row, score, letters, cuts in _whole(_chunks(column), m) if names else ():
+            for row, score, letters, cuts in _whole(_chunks(column, len(names)), m) if names else ():
                 label = viterbi(score, cuts)
                 for k in range(len(cuts) - 1):
                     a, b = cuts[k], cuts[k + 1]

@@ -80,6 +80,29 @@ def components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_links_do_not_depend_on_the_size_of_a_group(spark, monkeypatch):
+    """A pair in a group of 10 and one in a group of 100 link by the same rule, whichever way they are compared."""
+    rng = random.Random(31)
+    texts = []
+    for size in (10, 100):
+        base = [f"{rng.choice(WORDS)}{k}" for k in range(80)]
+        for _ in range(size):  # similarity around the threshold, matches around the least number
+            words = base[:]
+            for _ in range(rng.randrange(2, 9)):
+                words[rng.randrange(80)] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = frame(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    for matches in (34, 52):  # at 52 of 64 many similar pairs have too few
+        monkeypatch.setattr(minhash, "MATCHES", matches)
+        monkeypatch.setattr(minhash, "PREFIX", minhash.COORDS - matches + 1)
+        found = []
+        for small in (10**9, 48, 0):
+            monkeypatch.setattr(minhash, "SMALL_GROUP", small)
+            found.append(sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()))
+        assert found[0] == found[1] == found[2]
+        assert 2 < len({c for _, c in found[0]}) < 110
+
+
 @pytest.mark.parametrize("small,block", [(48, 1024), (0, 3)])
 def test_near_duplicates(spark, rows, monkeypatch, small, block):
     monkeypatch.setattr(minhash, "SMALL_GROUP", small)
@@ -220,26 +243,116 @@ def test_secrets_are_found_by_their_contexts(spark):
     assert len(loud) == 1 and len(loud[0]) == 40  # capitals alone don't go on a list
 
 
-def test_graph_scores(spark):
-    rng = random.Random(12)
-    edges = {(p, i): k for p in range(30) for i in rng.sample(range(40), rng.randrange(1, 20)) for k in [rng.choice([0, 4, -1, -1]) if i > 25 else -1 if i > 15 else i % 5]}
-    got = pii.score_graph(spark.createDataFrame([(p, i, k) for (p, i), k in edges.items()], "pattern long, instance long, kind int")).collect()
+def settled(edges):
+    """(kind, score, seeds, instances) by pattern over {(pattern, instance): kind}."""
     of = {}
     for (p, i), k in edges.items():
         of.setdefault(p, []).append((i, k))
     of = {p: v for p, v in of.items() if len(v) >= pii.MIN_INSTANCES}
-    seeds = {p: [sum(k == s for _, k in v) for s in range(5)] for p, v in of.items()}
-    stands = {p: n.index(max(n)) for p, n in seeds.items()}
-    score = {p: max(n) / len(of[p]) for p, n in seeds.items()}
-    for _ in range(pii.ROUNDS - 1):
-        miss = {}
+    kinds = range(pii.SECRET_KIND + 1)
+    score = {(p, k): sum(x == k for _, x in v) / len(v) for p, v in of.items() for k in kinds}
+    for _ in range(pii.ROUNDS):
+        found = {}
         for p, v in of.items():
-            for i, k in v:
-                if k == -1:
-                    miss[i, stands[p]] = miss.get((i, stands[p]), 1) * (1 - min(score[p], 1 - 1e-9))
-        score = {p: sum(1 if k == stands[p] else 1 - miss[i, stands[p]] if k == -1 else 0 for i, k in v) / len(v) for p, v in of.items()}
-    assert {r.pattern: (r.stands, r.seeds, r.instances) for r in got} == {p: (stands[p], max(seeds[p]), len(v)) for p, v in of.items()}
-    assert {r.pattern: r.score for r in got} == pytest.approx(score)
+            for i, x in v:
+                for k in kinds if x == pii.NO_KIND else ():
+                    found[i, k] = max(found.get((i, k), 0), score[p, k])
+        before, score = score, {(p, k): sum(x == k if x != pii.NO_KIND else pii.DAMPING * found[i, k] for i, x in v) / len(v) for p, v in of.items() for k in kinds}
+        if max((abs(score[x] - before[x]) for x in score), default=0) <= pii.SETTLED:
+            break
+    out = {}
+    for p, v in of.items():
+        best = max(kinds, key=lambda k: (score[p, k], -k))
+        if score[p, best] > 0:
+            out[p] = (best, score[p, best], sum(x == best for _, x in v), len(v))
+    return out
+
+
+def test_graph_scores(spark):
+    rng = random.Random(12)
+    edges = {(p, i): k for p in range(30) for i in rng.sample(range(40), rng.randrange(1, 20)) for k in [rng.choice([0, 4, -1, -1]) if i > 25 else -1 if i > 15 else i % 5]}
+    edges |= {(p, i): -1 for p in range(100, 104) for i in range(16 + p % 3, 26)}  # patterns without seeds
+    edges |= {(200, i): -1 for i in range(900, 909)} | {(201, i): 2 if i < 912 else -1 for i in range(908, 915)}
+    got = pii.score_graph(spark.createDataFrame([(p, i, k) for (p, i), k in edges.items()], "pattern long, instance long, kind int")).collect()
+    want = settled(edges)
+    assert {r.pattern: (r.stands, r.seeds, r.instances) for r in got} == {p: (k, n, m) for p, (k, _, n, m) in want.items()}
+    assert {r.pattern: r.score for r in got} == pytest.approx({p: x for p, (_, x, _, _) in want.items()})
+    assert any(n == 0 for _, _, n, _ in want.values())
+
+
+def test_circles_do_not_feed_themselves(spark):
+    """Two patterns over the same instances score what their seeds say, and no more than damping allows."""
+    edges = [(p, i, 0 if i < 2 else -1) for p in (1, 2) for i in range(10)]
+    got = pii.score_graph(spark.createDataFrame(edges, "pattern long, instance long, kind int")).collect()
+    fixed = 0.2 / (1 - pii.DAMPING * 0.8)
+    assert [r.score for r in got] == pytest.approx([fixed, fixed], abs=0.005)
+
+
+def whole_by_hand(spark, texts):
+    """The spans of texts, from the scanned words on by plain Python."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: (r.marks, r.seen or []) for r in pii.scan(docs, "doc_id", "text").collect()}
+    patterns = lambda w: [*w.before, *([w.behind] if w.behind is not None else [])]
+    edges = {}
+
+    def edge(pattern, instance, kind):
+        edges[pattern, instance] = max(edges.get((pattern, instance), -1), kind)
+
+    for marks, seen in rows.values():
+        for m in marks:
+            over = [w for w in seen if w.covered and m.start < w.end and m.end > w.start]
+            if over:
+                first, last = min(over, key=lambda w: w.place), max(over, key=lambda w: w.place)
+                for x in [*first.before, *([last.behind] if last.behind is not None else [])]:
+                    edge(x, m.instance, m.kind)
+        for w in seen:
+            for x in patterns(w) if not w.covered else ():
+                edge(x, w.instance, pii.SECRET_KIND if w.secret else pii.NO_KIND)
+    everywhere, here = {}, {}
+    for r in docs.select(F.explode(pii.occurrences(F.coalesce("text", F.lit("")))).alias("p")).collect():
+        everywhere[r.p] = everywhere.get(r.p, 0) + 1
+    for _, seen in rows.values():
+        for w in seen:
+            for x in patterns(w):
+                here[x] = here.get(x, 0) + 1
+    good = {p for p, (_, score, seeds, _) in settled(edges).items() if score >= pii.ACCEPT and seeds >= pii.MIN_SEEDS and p in here and score * here[p] >= pii.ACCEPT * everywhere[p]}
+    out = {}
+    for doc, (marks, seen) in rows.items():
+        free, head, before, new = sorted((w for w in seen if not w.covered), key=lambda w: w.place), [], None, set()
+        for w in free:
+            if not w.digit or before is None or before + 1 != w.place:
+                head = list(w.before)
+            before = w.place
+            if good & {*patterns(w), *head}:
+                new.add((w["from"], w.to))
+        spans = []
+        for a, b in sorted(new):
+            if spans and spans[-1][1] + 1 == a:
+                spans[-1] = (spans[-1][0], b)
+            else:
+                spans.append((a, b))
+        everything = sorted([(m.start, m.kind, m.end) for m in marks] + [(a, len(pii.KINDS), b) for a, b in spans])
+        out[doc] = ",".join(f"{(*pii.KINDS, 'id')[k]}:{a}:{b}" for a, k, b in everything)
+    return out, good
+
+
+def test_whole_result_by_hand(spark):
+    """Scores, accepted patterns and spans of a corpus with seeds of several kinds, forms that no seed has,
+    patterns without seeds and telling words before plain ones."""
+    rng = random.Random(21)
+    plain = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(30))
+    texts = [f"{plain(9)} badge number x{k}@example.com {plain(4)}" for k in range(12)] + [f"{plain(3)} badge number ZX-{k} {plain(3)}" for k in range(4)]
+    texts += [f"{plain(5)} api key {secret()} {plain(5)}" for _ in range(9)] + [f"{plain(5)} api key K{k}-q {plain(2)}" for k in range(2)]
+    texts += [f"visit {rng.choice(['room', 'hall'])} R{rng.randrange(30)} or badge number {rng.choice(['ZX-1', 'lost'])}" for _ in range(8)]
+    texts += [f"our hall ZX-{k} and R{k} {plain(3)}" for k in range(6)] + [f"call +1 521 555 {k:04d} or seat A{k} B{k} now" for k in range(7)]
+    texts += [None, "", "a1", "x@y.z " * 30, f"badge number C1 C2 C3, {plain(2)} api key D4;  E5"]
+    want, good = whole_by_hand(spark, texts)
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.spans for r in got} == want
+    assert good and sum(r.n_found for r in got) > 9
 
 
 def test_languages(spark):
@@ -314,12 +427,27 @@ def test_pieces_of_long_texts_give_the_same_languages(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     once = [b.to_pydict() for b in langid._labeller(Held, ["doc_id"])([batch])]
     whole = langid.text_pieces
-    monkeypatch.setattr(langid, "text_pieces", lambda column: whole(column, 500))
+    monkeypatch.setattr(langid, "text_pieces", lambda column, *_: whole(column, 500))
     monkeypatch.setattr(langid, "LONG_WORDS", 50)
     assert [b.to_pydict() for b in langid._labeller(Held, ["doc_id"])([batch])] == once
     assert [s["lang"] for s in once[0]["spans"][1]] == ["es", "de"]
 
 
+def test_many_languages(spark):
+    """No language is too rare or one too many: 300 of them, most with two rows."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{k:03d}": [letters[k % 26] + letters[k // 26] + x for x in ("qo", "xi", "va", "zu")] for k in range(300)}
+    text = lambda name: " ".join(rng.choice(stems[name]) + rng.choice(stems[name]) for _ in range(30))
+    rows = [(k, text(name), name, "s") for k, name in enumerate(sorted(stems) * 2 + ["l000"] * 50)]
+    model = langid.fit(frame(spark, rows))
+    assert model["names"] == sorted(stems) and [t.shape[1] for t in model["tables"]] == [64, 64, 64, 64, 44]
+    asked = [(k, text(name), name, "s") for k, name in enumerate(sorted(stems))]
+    got = langid.label_languages(frame(spark, asked), model).collect()
+    assert sum(r.lang_pred == asked[r.doc_id][2] for r in got) == 300
+    assert all(r.score > 0.9 for r in got)
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     bad = ["vile", "scum", "awful", "rotten"]
