@@ -16,9 +16,10 @@
    pairs across components are compared by sketch and confirmed like those of step 3. Groups above
    SMALL_GROUP members are compared in blocks instead: the members outside the largest component
    with all others, by sketch first, which only names the documents that have a partner; then an
-   inverted index over the sets of these counts common shingles. Nothing is emitted but confirmed
-   links, at most one for each document and component. Blocks hold a bounded number of shingles,
-   whatever the size of the group, and blocks of incompatible set sizes never meet.
+   inverted index over the sets of these counts common shingles, and links need their MATCHES collisions
+   as they do in small groups. Nothing is emitted but confirmed links, at most one for each document
+   and component. Blocks hold a bounded number of shingles, whatever the size of the group, and blocks
+   of incompatible set sizes never meet.
 5. Components of all confirmed links, carried back to every row of each class.
 
 A key whose members lie in G components within reach of each other's sketches costs G^2 sketch
@@ -272,7 +273,7 @@ def _linked(group):
     import pandas as pd
 
     n, comp, side, doc = (group[c].to_numpy() for c in ("n", "component", "side", "doc"))
-    flat = np.concatenate(group["shingles"].to_list())
+    flat, sigs = np.concatenate(group["shingles"].to_list()), np.stack(group["sig"].to_list())
     owner = np.repeat(np.arange(len(n)), n)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -287,6 +288,7 @@ def _linked(group):
         ok = (common * (100 + SIMILARITY) >= (n + n[i]) * SIMILARITY) & (comp != comp[i])
         if two_sided:
             ok &= side == 2
+        ok[ok] = (sigs[ok] == sigs[i]).sum(axis=1) >= MATCHES
         for j in np.flatnonzero(ok)[np.unique(comp[ok], return_index=True)[1]]:
             found_a.append(doc[i])
             found_b.append(doc[j])
@@ -298,7 +300,7 @@ def large_links(corpus: Corpus, large: DataFrame) -> DataFrame:
     units = blocks(large)
     partnered = stored(units.groupBy("unit").applyInPandas(_partnered, "unit string, doc long, component long, n long, side int"), "partnered")
     sets = corpus.sets_of(partnered.select(F.col("doc").alias("row")))
-    cut = partnered.join(sets.select(F.col("row").alias("doc"), "shingles"), "doc")
+    cut = partnered.join(sets.select(F.col("row").alias("doc"), "sig", "shingles"), "doc")
     return stored(cut.groupBy("unit").applyInPandas(_linked, "a long, b long"), "large_links")
 
 
