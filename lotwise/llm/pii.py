@@ -8,11 +8,12 @@ Bootstrapping. Every base span is an instance and a seed of its kind, whatever i
 base spans that could be identifiers are the other instances: those with a digit, a sign between
 letters, or two capitals. Of these, long runs of letters and digits mixed are seeds too, of the kind
 secret. The lexical patterns of an instance are the word before it, the two words before it, and the
-word behind it. Over the graph of patterns and instances Spark repeats: a pattern stands for the kind
-most of its seeds have and scores the mean of its instances; an instance that is a seed counts 1 for its
-own kind and 0 for others, any other counts, for each kind, one minus the product of the misses of its
-patterns of that kind. Patterns with a score of at least ACCEPT, over enough seeds and distinct
-instances, are looked up in all texts: their score is multiplied by the share of their occurrences
+word behind it. Over the whole graph of patterns and instances Spark repeats until no score
+changes by more than SETTLED: for each kind a pattern scores the mean of its instances; an instance that
+is a seed counts 1 for its own kind and 0 for others, any other counts DAMPING times the greatest score
+that a pattern of it has for the kind. So scores pass through patterns without seeds too, grow from round
+to round and settle, and no circle of patterns feeds itself. A pattern stands for the kind of its greatest
+score. Patterns with a score of at least ACCEPT, over enough seeds and distinct instances, are looked up in all texts: their score is multiplied by the share of their occurrences
 that have a candidate there and not a plain word. Those that still reach ACCEPT extract all their
 instances outside base spans as spans of kind ``id``, and the candidate words with a digit that follow
 these without any other word between; spans one blank apart are one. Base spans are never changed. Plain
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, discard, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Possessive forms of the base patterns: the same matches, without backtracking over long runs. A
@@ -49,7 +50,9 @@ INSTANCE, IS_INSTANCE = rf"(?<!\S){CANDIDATE}\S*+", f"^{CANDIDATE}"
 SECRET = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+=-]{20,}$"
 #: Kinds of seeds: those of the base patterns, secret, and none.
 SECRET_KIND, NO_KIND = len(KINDS), -1
-ROUNDS = 3
+#: How much of a pattern's score an instance passes on; the change that counts as none; rounds at most,
+#: which is more than scores can take to settle (DAMPING ** ROUNDS < SETTLED).
+DAMPING, SETTLED, ROUNDS = 0.8, 1e-3, 40
 #: What an accepted pattern has at least.
 ACCEPT, MIN_SEEDS, MIN_INSTANCES = 0.8, 3, 5
 #: Up to this many patterns are broadcast.
@@ -208,23 +211,28 @@ def met(rows: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("row", "kind", "at", F.col("found").alias("instance"), "place", "before", "behind").distinct()
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, stands, score, seeds, instances) after ``rounds`` of scoring over (pattern, instance,
-    kind) edges. Patterns of less than MIN_INSTANCES instances can't be accepted and are left out."""
-    seeds = [F.count(F.when(F.col("kind") == k, 1)).alias(f"seeds{k}") for k in range(SECRET_KIND + 1)]
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), *seeds).where(F.col("instances") >= MIN_INSTANCES)
-    most = F.greatest(*(F.struct(F.col(f"seeds{k}").alias("seeds"), F.lit(-k).alias("first"), F.lit(k).alias("kind")) for k in range(SECRET_KIND + 1)))
-    sizes = stored(sizes.select("pattern", "instances", most.alias("most")).select("pattern", "instances", F.col("most.seeds").alias("seeds"), F.col("most.kind").alias("stands")), "patterns")
-    graph = stored(edges.join(sizes.select("pattern", "stands"), "pattern"), "graph")
-    scores = sizes.select("pattern", (F.col("seeds") / F.col("instances")).alias("score"))
-    for k in range(1, rounds):
-        scores = stored(scores, f"scores{k}")
-        miss = F.sum(F.log1p(-F.least("score", F.lit(1 - 1e-9))))
-        free = graph.where(F.col("kind") == NO_KIND)
-        found = stored(free.join(scores.where("score > 0"), "pattern").groupBy("instance", "stands").agg((1 - F.exp(miss)).alias("found")), f"found{k}")
-        worth = F.when(F.col("kind") == F.col("stands"), 1.0).when(F.col("kind") == NO_KIND, F.coalesce("found", F.lit(0.0))).otherwise(0.0)
-        scores = graph.join(found, ["instance", "stands"], "left").groupBy("pattern").agg(F.avg(worth).alias("score"))
-    return sizes.join(stored(scores, "scores"), "pattern")
+def score_graph(edges: DataFrame) -> DataFrame:
+    """(pattern, stands, score, seeds, instances) over (pattern, instance, kind) edges, once scores have
+    settled. Patterns of less than MIN_INSTANCES instances can't be accepted and are left out. Rows are
+    kept for scores above 0 only: the work is that of what seeds reach."""
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances")).where(F.col("instances") >= MIN_INSTANCES)
+    graph = stored(edges.join(sizes, "pattern"), "graph")
+    direct = graph.where(F.col("kind") != NO_KIND).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"), F.first("instances").alias("instances"))
+    direct = stored(direct, "direct")
+    free = graph.where(F.col("kind") == NO_KIND).select("pattern", "instance", "instances")
+    share = direct.select("pattern", "kind", (F.col("seeds") / F.col("instances")).alias("score"))
+    scores, zero = stored(share, "scores"), F.lit(0.0)
+    for _ in range(ROUNDS):
+        found = stored(free.join(scores.select("pattern", "kind", "score"), "pattern").groupBy("instance", "kind").agg(F.max("score").alias("found")), "found")
+        gained = free.join(found, "instance").groupBy("pattern", "kind").agg((F.sum("found") * DAMPING / F.first("instances")).alias("score"))
+        now = share.unionByName(gained).withColumn("before", zero).unionByName(scores.select("pattern", "kind", zero.alias("score"), F.col("score").alias("before")))
+        older, scores = scores, stored(now.groupBy("pattern", "kind").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), "scores")
+        discard(older, found)
+        if (scores.agg(F.max(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) <= SETTLED:
+            break
+    best = scores.groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("first"))).alias("b")).select("pattern", "b.score", (-F.col("b.first")).alias("stands"))
+    seeds = direct.select("pattern", F.col("kind").alias("stands"), "seeds")
+    return best.join(seeds, ["pattern", "stands"], "left").join(sizes, "pattern").select("pattern", "stands", "score", F.coalesce("seeds", F.lit(0)).cast("long").alias("seeds"), "instances")
 
 
 def occurrences(text: Column) -> Column:
@@ -272,10 +280,6 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seeds = over.groupBy("row", "kind", "at", "instance").agg(F.min_by("before", "place").alias("before"), F.max_by("behind", "place").alias("behind"))
     seeds = seeds.select("instance", F.explode(F.array_compact(F.concat("before", F.array("behind")))).alias("pattern"), "kind")
     others = free.select("instance", F.explode("patterns").alias("pattern"), F.when(F.col("secret"), SECRET_KIND).otherwise(NO_KIND).alias("kind"))
-    seeds = stored(seeds.unionByName(others.where(F.col("kind") == SECRET_KIND)).distinct(), "seeds")
-    # patterns without a seed score nothing: the graph is that of the others
-    seeded = broadcast_if_small(stored(seeds.select("pattern").distinct(), "seeded"), BROADCAST_PATTERNS)
-    others = others.where(F.col("kind") == NO_KIND).join(seeded, "pattern", "left_semi")
     edges = stored(seeds.unionByName(others).groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     good = broadcast_if_small(stored(accepted(score_graph(edges), words, docs, text_col), "accepted"), BROADCAST_PATTERNS)
     # candidates that follow each other stand under the words before the first of them too; that one is
