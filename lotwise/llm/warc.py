@@ -41,7 +41,7 @@ CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = "record_id string, origin_id string, type string, page_id long, uri string, refers_to string, digest string, segment int, total long, block binary"
-PAGES = "record_id string, page_id long, uri string, record_type string, refers_id string, payload binary, payload_bytes long, payload_digest string, status string"
+PAGES = "record_id string, page_id long, uri string, record_type string, refers_id string, refers_to long, payload binary, payload_bytes long, payload_digest string, status string"
 
 
 def record_id(page_id, digest: str, segment: int = 1) -> str:
@@ -214,7 +214,7 @@ def payload_of(kind: str, block: bytes) -> tuple[bytes, int, str]:
 def _pages(batches):
     import pyarrow as pa
 
-    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_id", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string())])
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("uri", pa.string()), ("record_type", pa.string()), ("refers_id", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string())])
     for batch in batches:
         out, size = [], 0
         for k in range(batch.num_rows):
@@ -227,7 +227,7 @@ def _pages(batches):
                 digest = row["digest"].as_py() if kind == "revisit" else hashlib.sha1(body).hexdigest()
                 if framing == "complete" and digest != row["digest"].as_py():
                     framing = "wrong digest"
-                out.append((row["record_id"].as_py(), row["page_id"].as_py(), row["uri"].as_py(), kind, row["refers_to"].as_py(), body, length, digest, framing))
+                out.append((row["record_id"].as_py(), row["page_id"].as_py(), row["uri"].as_py(), kind, row["refers_to"].as_py(), row["refers_page"].as_py(), body, length, digest, framing))
                 size += len(body)
             if size > 1 << 22:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
@@ -237,22 +237,25 @@ def _pages(batches):
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """One row per response or revisit: record_id, page_id, uri, record_type, refers_id, payload,
-    payload_bytes, payload_digest, status."""
+    """One row per response or revisit: record_id, page_id, uri, record_type, refers_id, refers_to, payload,
+    payload_bytes, payload_digest, status. Only segments are shuffled, and the headers of revisits and
+    of responses: a revisit gets the page_id of the response that it refers to before payloads are
+    put together."""
+    kind = F.col("type")
+    named = records.where((kind == "response") & F.col("digest").isNotNull()).select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_page")).distinct()
+    revisits = records.where(kind == "revisit").join(named, "refers_to", "left")
+    records = records.where(~kind.eqNullSafe("revisit")).withColumn("refers_page", F.lit(None).cast("long")).unionByName(revisits)
     part = F.struct("segment", "total", "block")
-    about = ["record_id", "type", "page_id", "uri", "refers_to", "digest"]
-    whole = records.where(F.col("segment").isNull() & F.col("type").isin("response", "revisit")).select(*about, F.array(part).alias("segments"))
+    about = ["record_id", "type", "page_id", "uri", "refers_to", "refers_page", "digest"]
+    whole = records.where(F.col("segment").isNull() & kind.isin("response", "revisit")).select(*about, F.array(part).alias("segments"))
     cut = records.where(F.col("segment").isNotNull()).groupBy("origin_id").agg(F.sort_array(F.collect_list(part)).alias("segments"), *(F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c) for c in about if c != "record_id"))
     cut = cut.select(F.col("origin_id").alias("record_id"), *about[1:], "segments")
     return whole.unionByName(cut).mapInArrow(_pages, PAGES)
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``reassemble`` over the archives under ``path``, with refers_to, the page_id of the response
-    that a revisit refers to."""
-    records = stored(read_records(spark, path), "records")  # parsed once, read for each kind
-    responses = records.where((F.col("type") == "response") & F.col("digest").isNotNull()).select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"))
-    return reassemble(records).join(responses.distinct(), "refers_id", "left")
+    """``reassemble`` over the archives under ``path``."""
+    return reassemble(stored(read_records(spark, path), "records"))  # parsed once, read for each kind
 
 
 def through_archives(pages: DataFrame) -> DataFrame:
