@@ -239,7 +239,8 @@ class Index:
         self.rows, most = rows.agg(F.count(F.lit(1)), F.max(norm)).first()
         self.most = float(most or 0.0) * (1 + 1e-12)
         share = min(1.0, SAMPLE_ROWS / max(self.rows, 1))
-        drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < share * (1 << 30)).select("vec").toPandas()["vec"]
+        # drawn by row: an id that very many rows have doesn't bring them all; rows that are equal come together, so one of them
+        drawn = rows.where(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 30)) < share * (1 << 30)).select("vec_id", "vec").distinct().select("vec").toPandas()["vec"]
         wanted = min(MAX_CELLS, max(1, self.rows // CELL_ROWS))
         nodes = [[-1, 0, 0, 0]]
         if wanted > 1 and len(drawn):

@@ -92,6 +92,23 @@ def test_neighbours(spark, monkeypatch, cell, block, asked):
     assert hit >= 0.95 * 20 * len(got)
 
 
+def test_repeated_and_odd_vectors(spark):
+    """Rows that repeat an id are candidates each, but not for their own id; a null id takes no part, nor
+    do vectors of another length than most have."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.25]), (2, [2.0, 1.0]), (None, [9.0, 9.0]), (20, [1.0, 1.0]), (40, [7.0, 7.0, 7.0]), (3, [8.0])]
+    got = ann.nearest(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, query_id int")).collect()
+    usable = [(i, v) for i, v in rows if i is not None and len(v) == 2]
+    best = {q: [] for q in (0, 20)}
+    for q, x in usable:
+        if q % 20 == 0:
+            best[q] += [(-sum(a * b for a, b in zip(x, y)), i) for i, y in usable if i != q]
+    assert {r.query_id for r in got} == {0, 20}
+    assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 20] == sorted(best[20])
+    zero = [(-r.score, r.vec_id) for r in got if r.query_id == 0]
+    assert zero and not [r for r in got if r.vec_id is None or r.vec_id == r.query_id]
+    assert set(zero) <= set(best[0]) and max(r["rank"] for r in got) <= 20
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
