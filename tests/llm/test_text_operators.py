@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from fractions import Fraction
@@ -560,6 +561,85 @@ def test_long_texts_have_the_same_words(monkeypatch):
     assert [p.tolist() for _, p in toxicity._known_of(column, known)] == places
 
 
+def test_quotas():
+    assert toxicity.quotas({0: 1000, 1: 3}, 100) == {1: 3, 0: 97}
+    assert toxicity.quotas({0: 50, 1: 40, 2: 2}, 30) == {2: 2, 1: 14.0, 0: 14.0}
+    assert toxicity.quotas({0: 5, 1: 5}, 100) == {0: 5, 1: 5}
+    assert toxicity.quotas({}, 10) == {}
+
+
+def exact_tail(docs, hits, rows, positive):
+    """The logarithm of the hypergeometric chance of ``hits`` or more, exactly."""
+    whole = math.comb(rows, docs)
+    return math.log(Fraction(sum(math.comb(positive, k) * math.comb(rows - positive, docs - k) for k in range(hits, min(docs, positive) + 1)), whole))
+
+
+def test_telling_words_by_hand(spark):
+    """The words chosen are those that the exact rule chooses: all levels tried, chances as the bound has them."""
+    rng = random.Random(40)
+    rows, positive = 400, 60
+    words = []
+    for k in range(300):
+        docs = rng.randrange(1, 80)
+        hits = min(positive, docs, rng.choice([docs * positive // rows, docs * positive // rows + rng.randrange(0, 4), docs - docs // 6])) if k % 3 else 0
+        words.append((k, docs, max(hits, docs - (rows - positive))))
+    frame = spark.createDataFrame(words, "word long, docs long, hits long")
+    got = {r.word: r for r in toxicity.telling_words(frame, rows, positive).collect()}
+
+    def both(docs, hits):
+        tail = lambda a, p: float(toxicity.log_tail(np.array([float(docs)]), np.array([float(a)]), rows, p)[0])
+        return min(tail(hits, positive), tail(docs - hits, rows - positive)) + math.log(2)
+
+    chance = {w: both(d, h) for w, d, h in words}
+    for w, d, h in words:  # the bound holds
+        if h * rows > d * positive:
+            assert both(d, h) >= exact_tail(d, h, rows, positive) + math.log(2) - 0.05
+    least = {w: min(both(d, min(d, positive)), both(d, max(0, d - (rows - positive)))) for w, d, _ in words}
+    odds = {w: (h + 0.5) * (rows - positive - d + h + 0.5) / ((positive - h + 0.5) * (d - h + 0.5)) for w, d, h in words}
+    differ = [w for w in chance if max(odds[w], 1 / odds[w]) >= toxicity.ODDS and chance[w] < 0 and least[w] < math.log(toxicity.FALSE_SHARE)]
+    step = lambda x: min(toxicity.DEEPEST * toxicity.BINS, math.floor(-x * toxicity.BINS))
+    chosen = []
+    for b in range(toxicity.DEEPEST * toxicity.BINS + 1):
+        do = [w for w in differ if step(chance[w]) >= b]
+        can = sum(least[w] < math.log(toxicity.FALSE_SHARE) and step(least[w]) >= b for w in least)
+        if do and math.exp(-b / toxicity.BINS) * can <= min(toxicity.FALSE_SHARE * len(do), toxicity.FALSE_WORDS):
+            chosen = do
+            break
+    assert 5 < len(chosen) < 300 and set(got) == set(chosen)
+    assert all(got[w].telling == (h * rows > d * positive) for w, d, h in words if w in got)
+    few = [(1, 1, 1), (2, 1, 0), (3, 2, 1)]  # no word is sure: the surest are taken
+    assert len(toxicity.telling_words(spark.createDataFrame(few, "word long, docs long, hits long"), 400, 60).collect()) == 3
+
+
+def test_cross_grades_come_from_the_other_half():
+    """Toxic rows of a half are cut at the scores of the other half's model, which is fitted here by itself."""
+    rng = np.random.default_rng(9)
+    n, features = 200, 12
+    grade, half = (rng.random(n) < 0.4).astype(int), rng.integers(0, 2, n)
+    has = rng.random((n, features)) < np.where(grade[:, None] == 1, np.linspace(0.2, 0.8, features), 0.15)
+    owner, feature = np.nonzero(has)
+    weight = rng.choice([1.0, 2.5], n)
+    own = [np.arange(features) % 4 != 0, np.arange(features) % 3 != 0]
+    got = toxicity.cross_graded(owner, feature, grade, half, own, weight)
+    assert (got[grade == 0] == 0).all() and set(got[grade == 1]) == {1, 2}
+    for h in (0, 1):
+        use, known = half == h, np.flatnonzero(own[h])
+        rows, places = np.nonzero(has[use][:, known])
+        w, _ = toxicity.fit_ordinal(rows, places, grade[use], len(known), weight[use])
+        score = has[:, known] @ w
+        other = np.flatnonzero((half != h) & (grade == 1))
+        order = other[np.argsort(score[other])]
+        low, high = order[got[order] == 1], order[got[order] == 2]
+        assert len(low) and len(high) and score[low].max() < score[high].min() + 1e-9
+        assert abs(weight[low].sum() - weight[order].sum() / 2) <= weight[order].max() * (1 + max(np.unique(np.round(score[order], 9), return_counts=True)[1]))
+
+
+def test_toxicity_of_no_documents(spark):
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(30)], "doc_id long, quality long, toxic long")
+    none = toxicity.severities(frame(spark, []), labels)
+    assert none.count() == 0 and "severity" in none.columns
+
+
 def test_toxicity_without_telling_words(spark):
     rng = random.Random(5)
     rows = [(k, prose(rng, 12), "en", "s") for k in range(40)]
