@@ -16,8 +16,8 @@ length; its check is the same over the second hashes.
 4. Frequent phrases only are materialised: their pointers are joined with the documents, of equal texts
    one, and the words at the place are taken if they have the fingerprint and the check.
 5. Parts of phrases are looked up by fingerprint and check. Scores, what lies in a longer phrase, and the
-   ranks per language are joins, groupings and a window that keeps the first ``top`` of each partition
-   before it shuffles. All arithmetic is in decimals or whole numbers.
+   ranks per language are joins, groupings and two windows, over parts of a language and over languages,
+   that keep the first ``top`` of each. All arithmetic is in decimals or whole numbers.
 
 Results for odd rows: null and empty texts have no words, a null lang is ``und`` and one with rows of that
 name; A-Z only are lower-cased; a text of any length is read whole; rows that repeat a doc_id, or as a
@@ -43,6 +43,8 @@ GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 FILTER_BITS = 1 << 27
 #: N-grams that a task adds up at once, and words whose polynomials are taken at once.
 FLUSH, RUN_WORDS = 2_000_000, 1 << 18
+#: Parts of a language that are ranked by themselves first.
+PARTS_RANKED = 32
 #: Bits of a pointer for the word's number, and of a fingerprint for its length.
 PLACE_BITS, TAG_BITS = 30, 3
 #: Fingerprints can be made shorter to try collisions.
@@ -364,8 +366,12 @@ def ranked(phrases: DataFrame, counts: DataFrame, top: int) -> DataFrame:
     language = F.shiftleft(F.xxhash64("lang"), TAG_BITS)
     words = counts.where(F.col("fp").bitwiseAND(F.lit((1 << TAG_BITS) - 1)) == 0).select(F.col("fp").alias("language"), "n")
     scored = kept.select(*key, "lang", "phrase", "a").join(lowest, key).withColumn("language", language).join(broadcast_if_small(stored(words, "languages"), BROADCAST_IDS), "language")
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return scored.withColumn("rank", F.row_number().over(by).cast("long")).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    # the best of each part of a language first: its last task gets PARTS_RANKED * top rows at most
+    part = F.pmod(F.shiftright("fp", TAG_BITS), F.lit(PARTS_RANKED))
+    scored = scored.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
+    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= top)
+    return scored.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 ORACLE = r"""
