@@ -22,9 +22,8 @@ def align_by_position(bars: DataFrame) -> DataFrame:
     """(pos, symbol, close): the n-th oldest bars of all symbols side by side. Symbols with a single bar are
     left out, then positions at which any of the rest has no close."""
     rows = positions(bars)
-    firsts = rows.where(F.col("pos") == 0).agg(F.count(F.lit(1)).alias("symbols"))  # every symbol has a first bar
-    full = rows.groupBy("pos").agg(F.count("close").alias("closes"))
-    full = full.join(F.broadcast(firsts)).where(F.col("closes") == F.col("symbols"))  # one row
+    symbols = rows.where(F.col("pos") == 0).count()  # every symbol has a first bar
+    full = rows.groupBy("pos").agg(F.count("close").alias("closes")).where(F.col("closes") == symbols)
     return rows.join(full.select("pos"), "pos")
 
 

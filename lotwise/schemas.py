@@ -12,6 +12,7 @@ NEAREST_DAYS = 5
 HISTORY_DAYS = 3650
 ANALYSIS_DAYS, HISTORY_DEFAULT_DAYS = 180, 90
 PERIODS = (7, 30, 90, 180, 365)
+# Fixed value: the text of a backtest without data.
 NO_DATA = "No trading data found for selected period"
 MIN_MONTHLY, MAX_MONTHLY, MIN_ALLOCATED = 100.0, 100_000.0, 0.99
 
