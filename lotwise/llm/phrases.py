@@ -102,9 +102,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def runs(batch, with_text: bool = False):
-    """Yields (rows, hashes, second hashes, pieces, numbers, texts) for runs of the words of a batch: the
-    row of each word, the piece it stands in (no two rows share one) and its number in its text. The
-    last LONGEST - 1 words of a run of a long text come again at the start of the next; ``again`` says how many."""
+    """Yields (rows, hashes, second hashes, pieces, numbers, words, again) for runs of the words of a batch:
+    the row of each word, the piece it stands in (no two rows share one) and its number in its text. The last
+    LONGEST - 1 words of a run of a long text come again at the start of the next; ``again`` says how many."""
     held = None
     for row, data, offsets, more in text_pieces(batch.column("text")):
         begins, ends, h, other, piece = words_of(data, offsets)
@@ -126,7 +126,6 @@ def runs(batch, with_text: bool = False):
         else:
             held = None
         yield *parts, words, again
-    return
 
 
 def _in_table(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
