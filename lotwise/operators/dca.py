@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.numeric import even, money, ratio
 from lotwise.operators.asof import nearest_bars
-from lotwise.schemas import MAX_MONTHLY, MIN_ALLOCATED, MIN_MONTHLY, NO_DATA
+from lotwise.schemas import ERROR_CHARS, MAX_MONTHLY, MIN_ALLOCATED, MIN_MONTHLY, NO_DATA, SIMULATION_ERROR
 from lotwise.sources.storage import stored
 
 
@@ -116,6 +116,13 @@ def summarize(strategies: DataFrame, weighed: DataFrame, filled: DataFrame, near
     )
 
 
+def reported_errors(summaries: DataFrame) -> DataFrame:
+    """(strategy_id, error) of the failed strategies as reports show it: a backtest without data says so,
+    any other error is named as one and shortened."""
+    text = F.when(F.col("error") == NO_DATA, F.col("error")).otherwise(F.concat(F.lit(SIMULATION_ERROR), F.substring("error", 1, ERROR_CHARS)))
+    return summaries.where(~F.col("success")).select("strategy_id", text.alias("error"))
+
+
 def final_holdings(filled: DataFrame, bars: DataFrame) -> DataFrame:
     """Shares, last close and value of each position; 0 without a close."""
     last = bars.groupBy("symbol").agg(F.max_by("close", "date").alias("last"))

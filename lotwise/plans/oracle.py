@@ -158,6 +158,8 @@ BODIES = {
     "dca_cumulative_shares": "SELECT strategy_id, month, symbol, round_even(shares, 6) AS shares FROM filled",
     "dca_monthly": "SELECT strategy_id, month, date, round_even(invested, 2) AS total_invested, round_even(value, 2) AS portfolio_value, round_even(value - invested, 2) AS gain_loss FROM monthly",
     "dca_summary": "SELECT * FROM dca",
+    "dca_reported_errors": """SELECT strategy_id, CASE WHEN error = 'No trading data found for selected period' THEN error ELSE 'Simulation error: ' || left(error, 200) END AS error
+  FROM dca WHERE NOT success""",
     "dca_holdings_final": "SELECT * FROM final_holdings",
     "dca_final_allocation": "SELECT strategy_id, symbol, round_even(current_value / nullif(sum(current_value) OVER (PARTITION BY strategy_id), 0) * 100, 4) AS percent FROM final_holdings",
     "dca_monthly_average": "SELECT strategy_id, round_even(total_invested / nullif(months_simulated, 0), 2) AS average FROM dca",

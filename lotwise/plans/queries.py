@@ -443,6 +443,11 @@ def dca_summary(spark, d):
     return _summary(spark, d)
 
 
+@query
+def dca_reported_errors(spark, d):
+    return dca.reported_errors(_summary(spark, d))
+
+
 @query
 def dca_holdings_final(spark, d):
     return dca.final_holdings(tested(spark, d).filled, history(spark, d))

@@ -12,8 +12,9 @@ NEAREST_DAYS = 5
 HISTORY_DAYS = 3650
 ANALYSIS_DAYS, HISTORY_DEFAULT_DAYS = 180, 90
 PERIODS = (7, 30, 90, 180, 365)
-# Fixed value: the text of a backtest without data.
+# The text of a backtest without data, what stands before other errors, and how much of these is shown.
 NO_DATA = "No trading data found for selected period"
+SIMULATION_ERROR, ERROR_CHARS = "Simulation error: ", 200
 MIN_MONTHLY, MAX_MONTHLY, MIN_ALLOCATED = 100.0, 100_000.0, 0.99
 
 HOLDINGS = T.StructType(
