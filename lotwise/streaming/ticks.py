@@ -92,17 +92,23 @@ class Bars(Job):
     """Quarters of an hour, folded to days and hours of the session's zone when they are read. So a zone's
     clock can be set forward or back: an hour that comes twice is two hours, a day has 23 to 25."""
 
-    def __init__(self, spark: SparkSession, folder: str, late: str = LATE):
+    def __init__(self, spark: SparkSession, folder: str, late: str = LATE, every: int = EVERY):
         super().__init__(spark, folder)
         self.late = late
         kept = "symbol string, quarter timestamp, last struct<ts:timestamp,event_id:bigint,price:double>, high double, low double, volume bigint"
-        self.quarters = Ledger(spark, f"{self.folder}/quarters", kept, newest("symbol", "quarter"), None)
+        self.quarters = Ledger(spark, f"{self.folder}/quarters", kept, newest("symbol", "quarter"), every, self.final)
+
+    def final(self, rows: DataFrame) -> Column:
+        """Quarters that no tick changes any more: later ones of that time are dropped."""
+        seen = rows.agg(F.max(F.unix_micros("last.ts")).alias("seen")).first().seen
+        return F.lit(False) if seen is None else F.expr(f"quarter + INTERVAL {QUARTER} <= timestamp_micros({seen}) - INTERVAL {self.late}")
 
     def rows(self, ticks: DataFrame) -> DataFrame:
         return quarters(ticks, self.late)
 
     def write(self, rows: DataFrame, number: int) -> None:
         self.quarters.put(rows, number)
+        self.quarters.compact(number)
 
     def daily(self) -> DataFrame:
         """(symbol, date, close, high, low, volume)"""

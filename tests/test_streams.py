@@ -172,6 +172,24 @@ def test_ledgers_stay_small(spark, tmp_path):
     assert {r.symbol: r.price for r in job.table().collect()} == want
 
 
+def test_final_quarters_leave_the_base(spark, tmp_path):
+    """A long history is the same whether it is compacted often or never, and its base only holds the last day."""
+    rng = random.Random(11)
+    for number in range(9):  # ticks of a day and a half each, out of order, some late by less than a day
+        rows = [(100 * number + k, 86_400 * number + rng.randrange(0, 120_000), f"S{k % 3}", float(rng.randrange(99))) for k in range(25)]
+        tick_file(spark, tmp_path, number, rows)
+    often, never = streams.Bars(spark, str(tmp_path / "often"), every=2), streams.Bars(spark, str(tmp_path / "never"), every=10**6)
+    for job in (often, never):
+        job.drain(tick_stream(spark, tmp_path))
+    key = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    assert key(often.hourly()) == key(never.hourly()) and key(often.daily()) == key(never.daily())
+    assert often.quarters.numbers("final") and not never.quarters.numbers("base")
+    assert often.quarters.changing().count() < 0.6 * never.quarters.state().count()
+    for batch in (7, 8):  # done again after a failure
+        often.write(never.quarters.batch(batch), batch)
+    assert key(often.hourly()) == key(never.hourly())
+
+
 def test_summaries_change_by_differences(spark, tmp_path):
     """After every batch the kept summaries are those of a revaluation of all lots."""
     rng = random.Random(5)
