@@ -9,8 +9,10 @@ length; its check is the same over the second hashes.
    be frequent if the phrases inside it are, so a scan leaves out n-grams with an inner word or pair whose
    bit is not set in a table of FILTER_BITS bits. The table has a fixed size: where very many phrases are
    frequent it saves less, results are the same. Tasks add up what they find FLUSH n-grams at a time.
-2. The shuffle adds up fingerprints, each with its least occurrence pointer (34 bits of the text's hash,
-   30 of the word's number) and its least and greatest check. Fingerprints with enough occurrences remain.
+2. The shuffle brings fingerprints together, each with an occurrence pointer (34 bits of the text's hash, 30
+   of the word's number) and, in one number, its check and count: 24 bytes a row, already added up by the
+   tasks, so nothing is added up again before it. Behind it stand the count, the least pointer and the
+   least and greatest check. Fingerprints with enough occurrences remain.
 3. Where the two checks of a fingerprint differ several texts share it. All texts are scanned for these
    fingerprints and their occurrences are counted by their words.
 4. Frequent phrases only are materialised: their pointers are joined with the documents, of equal texts
@@ -61,7 +63,9 @@ PARTS = {n: [(k, size) for size in range(1, n) for k in range(n - size + 1)] for
 _BASES = (np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC6A4A7935BD1E995 | 1))
 _INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
 
-COUNTS = "fp long, n long, at long, low long, high long"
+COUNTS = "fp long, at long, packed long"
+#: Bits of a count, below those of the check, in ``packed``.
+COUNT_BITS = 32
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
@@ -91,7 +95,7 @@ class Grams:
         return (fp << np.uint64(TAG_BITS)) | np.uint64(size)
 
     def checks(self, size: int, at: np.ndarray) -> np.ndarray:
-        return mix64(self._polynomial(1, size, at) + self.seeds[at])
+        return mix64(self._polynomial(1, size, at) + self.seeds[at]) >> np.uint64(COUNT_BITS)
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -170,14 +174,15 @@ def _segments(rows, *arrays):
 
 
 def _summed(parts: list) -> list[np.ndarray]:
+    """(fp, at, packed) with equal neighbours added up; checks of a fingerprint are rows each."""
     fp, at, check = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(fp)
     fp, at, check = fp[order], at[order], check[order]
-    begins = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if len(fp) else np.empty(0, np.int64)
+    begins = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]) if len(fp) else np.empty(0, np.int64)
     if not len(begins):
-        return [np.empty(0, np.int64)] * 5
-    check = check.view(np.int64)
-    return [fp[begins].view(np.int64), np.diff(np.r_[begins, len(fp)]), np.minimum.reduceat(at, begins), np.minimum.reduceat(check, begins), np.maximum.reduceat(check, begins)]
+        return [np.empty(0, np.int64)] * 3
+    n = np.diff(np.r_[begins, len(fp)]).astype(np.uint64)
+    return [fp[begins].view(np.int64), np.minimum.reduceat(at, begins), (check[begins] << np.uint64(COUNT_BITS) | n).view(np.int64)]
 
 
 def _counted(sizes: tuple, table):
@@ -189,8 +194,11 @@ def _counted(sizes: tuple, table):
 
         def sums():
             columns = _summed(held)
+            if totals:  # the words of each language, under its own key with length 0
+                own = np.array(list(totals), np.uint64) << np.uint64(TAG_BITS)
+                columns = [np.concatenate(x) for x in zip(columns, (own.view(np.int64), np.zeros(len(own), np.int64), np.array(list(totals.values()), np.int64)))]
             for k in range(0, len(columns[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 17)]) for x in columns], ["fp", "n", "at", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 17)]) for x in columns], ["fp", "at", "packed"])
 
         for batch in batches:
             seeds, texts = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("lang_key", "text_key"))
@@ -198,20 +206,16 @@ def _counted(sizes: tuple, table):
                 for rows_, h_, other_, piece_, number_, again_ in _segments(rows, h, other, piece, number, again):
                     grams = Grams((h_, other_), seeds[rows_])
                     for size, at in places(grams, piece_, sizes, bits, again_).items():
-                        pointer = pointers(texts[rows_[at]], number_[at])
-                        held.append((grams.fingerprints(size, at), pointer, grams.checks(size, at)))
+                        held.append((grams.fingerprints(size, at), pointers(texts[rows_[at]], number_[at]), grams.checks(size, at)))
                         waiting += len(at)
                         if size == 1:
                             for seed, n in zip(*(x.tolist() for x in np.unique(seeds[rows_[at]], return_counts=True))):
                                 totals[seed] = totals.get(seed, 0) + n
                     if waiting >= FLUSH:
                         yield from sums()
-                        held, waiting = [], 0
+                        held, waiting, totals = [], 0, {}
         if waiting:
             yield from sums()
-        if totals:  # the words of each language, under its own key with length 0
-            fps, zeros = np.array(list(totals), np.uint64) << np.uint64(TAG_BITS), pa.array(np.zeros(len(totals), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(list(totals.values()), pa.int64()), zeros, zeros, zeros], ["fp", "n", "at", "low", "high"])
 
     return run
 
@@ -263,7 +267,9 @@ def bit_table(frequent: DataFrame):
 
 def frequent_grams(rows: DataFrame, sizes: tuple, table, least: int) -> DataFrame:
     """(fp, check, n, at) of the n-grams of these sizes with at least ``least`` occurrences."""
-    counted = rows.mapInArrow(_counted(sizes, table), COUNTS).groupBy("fp").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.min("low").alias("low"), F.max("high").alias("high"))
+    check = F.shiftrightunsigned("packed", COUNT_BITS)
+    once = rows.mapInArrow(_counted(sizes, table), COUNTS).repartition("fp")
+    counted = once.groupBy("fp").agg(F.sum(F.col("packed").bitwiseAND(F.lit((1 << COUNT_BITS) - 1))).alias("n"), F.min("at").alias("at"), F.min(check).alias("low"), F.max(check).alias("high"))
     counted = stored(counted.where(F.col("n") >= least), "grams")
     clear = counted.where("low = high").select("fp", F.col("low").alias("check"), "n", "at")
     shared = counted.where("low != high")
