@@ -5,9 +5,9 @@ independent 64-bit hashes; a phrase's fingerprint is the polynomial over the fir
 taken for all n-grams at once from prefix polynomials, mixed with its language and tagged with its
 length; its check is the same over the second hashes.
 
-1. Three scans count n-grams: words, then pairs, then three and four words together. A phrase can only
-   be frequent if the phrases inside it are, so a scan leaves out n-grams with an inner word or pair whose
-   bit is not set in a table of FILTER_BITS bits. The table has a fixed size: where very many phrases are
+1. A scan for each length counts n-grams, words first. A phrase can only be frequent if the phrases inside
+   it are, so a scan leaves out n-grams that begin or end with a shorter one (by a word) whose bit is not
+   set in a table of FILTER_BITS bits. The table has a fixed size: where very many phrases are
    frequent it saves less, results are the same. Tasks add up what they find FLUSH n-grams at a time.
 2. The shuffle brings fingerprints together, each with an occurrence pointer (34 bits of the text's hash, 30
    of the word's number) and, in one number, its check and count: 24 bytes a row, already added up by the
@@ -41,10 +41,10 @@ SCALE = 2_000_000
 INSIDE = 80
 #: Characters between the words of a piece, and between pieces.
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
-#: Bits of the tables of frequent words and pairs: 16 MB each.
+#: Bits of the tables of frequent phrases of a length: 16 MB each.
 FILTER_BITS = 1 << 27
 #: N-grams that a task adds up at once, and words whose polynomials are taken at once.
-FLUSH, RUN_WORDS = 2_000_000, 1 << 18
+FLUSH, RUN_WORDS = 3_000_000, 1 << 18
 #: Parts of a language that are ranked by themselves first.
 PARTS_RANKED = 32
 #: Bits of a pointer for the word's number, and of a fingerprint for its length.
@@ -182,7 +182,7 @@ def _summed(parts: list) -> list[np.ndarray]:
     if not len(begins):
         return [np.empty(0, np.int64)] * 3
     n = np.diff(np.r_[begins, len(fp)]).astype(np.uint64)
-    return [fp[begins].view(np.int64), np.minimum.reduceat(at, begins), (check[begins] << np.uint64(COUNT_BITS) | n).view(np.int64)]
+    return [fp[begins].view(np.int64), np.minimum.reduceat(at, begins), (check[begins].astype(np.uint64) << np.uint64(COUNT_BITS) | n).view(np.int64)]
 
 
 def _counted(sizes: tuple, table):
@@ -206,7 +206,7 @@ def _counted(sizes: tuple, table):
                 for rows_, h_, other_, piece_, number_, again_ in _segments(rows, h, other, piece, number, again):
                     grams = Grams((h_, other_), seeds[rows_])
                     for size, at in places(grams, piece_, sizes, bits, again_).items():
-                        held.append((grams.fingerprints(size, at), pointers(texts[rows_[at]], number_[at]), grams.checks(size, at)))
+                        held.append((grams.fingerprints(size, at), pointers(texts[rows_[at]], number_[at]), grams.checks(size, at).astype(np.uint32)))
                         waiting += len(at)
                         if size == 1:
                             for seed, n in zip(*(x.tolist() for x in np.unique(seeds[rows_[at]], return_counts=True))):
@@ -338,7 +338,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     rows = rows.select("lang", "text", F.xxhash64("lang").alias("lang_key"), F.xxhash64("lang", "text").alias("text_key"))
     single = frequent_grams(rows, (1,), None, least)
     pairs = frequent_grams(rows, (2,), bit_table(single), least)
-    longer = frequent_grams(rows, (3, LONGEST), bit_table(pairs), least)
+    three = frequent_grams(rows, (3,), bit_table(pairs), least)
+    longer = three.unionByName(frequent_grams(rows, (LONGEST,), bit_table(three), least))
     return ranked(materialised(rows, pairs.unionByName(longer)), single.unionByName(pairs).unionByName(longer), top)
 
 
