@@ -402,12 +402,12 @@ def dca_strategy_validation(spark, d):
 
 @query
 def dca_schedule(spark, d):
-    return dca.schedule(tables.strategies(spark, d)).select("strategy_id", F.col("month").cast("date").alias("month"), "target")
+    return dca.schedule(dca.dealt(tables.strategies(spark, d))).select("strategy_id", F.col("month").cast("date").alias("month"), "target")
 
 
 @query
 def dca_trade_dates(spark, d):
-    return tested(spark, d).traded.select("strategy_id", "month", "trade_date")
+    return dca.trade_dates(tested(spark, d).traded)
 
 
 @query

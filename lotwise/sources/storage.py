@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import math
 import tempfile
 import time
 import uuid
@@ -12,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that ``spread`` gives to a task; a page of a task's memory, 64 MB, holds them at 256 bytes each.
+TASK_ROWS = 1 << 18
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or on a local master a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -92,6 +97,15 @@ def expire(spark: SparkSession, hours: float) -> int:
     return gone
 
 
+def spread(df: DataFrame, rows: float, *keys: str) -> DataFrame:
+    """Deals ``df`` out by key so that a task gets ``TASK_ROWS`` of the ``rows`` that it grows to: what a task
+    sorts or collects then stays the same, and the number of tasks follows the data, whatever the session's
+    number of shuffle partitions. Few rows are left as they are. For a join it's enough to deal out its
+    smaller side: the other follows, or stays where it lies if Spark broadcasts the small one."""
+    n = math.ceil(rows / TASK_ROWS)
+    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcasts a stored table only once its counted rows are within ``rows``; else joins stay shuffled."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,19 +7,27 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lotwise.sources.storage import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table, from its footers."""
+    return table(spark, sf_dir, name).count()
+
+
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per purchase lot: portfolio_id, symbol, shares, purchase_price, purchase_date."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    rows = size(spark, sf_dir, "lineitem")
     return (
-        items.join(parts, "l_partkey")
-        .join(orders, "l_orderkey")
+        items.join(spread(parts, rows, "l_partkey"), "l_partkey")
+        .join(spread(orders, rows, "l_orderkey"), "l_orderkey")
         .select(
             F.col("o_custkey").alias("portfolio_id"),
             F.upper("p_brand").alias("symbol"),
@@ -36,7 +44,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.upper("p_brand").alias("symbol"))
     unit = F.try_divide("l_extendedprice", "l_quantity")
     return (
-        items.join(parts, "l_partkey")
+        items.join(spread(parts, size(spark, sf_dir, "lineitem"), "l_partkey"), "l_partkey")
         .groupBy("symbol", "date")
         .agg(
             F.try_divide(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double"), F.sum("l_quantity")).alias("close"),
@@ -111,22 +119,25 @@ def numbered(symbols: DataFrame) -> DataFrame:
     return inside.join(sizes, "head").select("symbol", (F.col("rank") + F.col("below") - 1).alias("idx"))
 
 
+#: Strategies pick among so many symbols, the first in order.
+PLACES = 25
+
+
 def strategy_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(strategy_id, symbol, weight, bought): up to four symbols of each strategy. Every fourth
     strategy has no weights; in every fifth one symbol has a weight but is not bought."""
     brands = table(spark, sf_dir, "part").select(F.upper("p_brand").alias("symbol")).distinct()
-    brands = numbered(brands)
-    k, j = F.col("c_custkey"), F.col("j")
-    picks = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
-    picks = picks.select(
-        k.alias("strategy_id"),
-        F.pmod(k * (j + 1) + j * j, F.lit(25)).cast("int").alias("idx"),
+    brands = numbered(brands).where(F.col("idx") < PLACES)
+    k, j = F.col("strategy_id"), F.col("j")
+    owners = spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("strategy_id")), 4 * size(spark, sf_dir, "customer"), "strategy_id")
+    picks = owners.select("strategy_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j"))
+    picks = picks.groupBy("strategy_id", F.pmod(k * (j + 1) + j * j, F.lit(PLACES)).cast("int").alias("idx")).agg(F.min("j").alias("j"))
+    return picks.join(F.broadcast(brands), "idx").select(
+        "strategy_id",
+        "symbol",
         F.when(F.pmod(k, F.lit(4)) != 0, (F.pmod(k + j, F.lit(3)) + 1).cast("double")).alias("weight"),
         (~((j == 3) & (F.pmod(k, F.lit(5)) == 0))).alias("bought"),
-        "j",
     )
-    picks = picks.groupBy("strategy_id", "idx").agg(F.min_by(F.struct("weight", "bought"), "j").alias("p"))
-    return picks.join(brands, "idx").select("strategy_id", "symbol", "p.weight", "p.bought")
 
 
 #: The same views as SQL, for the oracles.
