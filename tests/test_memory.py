@@ -14,6 +14,7 @@ D = datetime.date
 #: Query: rows that a task gets, of some thousands.
 NAMED = {
     "dca_vs_actual": 1000,
+    "dca_monthly_nested": 1000,
 }
 
 
