@@ -15,6 +15,7 @@ D = datetime.date
 NAMED = {
     "dca_vs_actual": 1000,
     "dca_monthly_nested": 1000,
+    "dca_monthly": 1000,
 }
 
 
