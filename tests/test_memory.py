@@ -16,6 +16,7 @@ NAMED = {
     "dca_vs_actual": 1000,
     "dca_monthly_nested": 1000,
     "dca_monthly": 1000,
+    "dca_cumulative_shares": 1000,
 }
 
 
