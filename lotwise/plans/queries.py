@@ -11,7 +11,7 @@ from lotwise.functions import numeric as fx
 from lotwise.operators import correlation, dca, holdings, returns, risk, valuation
 from lotwise.schemas import ANALYSIS_DAYS, HISTORY_DAYS, HISTORY_DEFAULT_DAYS, PERIODS
 from lotwise.sources import files, tables
-from lotwise.sources.storage import new_path
+from lotwise.sources.storage import new_path, spread
 from lotwise.streaming import ticks as streams
 
 QUERIES: dict = {}
@@ -163,7 +163,8 @@ def concentration(spark, d):
 @query
 def invested_vs_current(spark, d):
     cost = fx.exact_sum(F.col("shares") * F.col("purchase_price"))
-    return valued(spark, d).groupBy("portfolio_id", "symbol").agg(fx.even(cost, 2).alias("invested"), fx.even(fx.exact_sum(F.col("current_value")), 2).alias("current"))
+    rows = spread(valued(spark, d), tables.size(spark, d, "lineitem"), "portfolio_id")
+    return rows.groupBy("portfolio_id", "symbol").agg(fx.even(cost, 2).alias("invested"), fx.even(fx.exact_sum(F.col("current_value")), 2).alias("current"))
 
 
 @query

@@ -17,6 +17,7 @@ NAMED = {
     "dca_monthly_nested": 1000,
     "dca_monthly": 1000,
     "dca_cumulative_shares": 1000,
+    "invested_vs_current": 1000,
 }
 
 
