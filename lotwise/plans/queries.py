@@ -449,14 +449,20 @@ def dca_reported_errors(spark, d):
     return dca.reported_errors(_summary(spark, d))
 
 
+def _final(spark, d):
+    t = tested(spark, d)
+    bars = t.near.where("off = 0").select("symbol", F.col("target").alias("date"), "close")  # a bar is the nearest to its own day
+    return dca.final_holdings(t.filled, bars)
+
+
 @query
 def dca_holdings_final(spark, d):
-    return dca.final_holdings(tested(spark, d).filled, history(spark, d))
+    return _final(spark, d)
 
 
 @query
 def dca_final_allocation(spark, d):
-    rows = dca.final_holdings(tested(spark, d).filled, history(spark, d))
+    rows = _final(spark, d)
     whole = F.sum("current_value").over(Window.partitionBy("strategy_id"))
     return rows.select("strategy_id", "symbol", fx.even(fx.ratio(F.col("current_value"), whole) * 100, 4).alias("percent"))
 

@@ -18,6 +18,7 @@ NAMED = {
     "dca_monthly": 1000,
     "dca_cumulative_shares": 1000,
     "invested_vs_current": 1000,
+    "dca_final_allocation": 1000,
 }
 
 
