@@ -20,6 +20,7 @@ NAMED = {
     "invested_vs_current": 1000,
     "dca_final_allocation": 1000,
     "dca_holdings_map": 1000,
+    "dca_holdings_final": 1000,
 }
 
 
