@@ -21,6 +21,7 @@ NAMED = {
     "dca_final_allocation": 1000,
     "dca_holdings_map": 1000,
     "dca_holdings_final": 1000,
+    "dca_summary": 1000,
 }
 
 
