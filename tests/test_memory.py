@@ -22,6 +22,7 @@ NAMED = {
     "dca_holdings_map": 1000,
     "dca_holdings_final": 1000,
     "dca_summary": 1000,
+    "dca_trade_dates": 1000,
 }
 
 
