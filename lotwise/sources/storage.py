@@ -100,10 +100,10 @@ def expire(spark: SparkSession, hours: float) -> int:
 def spread(df: DataFrame, rows: float, *keys: str) -> DataFrame:
     """Deals ``df`` out by key so that a task gets ``TASK_ROWS`` of the ``rows`` that it grows to: what a task
     sorts or collects then stays the same, and the number of tasks follows the data, whatever the session's
-    number of shuffle partitions. Few rows are left as they are. For a join it's enough to deal out its
+    number of shuffle partitions. No more rows than a task's are left as they are. For a join it's enough to deal out its
     smaller side: the other follows, or stays where it lies if Spark broadcasts the small one."""
     n = math.ceil(rows / TASK_ROWS)
-    return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df
+    return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys) if n > 1 else df
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:

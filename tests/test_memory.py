@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import dca
 from lotwise.plans.registry import ORACLE, QUERIES
-from lotwise.sources import storage
+from lotwise.sources import storage, tables
 from test_queries import FOLDER, duck, needs_data, plain  # noqa: F401
 
 D = datetime.date
@@ -22,6 +22,7 @@ NAMED = {
     "dca_holdings_map": 1000,
     "dca_holdings_final": 1000,
     "dca_summary": 1000,
+    "dca_normalized_weights": 100,
     "dca_trade_dates": 1000,
 }
 
@@ -55,3 +56,17 @@ def test_a_task_holds_its_share_of_the_fills(spark, monkeypatch):
     t = dca.backtest(strategies, symbols, bars)
     assert t.filled.count() == 120 * 12 * 2 and dca.trade_dates(t.traded).count() == 120 * 12
     assert most(t.filled) <= 400 and most(dca.monthly(t.filled)) <= 200
+
+
+@needs_data
+def test_symbols_of_a_strategy_lie_together(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 50, raising=False)
+    rows = tables.strategy_symbols(spark, FOLDER)
+    assert rows.count() > 400 and most(rows) <= 150
+    assert rows.select("strategy_id", F.spark_partition_id().alias("p")).distinct().count() == rows.select("strategy_id").distinct().count()
+
+
+def test_rows_of_a_few_tasks_use_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(storage, "TASK_ROWS", 100, raising=False)
+    parts = lambda rows: storage.spread(spark.range(rows).coalesce(1), rows, "id").rdd.getNumPartitions()
+    assert (parts(100), parts(300), parts(1000)) == (1, spark.sparkContext.defaultParallelism, 10)
