@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import numeric as fx
 from lotwise.operators import correlation, dca, holdings, returns, risk, valuation
+from lotwise.operators.asof import nearest_bars
 from lotwise.schemas import ANALYSIS_DAYS, HISTORY_DAYS, HISTORY_DEFAULT_DAYS, PERIODS
 from lotwise.sources import files, tables
-from lotwise.sources.storage import new_path, spread
+from lotwise.sources.storage import new_path, spread, stored
 from lotwise.streaming import ticks as streams
 
 QUERIES: dict = {}
@@ -415,7 +416,7 @@ def dca_trade_dates(spark, d):
 def asof_nearest_price(spark, d):
     """Nearest closes for the days on which lots were bought."""
     wanted = tables.lots(spark, d).select("symbol", F.col("purchase_date").alias("target")).distinct()
-    near = tested(spark, d).near
+    near = stored(nearest_bars(history(spark, d)), "near")
     return wanted.join(near, ["symbol", "target"], "left").select("symbol", "target", F.expr("date_add(target, off)").alias("found"), fx.even("close", 6).alias("price"))
 
 

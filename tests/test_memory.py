@@ -19,6 +19,7 @@ NAMED = {
     "dca_cumulative_shares": 1000,
     "invested_vs_current": 1000,
     "dca_final_allocation": 1000,
+    "asof_nearest_price": 1000,
     "dca_holdings_map": 1000,
     "dca_holdings_final": 1000,
     "dca_summary": 1000,
